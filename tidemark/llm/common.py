@@ -60,11 +60,11 @@ def batch_count(docs: DataFrame, column: str = "text", batch_bytes: int = BATCH_
     return max(2 * partitions(docs.sparkSession), math.ceil(total / batch_bytes))
 
 
-def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(batch, id, text) of docs. Null ids become NULL_ID, null texts stay null."""
+def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """(batch, id, text, more) of docs. Null ids become NULL_ID, null texts stay null."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     text = F.col(text_col).cast("string")
-    return docs.select(F.pmod(F.xxhash64(ident, text), F.lit(n)).cast("int").alias("batch"), ident.alias("id"), text.alias("text"))
+    return docs.select(F.pmod(F.xxhash64(ident, text), F.lit(n)).cast("int").alias("batch"), ident.alias("id"), text.alias("text"), *(v.alias(k) for k, v in more.items()))
 
 
 def null_id(column: str, alias: str):
@@ -81,6 +81,18 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return column(table, name).to_numpy(zero_copy_only=False)
 
 
+def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def deal(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(partition, from, to) of sorted keys, dealt by their leading bits, so that each partition's keys are a run."""
+    part = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    cuts = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
+    return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(n) if cuts[p] < cuts[p + 1]]
+
+
 def text_slices(table: pa.Table, name: str = "text") -> tuple[memoryview, np.ndarray]:
     """The UTF-8 bytes of a column, without copying, and its n + 1 offsets; null is empty."""
     got = column(table, name).fill_null("")

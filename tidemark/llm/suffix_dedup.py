@@ -119,32 +119,21 @@ class Parse:
         return out
 
 
-def _deal(keys: np.ndarray, n: int):
-    """(partition, from, to) of sorted keys, dealt by their leading bits, so that each partition's keys are a run."""
-    part = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    cuts = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-    return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(n) if cuts[p] < cuts[p + 1]]
-
-
 REQUEST = "batch int, part int, keys binary, low binary, high binary"
 FLAGS = "batch int, kind int, part int, body binary"
+FLAG_ROWS = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
 
 
 def _phrases(length: int, n: int):
     def run(table: pa.Table) -> pa.Table:
         batch = int(C.numbers(table, "batch")[0])
         keys, low, high, _ = Parse(table, length).keys()
-        rows = [(batch, p, C.pack_sorted(keys[a:b]), C.pack(low[a:b]), C.pack(high[a:b])) for p, a, b in _deal(keys, n)]
-        return _table(rows, ["batch", "part", "keys", "low", "high"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        rows = [(batch, p, C.pack_sorted(keys[a:b]), C.pack(low[a:b]), C.pack(high[a:b])) for p, a, b in C.deal(keys, n)]
+        return C.as_table(rows, pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("high", pa.binary())]))
 
     return run
 
 
-def _table(rows: list[tuple], names: list[str], types: list) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
-
-
 def _shared(table: pa.Table) -> pa.Table:
     """For each batch's phrases of this partition one bit: whether documents of two ids hold it."""
     part = int(C.numbers(table, "part")[0])
@@ -158,7 +147,7 @@ def _shared(table: pa.Table) -> pa.Table:
     for b, k in zip(batches, sent, strict=True):
         rows.append((int(b), 1, part, C.pack(np.packbits(several[at : at + len(k)]))))
         at += len(k)
-    return _table(rows, ["batch", "kind", "part", "body"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+    return C.as_table(rows, FLAG_ROWS)
 
 
 def _records(parse: Parse, answers: pa.Table, n: int):
@@ -169,7 +158,7 @@ def _records(parse: Parse, answers: pa.Table, n: int):
     keys, _, _, back = parse.keys()
     flag = np.zeros(len(keys), bool)
     said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 1}
-    for p, a, b in _deal(keys, n):
+    for p, a, b in C.deal(keys, n):
         flag[a:b] = np.unpackbits(C.unpack(said[p], np.uint8))[: b - a].astype(bool)
     chosen = np.flatnonzero(flag[back])
     order = np.argsort(parse.hash[chosen], kind="stable")  # by partition
@@ -186,7 +175,7 @@ def _records(parse: Parse, answers: pa.Table, n: int):
     first = by[new]
     low = np.full(len(first), 2**63 - 1, np.int64)
     np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
-    return _deal(key[first], n), rows[first], low, chosen, place
+    return C.deal(key[first], n), rows[first], low, chosen, place
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -201,13 +190,13 @@ CONTEXTS = "batch int, part int, body binary, low binary"
 
 def _contexts(length: int, n: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names, types = ["batch", "part", "body", "low"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        schema = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("body", pa.binary()), ("low", pa.binary())])
         if not table.num_rows:
-            return _table([], names, types)
+            return C.as_table([], schema)
         batch = int(C.numbers(table, "batch")[0])
         deal, rows, low, _, _ = _records(Parse(table, length), answers, n)
         z = C._zstd().ZstdCompressor(level=3)
-        return _table([(batch, p, z.compress(rows[a:b].tobytes()), C.pack(low[a:b])) for p, a, b in deal], names, types)
+        return C.as_table([(batch, p, z.compress(rows[a:b].tobytes()), C.pack(low[a:b])) for p, a, b in deal], schema)
 
     return run
 
@@ -267,7 +256,7 @@ def _order(length: int):
         for b, x in zip(C.numbers(table, "batch"), sent, strict=True):
             rows.append((int(b), 2, part, C.pack(least[at : at + len(x)].ravel())))
             at += len(x)
-        return _table(rows, ["batch", "kind", "part", "body"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+        return C.as_table(rows, FLAG_ROWS)
 
     return run
 
@@ -277,10 +266,9 @@ RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 strin
 
 def _remove(length: int, n: int, with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
         if not table.num_rows:
-            return _table([], names, types)
+            return C.as_table([], schema)
         parse = Parse(table, length)
         deal, _, _, chosen, place = _records(parse, answers, n)
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
@@ -303,7 +291,7 @@ def _remove(length: int, n: int, with_text: bool):
             kept = parse.flat[a:b][~gone[a:b]].tobytes() if cut else bytes(parse.data[a:b])
             # a cut may split a character whose bytes were shared: the digest has the bytes, the text drops the fragment
             rows.append((int(parse.ids[k]), b - a, cut, int(begun[a:b].sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-        return _table(rows, names, types)
+        return C.as_table(rows, schema)
 
     return run
 
