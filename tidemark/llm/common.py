@@ -36,14 +36,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     jvm, sc = spark._jvm, spark.sparkContext
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -55,9 +55,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def batch_count(docs: DataFrame, column: str = "text", batch_bytes: int = BATCH_BYTES) -> int:
-    """Batches of about batch_bytes each, and at least two for each shuffle partition."""
+    """Batches of about batch_bytes each, and at least one for each shuffle partition."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(2 * partitions(docs.sparkSession), math.ceil(total / batch_bytes))
+    return max(partitions(docs.sparkSession), math.ceil(total / batch_bytes))
 
 
 def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -169,10 +169,12 @@ LOWER[65:91] += 32
 PIECE = 1 << 20
 
 
-def word_hashes(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: memoryview, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of each text, in order, and the number of words of each text.
 
-    Works on pieces of about PIECE bytes, cut at white space, so memory doesn't grow with the length of a text.
+    gap: which bytes stand between words; a space must be one.
+
+    Works on pieces of about PIECE bytes, cut between words, so memory doesn't grow with the length of a text.
     """
     sizes = np.diff(offsets)
     flat = np.frombuffer(b" ".join([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) + b" ", np.uint8)
@@ -180,11 +182,11 @@ def word_hashes(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     hashes, begun, at = [], [], 0
     while at < len(flat):
         end = min(at + PIECE, len(flat))
-        while end < len(flat) and not SPACE[flat[end - 1]]:
-            more = np.flatnonzero(SPACE[flat[end : end + PIECE]])
+        while end < len(flat) and not gap[flat[end - 1]]:
+            more = np.flatnonzero(gap[flat[end : end + PIECE]])
             end = end + int(more[0]) + 1 if len(more) else min(end + PIECE, len(flat))
         piece = LOWER[flat[at:end]]
-        space = SPACE[piece]
+        space = gap[piece]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         start, stop = edge[0::2], edge[1::2]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(piece)), dtype=np.uint64)])

@@ -3,14 +3,14 @@
 Which bytes go: every byte of a string of ``length`` (50) bytes that also starts in a
 document with a smaller id. The method, made for Spark:
 
-1. *Parse.* A rolling hash over 8 bytes gives each position a value; the smallest of
-   every ``TRIGGER_SPAN`` neighbours is a trigger. Whether a position is a trigger for
+1. *Parse.* A hash of the rolling window of 8 bytes gives each position a value; the smallest of
+   every ``TRIGGER_SPAN`` neighbours, the first among equals, is a trigger. Whether a position is a trigger for
    a given string depends on that string alone, so equal strings are cut alike wherever
    they stand. A phrase starts at a trigger; its first ``length - TRIGGER_SPAN + 1``
    bytes lie within every string that the trigger stands for.
-2. *Dictionary.* Batches send their distinct phrases with the least and the greatest id to
-   the phrase's partition. A phrase of one document only cannot be part of a repeat, so
-   only phrases of two documents or more stay in the dictionary.
+2. *Dictionary.* Batches send their distinct phrases to the phrase's partition, each with a bit
+   for whether two ids of the batch have it. A phrase of one document only cannot be
+   part of a repeat, so only those of two ids or two batches stay in the dictionary.
 3. *Order.* For these, the partition sorts the parse suffixes (the text from the trigger
    on, to the depth that can matter) and the dictionary suffixes (the text between a string's
    start and its trigger). Both suffix arrays with their longest common prefixes
@@ -39,7 +39,7 @@ from . import common as C
 
 HASH_BYTES = 8
 TRIGGER_SPAN = 24
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Parse:
@@ -66,60 +66,52 @@ class Parse:
     def _triggers(self, flat: np.ndarray, a: int, b: int):
         base, end = int(self.offsets[a]), int(self.offsets[b])
         text = flat[base:end]
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         if len(text) < self.length:
-            return none
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * C.powers(C.BASE, len(text)), dtype=np.uint64)])
-        inverse = C.powers(C.BASE_INV, len(text))
-        h = C.mix((total[HASH_BYTES:] - total[:-HASH_BYTES]) * inverse[: len(text) - HASH_BYTES + 1])
-        least = C.sliding_min(h, TRIGGER_SPAN)
-        # which strings lie within one text: those whose last byte is before the text's end
-        starts = np.arange(len(text) - self.length + 1)
-        bounds = self.offsets[a : b + 1] - base
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        inside = starts + self.length <= bounds[doc + 1]
-        starts, doc = starts[inside], doc[inside]
-        if not len(starts):
-            return none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        window = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - HASH_BYTES + 1,), (1,))  # the 8 bytes from each place on
+        n = len(text) - self.length + 1
         # the trigger of a string: the first place of the least value among its first TRIGGER_SPAN
-        least = least[starts]
-        anchor = np.full(len(starts), -1, np.int64)
-        todo = np.arange(len(starts))
-        for j in range(TRIGGER_SPAN):
-            hit = h[starts[todo] + j] == least[todo]
-            anchor[todo[hit]] = starts[todo[hit]] + j
-            todo = todo[~hit]
-            if not len(todo):
-                break
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-        last = np.concatenate([new[1:], [len(starts)]]) - 1
-        at = anchor[new]
-        farthest, nearest = at - starts[new], at - starts[last]  # bytes between a string's start and the trigger
-        phrases = C.mix((total[at + self.phrase] - total[at]) * inverse[at] + np.uint64(self.phrase))
-        return doc[new] + a, at + base, farthest * 64 + nearest, phrases
+        value = (window[: n + TRIGGER_SPAN - 1] * np.uint64(C.BASE)) & np.uint64(0xFFFFFFFF00000000)
+        value |= np.arange(len(value), dtype=np.uint64)
+        anchor = C.sliding_min(value, TRIGGER_SPAN).astype(np.uint32)
+        # strings that lie within one text
+        inside = np.ones(n, bool)
+        for x in (self.offsets[a + 1 : b] - base).tolist():
+            inside[max(0, x - self.length + 1) : x] = False
+        turn = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(inside & np.concatenate([[True], turn | ~inside[:-1]]))
+        last = np.flatnonzero(inside & np.concatenate([turn | ~inside[1:], [True]]))
+        at = anchor[first].astype(np.int64)
+        doc = np.searchsorted(self.offsets[a : b + 1] - base, first, "right") - 1 + a
+        farthest, nearest = at - first, at - last  # bytes between a string's start and the trigger
+        phrases = np.full(len(at), self.phrase, np.uint64)
+        for k in [*range(0, self.phrase - HASH_BYTES, HASH_BYTES), self.phrase - HASH_BYTES]:
+            phrases = C.mix(phrases * np.uint64(C.BASE) + window[at + k])
+        return doc, at + base, farthest * 64 + nearest, phrases
 
     def keys(self):
-        """Distinct phrases, sorted; the least and greatest id of each; the trigger's place among them."""
+        """Distinct phrases, sorted; whether several ids have each; the trigger's place among them."""
         keys, back = np.unique(self.hash, return_inverse=True)
         low, high = np.full(len(keys), 2**63 - 1, np.int64), np.full(len(keys), C.NULL_ID, np.int64)
         np.minimum.at(low, back, self.ids[self.doc])
         np.maximum.at(high, back, self.ids[self.doc])
-        return keys, low, high, back
+        return keys, low < high, back
 
     def contexts(self, chosen: np.ndarray) -> np.ndarray:
-        """For each chosen trigger TRIGGER_SPAN - 1 bytes before it and length bytes from it on, 0 beyond the text, then the span's two numbers."""
+        """For each chosen trigger TRIGGER_SPAN - 1 bytes before it and length bytes from it on, 0 beyond its strings, then the span's two numbers."""
         left = TRIGGER_SPAN - 1
-        at, doc = self.at[chosen], self.doc[chosen]
+        at = self.at[chosen]
         out = np.zeros((len(chosen), left + self.length + 2), np.uint8)
+        first, last = at - self.span[chosen] // 64, at - self.span[chosen] % 64 + self.length  # what its strings cover
         for k in range(-left, self.length):
             place = at + k
-            ok = (place >= self.offsets[doc]) & (place < self.offsets[doc + 1])
+            ok = (place >= first) & (place < last)
             out[ok, left + k] = self.flat[place[ok]]
         out[:, -2], out[:, -1] = self.span[chosen] // 64, self.span[chosen] % 64
         return out
 
 
-REQUEST = "batch int, part int, keys binary, low binary, high binary"
+REQUEST = "batch int, part int, keys binary, several binary"
 FLAGS = "batch int, kind int, part int, body binary"
 FLAG_ROWS = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
 
@@ -127,23 +119,22 @@ FLAG_ROWS = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("part", pa.
 def _phrases(length: int, n: int):
     def run(table: pa.Table) -> pa.Table:
         batch = int(C.numbers(table, "batch")[0])
-        keys, low, high, _ = Parse(table, length).keys()
-        rows = [(batch, p, C.pack_sorted(keys[a:b]), C.pack(low[a:b]), C.pack(high[a:b])) for p, a, b in C.deal(keys, n)]
-        return C.as_table(rows, pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("high", pa.binary())]))
+        keys, several, _ = Parse(table, length).keys()
+        rows = [(batch, p, C.pack_sorted(keys[a:b]), C.pack(np.packbits(several[a:b]))) for p, a, b in C.deal(keys, n)]
+        return C.as_table(rows, pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())]))
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For each batch's phrases of this partition one bit: whether documents of two ids hold it."""
+    """For each batch's phrases of this partition one bit: whether two ids, or two batches, have it."""
     part = int(C.numbers(table, "part")[0])
     batches = C.numbers(table, "batch")
     sent = [C.unpack_sorted(x.as_py()) for x in table.column("keys")]
+    told = [np.unpackbits(C.unpack(x.as_py(), np.uint8))[: len(k)] for x, k in zip(table.column("several"), sent, strict=True)]
     keys, back = np.unique(np.concatenate(sent), return_inverse=True)
-    low, high = np.full(len(keys), 2**63 - 1, np.int64), np.full(len(keys), C.NULL_ID, np.int64)
-    np.minimum.at(low, back, np.concatenate([C.unpack(x.as_py(), np.int64) for x in table.column("low")]))
-    np.maximum.at(high, back, np.concatenate([C.unpack(x.as_py(), np.int64) for x in table.column("high")]))
-    several, rows, at = (low < high)[back], [], 0
+    several = (np.bincount(back, minlength=len(keys)) > 1) | (np.bincount(back, np.concatenate(told), len(keys)) > 0)
+    several, rows, at = several[back], [], 0
     for b, k in zip(batches, sent, strict=True):
         rows.append((int(b), 1, part, C.pack(np.packbits(several[at : at + len(k)]))))
         at += len(k)
@@ -155,7 +146,7 @@ def _records(parse: Parse, answers: pa.Table, n: int):
 
     Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers and their places among the contexts.
     """
-    keys, _, _, back = parse.keys()
+    keys, _, back = parse.keys()
     flag = np.zeros(len(keys), bool)
     said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 1}
     for p, a, b in C.deal(keys, n):
@@ -222,7 +213,7 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 
 def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
-    """For each context and each distance j of a string's start from the trigger, the least id with that string."""
+    """For each context and each distance j that it has of a string's start from the trigger, the least id with that string."""
     left = TRIGGER_SPAN - 1
     dictionary, parse = rows[:, :left][:, ::-1], rows[:, left : left + length]
     parse_order, parse_common = _suffix_order(parse)
@@ -231,6 +222,8 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
     out = np.full((len(rows), TRIGGER_SPAN), 2**63 - 1, np.int64)
     for j in range(TRIGGER_SPAN):
         mine = np.flatnonzero((near <= j) & (j <= far))
+        if j:
+            out[:, j] = out[:, j - 1]  # where the distance isn't used
         if not len(mine):
             continue
         key = (_classes(parse_order, parse_common, length - j)[mine] << 31) | _classes(left_order, left_common, j)[mine]
@@ -254,7 +247,8 @@ def _order(length: int):
         least = least_ids(np.concatenate(sent), low, length)
         rows, at = [], 0
         for b, x in zip(C.numbers(table, "batch"), sent, strict=True):
-            rows.append((int(b), 2, part, C.pack(least[at : at + len(x)].ravel())))
+            steps = np.diff(least[at : at + len(x)], axis=1, prepend=np.int64(0))  # mostly zero
+            rows.append((int(b), 2, part, C.pack(steps.ravel())))
             at += len(x)
         return C.as_table(rows, FLAG_ROWS)
 
@@ -268,11 +262,11 @@ def _remove(length: int, n: int, with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
         if not table.num_rows:
-            return C.as_table([], schema)
+            return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
         parse = Parse(table, length)
         deal, _, _, chosen, place = _records(parse, answers, n)
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
-        least = np.concatenate([C.unpack(said[p], np.int64).reshape(-1, TRIGGER_SPAN) for p, _, _ in deal]) if deal else np.zeros((0, TRIGGER_SPAN), np.int64)
+        least = np.concatenate([C.unpack(said[p], np.int64).reshape(-1, TRIGGER_SPAN).cumsum(axis=1) for p, _, _ in deal]) if deal else np.zeros((0, TRIGGER_SPAN), np.int64)
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
         own = parse.ids[parse.doc[chosen]]
         far, near = parse.span[chosen] // 64, parse.span[chosen] % 64
@@ -285,30 +279,31 @@ def _remove(length: int, n: int, with_text: bool):
         gone = np.cumsum(edge[:-1]) > 0
         begun = gone & ~np.concatenate([[False], gone[:-1]])
         begun[parse.offsets[:-1][np.diff(parse.offsets) > 0]] |= gone[parse.offsets[:-1][np.diff(parse.offsets) > 0]]
-        rows = []
+        rows, extra = [], [table.column("more")] if "more" in table.column_names else []
         for k, (a, b) in enumerate(zip(parse.offsets[:-1].tolist(), parse.offsets[1:].tolist(), strict=True)):
             cut = int(gone[a:b].sum())
             kept = parse.flat[a:b][~gone[a:b]].tobytes() if cut else bytes(parse.data[a:b])
             # a cut may split a character whose bytes were shared: the digest has the bytes, the text drops the fragment
             rows.append((int(parse.ids[k]), b - a, cut, int(begun[a:b].sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-        return C.as_table(rows, schema)
+        out = C.as_table(rows, schema)
+        return out.append_column("more", extra[0]) if extra else out
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (the remaining text)."""
+def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id_col, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (the remaining text), then the columns keep."""
     if not TRIGGER_SPAN + HASH_BYTES <= length < 200:
         raise ValueError(f"length must be from {TRIGGER_SPAN + HASH_BYTES} to 199")
     spark = docs.sparkSession
     n = C.batch_count(docs, text_col)
-    parts = 2 * C.partitions(spark)
-    batches = C.in_batches(docs, n, id_col, text_col)
+    parts = C.partitions(spark)
+    batches = C.in_batches(docs, n, id_col, text_col, **({"more": F.struct(*keep)} if keep else {}))
     phrases = batches.groupBy("batch").applyInArrow(_phrases(length, parts), REQUEST)
     flags = phrases.groupBy("part").applyInArrow(_shared, FLAGS)
     contexts = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_contexts(length, parts), CONTEXTS)
     order = contexts.groupBy("part").applyInArrow(_order(length), FLAGS)
     answers = flags.unionByName(order)
-    result = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remove(length, parts, with_text), RESULT)
+    result = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remove(length, parts, with_text), RESULT + (f", more {batches.schema['more'].dataType.simpleString()}" if keep else ""))
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    return result.select(C.null_id("id", id_col), *columns)
+    return result.select(C.null_id("id", id_col), *columns, *(F.col(f"more.{c}").alias(c) for c in keep))
