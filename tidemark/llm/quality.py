@@ -145,9 +145,10 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, keep: tuple[str, ..
             tails = [1 - _sigmoid(x - s) for x in m.thresholds]
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(np.sum(tails, axis=0)), pa.array(tails[0]), pa.array(tails[1])], [*names, "expected_grade", "p_ge_1", "p_ge_2"])
 
-    text = F.col(text_col).cast("string").alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*keep).alias("kept"), text) if keep else docs.select(F.col(id_col).cast("long").alias("id"), text)
-    names = [c for c in rows.columns if c != "text"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    others = [c for c in keep if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("kept")] if others else []))
+    names = [c for c in rows.columns if c != "text" or text_col in keep]  # the text goes back only if asked for
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     result = rows.mapInArrow(run, f"{types}, expected_grade double, p_ge_1 double, p_ge_2 double")
-    return result.select(F.col("id").alias(id_col), "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= least).alias("keep"), *(F.col(f"kept.{c}").alias(c) for c in keep))
+    kept = [F.col("text" if c == text_col else f"kept.{c}").alias(c) for c in keep]
+    return result.select(F.col("id").alias(id_col), "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= least).alias("keep"), *kept)
