@@ -103,6 +103,15 @@ def text_slices(table: pa.Table, name: str = "text") -> tuple[memoryview, np.nda
     return memoryview(buf[2] or b""), offsets
 
 
+def pieces(offsets: np.ndarray, size: int = 1 << 20):
+    """(first, last) row of runs of texts of about size bytes; a longer text is a run of its own."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1))
+        yield a, b
+        a = b
+
+
 # --- packed keys -----------------------------------------------------------------------------------------------
 
 

@@ -40,9 +40,8 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade"))
 
 
-def features(table: pa.Table):
-    """(text, feature) pairs, each once, sorted by text."""
-    data, offsets = C.text_slices(table)
+def features(data: memoryview, offsets: np.ndarray):
+    """(text, feature) pairs, each once."""
     h, counts = C.word_hashes(data, offsets, GAP)
     key = h >> np.uint64(64 - BITS)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -50,13 +49,13 @@ def features(table: pa.Table):
     key, doc = key[by], doc[by]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
     key, doc = key[new], doc[new]
-    flat = np.frombuffer(data, np.uint8)
+    offsets, flat = offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     capital, digit = (flat >= 65) & (flat <= 90), (flat >= 48) & (flat <= 57)
     symbol = GAP[flat] & ~C.SPACE[flat]
     size = np.maximum(np.diff(offsets), 1)
 
     def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return (total[offsets[1:]] - total[offsets[:-1]]) / size
 
     repeated = 1 - np.bincount(doc, minlength=len(counts)) / np.maximum(counts, 1)
@@ -77,16 +76,20 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def learn(row: np.ndarray, key: np.ndarray, grade: np.ndarray, least: int = 5, penalty: float = 5e-4, rounds: int = 200) -> Model:
-    """Adaptive proximal gradient descent on the ordinal log-likelihood. Features of fewer than least texts are left out."""
+def learn(row: np.ndarray, key: np.ndarray, grade: np.ndarray, least: int = 5, penalty: float = 0.05, rounds: int = 400) -> Model:
+    """Adaptive proximal gradient descent on the ordinal log-likelihood, with an L1 penalty of penalty / sqrt(texts).
+
+    Features of fewer than least texts are left out.
+    """
     n = len(grade)
-    if not n:
+    if not n or not len(key):
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1)))
     keys, back, texts = np.unique(key, return_inverse=True, return_counts=True)
     keep = texts >= least
     place = np.cumsum(keep) - 1
     used = keep[back]
-    row, col, keys = row[used], place[back[used]], keys[keep]
+    row, col, keys = row[used], place[back[used]].astype(np.int32), keys[keep]
+    del key, back, texts, place, used
     share = np.clip(np.array([(grade <= k).mean() for k in range(GRADES - 1)]), 1 / (n + 2), 1 - 1 / (n + 2))
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
     w, power, t_power = np.zeros(len(keys)), np.full(len(keys), 1e-8), np.full(GRADES - 1, 1e-8)
@@ -101,7 +104,7 @@ def learn(row: np.ndarray, key: np.ndarray, grade: np.ndarray, least: int = 5, p
         power += g * g
         step = 0.3 / np.sqrt(power)
         w -= step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty / np.sqrt(n), 0)
         gt = np.array([(-(slope[:, k + 1] * (grade == k)) + slope[:, k + 1] * (grade == k + 1)) @ (1 / p) / n for k in range(GRADES - 1)])
         t_power += gt * gt
         thresholds = np.maximum.accumulate(thresholds - 0.3 / np.sqrt(t_power) * gt)
@@ -118,15 +121,19 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     def run(tables):
         schema = pa.schema([("grade", pa.int32()), ("body", pa.binary())])
         for t in tables:
-            doc, key = features(pa.Table.from_batches([t]))
-            by = np.argsort(doc, kind="stable")
-            cuts = np.searchsorted(doc[by], np.arange(t.num_rows + 1))
-            yield pa.record_batch([t.column("grade"), pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
+            data, offsets = C.text_slices(pa.Table.from_batches([t]))
+            for first, last in C.pieces(offsets):
+                doc, key = features(data, offsets[first : last + 1])
+                by = np.argsort(doc, kind="stable")
+                cuts = np.searchsorted(doc[by], np.arange(last - first + 1))
+                yield pa.record_batch([t.column("grade")[first:last], pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
     found = rows.mapInArrow(run, "grade int, body binary").collect()  # fit_rows bounds it, but for repeated rows of an id
-    keys = [np.frombuffer(r["body"], np.uint64) for r in found]
-    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    return learn(row, np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.array([r["grade"] for r in found], np.int64))
+    grade = np.array([r["grade"] for r in found], np.int64)
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(r["body"]) // 8 for r in found])
+    key = np.frombuffer(b"".join([r["body"] for r in found]), np.uint64)
+    del found
+    return learn(row, key, grade)
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,12 +143,13 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, keep: tuple[str, ..
     def run(tables):
         for t in tables:
             m = sent.value
-            doc, key = features(pa.Table.from_batches([t]))
             s = np.zeros(t.num_rows)
-            if len(m.keys):
+            data, offsets = C.text_slices(pa.Table.from_batches([t]))
+            for a, b in C.pieces(offsets) if len(m.keys) else ():
+                doc, key = features(data, offsets[a : b + 1])
                 place = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
                 hit = m.keys[place] == key
-                s = np.bincount(doc[hit], m.weights[place[hit]], t.num_rows)
+                s[a:b] = np.bincount(doc[hit], m.weights[place[hit]], b - a)
             tails = [1 - _sigmoid(x - s) for x in m.thresholds]
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(np.sum(tails, axis=0)), pa.array(tails[0]), pa.array(tails[1])], [*names, "expected_grade", "p_ge_1", "p_ge_2"])
 

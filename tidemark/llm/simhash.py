@@ -88,14 +88,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, prints: int = 1, disti
         for batch in tables:
             table = pa.Table.from_batches([batch])
             data, offsets = C.text_slices(table)
-            ids, a = C.numbers(table, "id"), 0
-            while a < len(ids):
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), "right")) - 1)
-                b = min(b, len(ids))
+            ids = C.numbers(table, "id")
+            for a, b in C.pieces(offsets):
                 h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, distinct)
                 fp = [majority(h if not k else C.mix(h + np.uint64((k * C.BASE) & C.M64)), sizes) for k in range(prints)]
                 yield pa.record_batch([pa.array(ids[a:b]), *(pa.array(x.view(np.int64)) for x in fp)], schema=schema)
-                a = b
 
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id")
     return docs.select(ident, F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))

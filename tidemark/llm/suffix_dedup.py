@@ -50,19 +50,11 @@ class Parse:
         self.ids = C.numbers(table, "id").astype(np.int64)
         self.data, self.offsets = C.text_slices(table)
         flat = np.frombuffer(self.data, np.uint8)
-        found = [self._triggers(flat, a, b) for a, b in self._pieces()]
+        found = [self._triggers(flat, a, b) for a, b in C.pieces(self.offsets, PIECE)]
         parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
         self.doc, self.at, self.span, self.hash = parts[0], parts[1], parts[2], parts[3]
         self.flat = flat
 
-    def _pieces(self):
-        """(first, last) row of groups of texts of about PIECE bytes."""
-        a, n = 0, len(self.offsets) - 1
-        while a < n:
-            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + PIECE, "right")) - 1)
-            yield a, min(b, n)
-            a = min(b, n)
-
     def _triggers(self, flat: np.ndarray, a: int, b: int):
         base, end = int(self.offsets[a]), int(self.offsets[b])
         text = flat[base:end]
