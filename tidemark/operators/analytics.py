@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DATE = Window.partitionBy("datetime")
+
+def by_date() -> WindowSpec:
+    """The rows of a date."""
+    return Window.partitionBy("datetime")
 
 
 def pair(scores: DataFrame, labels: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def monthly_ic(rows: DataFrame) -> DataFrame:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Adds the place of each score from the top and from the bottom (ties by instrument) and the date's count."""
-    return rows.select("*", F.row_number().over(DATE.orderBy(F.col("score").desc(), "instrument")).alias("top"), F.row_number().over(DATE.orderBy(F.col("score").asc(), "instrument")).alias("bottom"), F.count("score").over(DATE).alias("n"))
+    return rows.select("*", F.row_number().over(by_date().orderBy(F.col("score").desc(), "instrument")).alias("top"), F.row_number().over(by_date().orderBy(F.col("score").asc(), "instrument")).alias("bottom"), F.count("score").over(by_date()).alias("n"))
 
 
 def long_short_return(rows: DataFrame, quantile: float = 0.2) -> DataFrame:
@@ -50,7 +53,7 @@ def long_short_precision(rows: DataFrame, quantile: float = 0.2, excess: bool =
     """datetime, long_precision (labels above zero in the top), short_precision (below zero in the bottom)."""
     rows = rows.filter("score is not null")
     if excess:
-        rows = rows.withColumn("label", F.col("label") - F.avg("label").over(DATE))
+        rows = rows.withColumn("label", F.col("label") - F.avg("label").over(by_date()))
     k = F.floor(F.col("n") * quantile)
     share = lambda place, hit: F.avg(F.when(F.col(place) <= k, F.coalesce(hit, F.lit(False)).cast("double")))
     return placed(rows).groupBy("datetime").agg(share("top", F.col("label") > 0).alias("long_precision"), share("bottom", F.col("label") < 0).alias("short_precision"))
@@ -75,8 +78,8 @@ def turnover(scores: DataFrame, groups: int = 5, lag: int = 1) -> DataFrame:
     """datetime, top, bottom: 1 - overlap / k of the best (worst) k by score and by the instrument's score lag bars before."""
     before = F.lag("score", lag).over(Window.partitionBy("instrument").orderBy("datetime"))
     rows = scores.select("*", before.alias("before"))
-    place = lambda c, up: F.row_number().over(DATE.orderBy(F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last(), "instrument"))
-    rows = rows.select("*", place("score", False).alias("t"), place("before", False).alias("t0"), place("score", True).alias("b"), place("before", True).alias("b0"), F.floor(F.count(F.lit(1)).over(DATE) / groups).alias("k"))
+    place = lambda c, up: F.row_number().over(by_date().orderBy(F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last(), "instrument"))
+    rows = rows.select("*", place("score", False).alias("t"), place("before", False).alias("t0"), place("score", True).alias("b"), place("before", True).alias("b0"), F.floor(F.count(F.lit(1)).over(by_date()) / groups).alias("k"))
     share = lambda x, y: 1 - F.try_divide(F.sum(F.when((F.col(x) <= F.col("k")) & (F.col(y) <= F.col("k")) & F.col("before").isNotNull(), 1).otherwise(0)), F.first("k"))
     return rows.groupBy("datetime").agg(share("t", "t0").alias("top"), share("b", "b0").alias("bottom"))
 

@@ -9,16 +9,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
 #: Fixed value: makes a median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
-DATE = Window.partitionBy("datetime")
 Groups = dict[str, list[str]]
 
 
+def by_date() -> WindowSpec:
+    """The rows of a date."""
+    return Window.partitionBy("datetime")
+
+
 @dataclass
 class Processor:
     group: str | None = None
@@ -97,7 +101,7 @@ class ReplaceInfinite(Processor):
     def change(self, name):
         x = F.col(name)
         infinite = F.abs(x) == F.lit(math.inf)
-        return F.when(infinite, F.avg(F.when(~infinite, x)).over(DATE)).otherwise(x)
+        return F.when(infinite, F.avg(F.when(~infinite, x)).over(by_date())).otherwise(x)
 
 
 @dataclass
@@ -111,7 +115,7 @@ class Fill(Processor):
 @dataclass
 class FillWithDateMean(Processor):
     def change(self, name):
-        return F.coalesce(F.col(name), F.avg(name).over(DATE))
+        return F.coalesce(F.col(name), F.avg(name).over(by_date()))
 
 
 @dataclass
@@ -183,9 +187,9 @@ class DateZScore(Processor):
     def apply(self, df, groups):
         names = self.names(groups)
         if self.method == "zscore":
-            return df.select(*(F.try_divide(F.col(c) - F.avg(c).over(DATE), F.stddev_samp(c).over(DATE)).alias(c) if c in names else F.col(c) for c in df.columns))
-        df = df.select("*", *((F.col(c) - F.percentile(c, F.lit(0.5)).over(DATE)).alias(f"{c}|d") for c in names))
-        z = {c: F.try_divide(F.col(f"{c}|d"), F.percentile(F.abs(F.col(f"{c}|d")), F.lit(0.5)).over(DATE) * MAD_SCALE) for c in names}
+            return df.select(*(F.try_divide(F.col(c) - F.avg(c).over(by_date()), F.stddev_samp(c).over(by_date())).alias(c) if c in names else F.col(c) for c in df.columns))
+        df = df.select("*", *((F.col(c) - F.percentile(c, F.lit(0.5)).over(by_date())).alias(f"{c}|d") for c in names))
+        z = {c: F.try_divide(F.col(f"{c}|d"), F.percentile(F.abs(F.col(f"{c}|d")), F.lit(0.5)).over(by_date()) * MAD_SCALE) for c in names}
         return df.select(*((F.when(z[c].isNotNull(), F.greatest(F.least(z[c], F.lit(3.0)), F.lit(-3.0))).alias(c) if c in names else F.col(c)) for c in df.columns if not c.endswith("|d")))
 
 
@@ -194,9 +198,9 @@ class DateRank(Processor):
     """(percent rank with ties averaged - 0.5) * 3.46 across a date."""
 
     def change(self, name):
-        rank = F.rank().over(DATE.orderBy(F.col(name).asc_nulls_last()))
+        rank = F.rank().over(by_date().orderBy(F.col(name).asc_nulls_last()))
         ties = F.count(F.lit(1)).over(Window.partitionBy("datetime", name))
-        return F.when(F.col(name).isNotNull(), ((rank + (ties - 1) / 2) / F.count(name).over(DATE) - 0.5) * 3.46)
+        return F.when(F.col(name).isNotNull(), ((rank + (ties - 1) / 2) / F.count(name).over(by_date()) - 0.5) * 3.46)
 
 
 @dataclass
