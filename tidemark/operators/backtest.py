@@ -35,7 +35,7 @@ METRICS = "strategy string, datetime date, account double, ret double, turnover
 def candidates(scores: DataFrame, bars: DataFrame, strategies: list[TopkDropout]) -> DataFrame:
     """strategy, its parameters, and date, instrument, score (of the bar before), close of the names it may come to hold."""
     spark = scores.sparkSession
-    settings = spark.createDataFrame([tuple(asdict(s).values()) for s in strategies], "strategy string, k int, n_drop int, cash double, risk_degree double, open_cost double, close_cost double, min_cost double, unit double")
+    settings = spark.createDataFrame([tuple(v if k in ("name", "k", "n_drop") else float(v) for k, v in asdict(s).items()) for s in strategies], "strategy string, k int, n_drop int, cash double, risk_degree double, open_cost double, close_cost double, min_cost double, unit double")
     date = Window.partitionBy("datetime").orderBy(F.col("score").desc_nulls_last(), "instrument")
     placed = scores.filter("score is not null").withColumn("place", F.row_number().over(date))
     best = placed.groupBy("instrument").agg(F.min("place").alias("best"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics, backtest, feature_sets, filters, health, portfolio, processors, resample
+from tidemark.operators import analytics, backtest, execution, feature_sets, filters, health, loaders, portfolio, processors, resample, riskmodels
 from tidemark.plans.compiler import Panel, features
 from tidemark.sources import panels
 from tidemark.streaming import bars as streaming
@@ -426,3 +426,77 @@ def bars_streaming(spark, sf):
     path = f"{base}/stream-{uuid.uuid4().hex}"
     streaming.run_available(streaming.stream_bars(ticks, "event_type", "ts", "value"), path)
     return rounded(spark.read.parquet(f"{path}/data").withColumn("datetime", F.to_date("datetime")))
+
+
+# --- loaders, execution, risk models -------------------------------------------------------------------------------
+
+
+@query("loader_nested", f"WITH {USER}, x AS (SELECT instrument, datetime, close, open, close - lag(close) OVER (PARTITION BY instrument ORDER BY datetime) AS move FROM p) SELECT x.instrument, x.datetime, round(x.open, 6) AS open, round(x.move, 6) AS move, round(y.volume * 2, 6) AS close FROM x LEFT JOIN p y ON y.instrument = x.instrument AND y.datetime = x.datetime AND y.volume > 1")
+def loader_nested(spark, sf):
+    """Of the column that both frames have the later frame's stays."""
+    p = users(spark, sf)
+    first = loaders.load(p, {"feature": {"close": "$close", "open": "$open"}, "label": (["Delta($close, 1)"], ["move"])})
+    second = loaders.load(p, {"feature": {"close": "$volume * 2", "volume": "$volume"}})
+    second = loaders.Frame(second.rows.filter("volume > 1").drop("volume"), {"feature": ["close"]})
+    return rounded(loaders.nested([first, second]).rows)
+
+
+@query("twap_orders", f"WITH {USER}, o AS (SELECT instrument || '-1' AS order_id, instrument, DATE '2024-01-05' AS s, DATE '2024-01-14' AS e, 1000.0 AS amount FROM span), r AS (SELECT o.*, p.datetime, row_number() OVER (PARTITION BY order_id ORDER BY p.datetime) AS k, count(*) OVER (PARTITION BY order_id) AS n FROM o JOIN p ON p.instrument = o.instrument AND p.datetime BETWEEN s AND e), u AS (SELECT *, CASE WHEN k < n THEN floor(amount * k / n / 10) * 10 ELSE amount END AS hi, floor(amount * (k - 1) / n / 10) * 10 AS lo FROM r) SELECT order_id, instrument, datetime, round(hi - lo, 6) AS amount FROM u")
+def twap_orders(spark, sf):
+    p = users(spark, sf)
+    orders = panels.universe_of(p.bars).select(F.concat("instrument", F.lit("-1")).alias("order_id"), "instrument", F.lit(dt.date(2024, 1, 5)).alias("start"), F.lit(dt.date(2024, 1, 14)).alias("end"), F.lit(1000.0).alias("amount"))
+    return rounded(execution.twap(orders, p.bars, unit=10))
+
+
+@query("volume_limited", f"WITH {TYPE}, l AS (SELECT instrument, datetime, sum(50.0) OVER w AS want, sum(volume * 0.5) OVER w AS can FROM p WINDOW w AS (PARTITION BY instrument ORDER BY datetime)), d AS (SELECT *, least(want, can) AS done FROM l) SELECT instrument, datetime, round(greatest(done - coalesce(lag(done) OVER (PARTITION BY instrument ORDER BY datetime), 0), 0), 6) AS deal_amount FROM d")
+def volume_limited(spark, sf):
+    rows = types(spark, sf).bars.select(F.col("instrument").alias("order_id"), "instrument", "datetime", F.lit(50.0).alias("amount"), "volume")
+    return rounded(execution.volume_limited(rows, 0.5, "cum").select("instrument", "datetime", "deal_amount"))
+
+
+@query("base_price", f"WITH {USER} SELECT instrument AS order_id, round(sum(close * volume) / sum(volume), 6) AS base_price FROM p WHERE close IS NOT NULL AND datetime BETWEEN DATE '2024-01-05' AND DATE '2024-01-14' GROUP BY 1")
+def base_price(spark, sf):
+    p = users(spark, sf)
+    orders = panels.universe_of(p.bars).select(F.col("instrument").alias("order_id"), "instrument", F.lit(dt.date(2024, 1, 5)).alias("start"), F.lit(dt.date(2024, 1, 14)).alias("end"))
+    return rounded(execution.base_price(p.bars, orders, "vwap"))
+
+
+@query("soft_topk", f"WITH {SCORES}, b AS (SELECT instrument, datetime, 0.1 AS wanted FROM q WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 10), c AS (SELECT instrument, datetime, 1.0 / count(*) OVER (PARTITION BY datetime) AS weight FROM p), j AS (SELECT instrument, datetime, coalesce(weight, 0) AS weight, greatest(least(coalesce(wanted, 0) - coalesce(weight, 0), 0.02), -0.02) AS step FROM c FULL JOIN b USING (instrument, datetime)), z AS (SELECT *, 1 - sum(weight) OVER d + sum(CASE WHEN step < 0 THEN -step ELSE 0 END) OVER d AS freed, sum(CASE WHEN step > 0 THEN step ELSE 0 END) OVER d AS want FROM j WINDOW d AS (PARTITION BY datetime)), w AS (SELECT instrument, datetime, weight + CASE WHEN step > 0 THEN step * CASE WHEN want > freed THEN freed / want ELSE 1 END ELSE step END AS weight FROM z) SELECT instrument, datetime, round(weight, 6) AS weight FROM w WHERE weight > 1e-12")
+def soft_topk(spark, sf):
+    rows = scored(spark, sf)
+    current = rows.select("instrument", "datetime", (1.0 / F.count("*").over(analytics.by_date())).alias("weight"))
+    return rounded(execution.soft_topk(rows.select("instrument", "datetime", "score"), current, 10, 0.02))
+
+
+@query("pair_covariance", f"WITH {RETURNS} SELECT x.series AS a, y.series AS b, round(covar_samp(x.ret, y.ret), 9) AS cov FROM rr x JOIN rr y ON x.datetime = y.datetime AND x.series <= y.series GROUP BY 1, 2")
+def pair_covariance(spark, sf):
+    r = returns(spark, sf).select(F.col("series").alias("instrument"), "datetime", "ret")
+    return riskmodels.pair_covariance(r).withColumn("cov", F.round("cov", 9))
+
+
+@query("shrunk_covariance")
+def shrunk_covariance(spark, sf):
+    r = returns(spark, sf).select(F.date_format("datetime", "yyyyMM").alias("key"), F.col("series").alias("instrument"), "datetime", "ret")
+    return riskmodels.covariances(r, "const_corr")
+
+
+@query("risk_parity")
+def risk_parity(spark, sf):
+    r = returns(spark, sf).select(F.date_format("datetime", "yyyyMM").alias("key"), F.col("series").alias("instrument"), "datetime", "ret")
+    return rounded(riskmodels.weights(r, "rp", "const_var"))
+
+
+@query("index_sum", f"WITH {USER} SELECT instrument, datetime, round(coalesce(close, 0) + coalesce(CASE WHEN volume > 1 THEN volume END, 0), 6) AS value FROM p")
+def index_sum(spark, sf):
+    bars = users(spark, sf).bars
+    return rounded(execution.sum_by_index([bars.select("instrument", "datetime", F.col("close").alias("value")), bars.filter("volume > 1").select("instrument", "datetime", F.col("volume").alias("value"))], ["instrument", "datetime"]))
+
+
+@query("monthly_risk", f"WITH {RETURNS}, m AS (SELECT series, strftime(datetime, '%Y%m') AS month, datetime, ret, sum(ret) OVER (PARTITION BY series, strftime(datetime, '%Y%m') ORDER BY datetime) AS level FROM rr), f AS (SELECT *, level - max(level) OVER (PARTITION BY series, month ORDER BY datetime) AS fall FROM m) SELECT series, month, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS std, round(avg(ret) * 238, 6) AS annualized_return, round(avg(ret) / stddev_samp(ret) * sqrt(238), 6) AS information_ratio, round(min(fall), 6) AS max_drawdown FROM f GROUP BY 1, 2")
+def monthly_risk(spark, sf):
+    return rounded(portfolio.monthly_risk(returns(spark, sf).select("series", "datetime", "ret")))
+
+
+@query("compound_risk", f"WITH {RETURNS}, l AS (SELECT series, datetime, ln(1 + ret) AS g, exp(sum(ln(1 + ret)) OVER (PARTITION BY series ORDER BY datetime)) AS level FROM rr), f AS (SELECT *, level / max(level) OVER (PARTITION BY series ORDER BY datetime) - 1 AS fall FROM l) SELECT series, round(exp(avg(g)) - 1, 6) AS mean, round(stddev_samp(g), 6) AS std, round(pow(exp(avg(g)), 238) - 1, 6) AS annualized_return, round(avg(g) / stddev_samp(g) * sqrt(238), 6) AS information_ratio, round(min(fall), 6) AS max_drawdown FROM f GROUP BY 1")
+def compound_risk(spark, sf):
+    return rounded(portfolio.compound_risk(returns(spark, sf).select("series", "datetime", "ret")))
