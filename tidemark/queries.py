@@ -45,8 +45,8 @@ def types(spark: SparkSession, sf: str) -> Panel:
     return panels.event_panel(spark, sf, "event_type")
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, PLACES).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _expression(name: str, text: str, sql: str, start: str | None = None) -> None:
@@ -57,7 +57,7 @@ def _expression(name: str, text: str, sql: str, start: str | None = None) -> Non
 
     windows = "WINDOW s AS (PARTITION BY instrument ORDER BY datetime), w5 AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), wx AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     inner = f"SELECT instrument, datetime, {sql} AS v FROM x {windows}"
-    value = "v" if text.startswith(("Gt", "Ge", "Lt", "Le", "Eq", "Ne", "And", "Or", "Not", "IsNull", "IsInf", "Date")) else f"round(CAST(v AS DOUBLE), {PLACES})"
+    value = "v" if text.startswith(tuple(f"{x}(" for x in ("Gt", "Ge", "Lt", "Le", "Eq", "Ne", "And", "Or", "Not", "IsNull", "IsInf", "Date"))) else f"round(CAST(v AS DOUBLE), {PLACES})"
     query(name, f"WITH {USER}, x AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY datetime) AS prev FROM p) SELECT instrument, datetime, {value} AS value FROM ({inner})" + (f" WHERE datetime >= DATE '{start}'" if start else ""))(run)
 
 
@@ -213,22 +213,22 @@ def filter_history(spark, sf):
     return rounded(filters.full_history(users(spark, sf).bars, dt.date(2024, 1, 1), dt.date(2024, 1, 30)).select("instrument", "datetime", "close"))
 
 
-def _processor(name: str, step: processors.Processor, sql: str, before: str = "") -> None:
+def _processor(name: str, step: processors.Processor, sql: str, places: int = PLACES) -> None:
     def run(spark, sf):
         df, groups = users(spark, sf).bars.select("instrument", "datetime", "close"), {"feature": ["close"]}
         import copy
 
         own = copy.deepcopy(step).fit(df, groups)
-        return rounded(own.apply(df, groups))
+        return rounded(own.apply(df, groups), places)
 
-    query(f"process_{name}", f"WITH {USER}{before} SELECT instrument, datetime, round({sql}, {PLACES}) AS close FROM p")(run)
+    query(f"process_{name}", f"WITH {USER} SELECT instrument, datetime, round({sql}, {places}) AS close FROM p")(run)
 
 
 _processor("min_max", processors.MinMax(), "(close - (SELECT min(close) FROM p)) / ((SELECT max(close) FROM p) - (SELECT min(close) FROM p))")
 _processor("zscore", processors.ZScore(end=dt.date(2024, 1, 20)), "(close - (SELECT avg(close) FROM p WHERE datetime <= DATE '2024-01-20')) / (SELECT stddev_pop(close) FROM p WHERE datetime <= DATE '2024-01-20')")
 _processor("robust", processors.RobustZScore(), "CASE WHEN close IS NOT NULL THEN greatest(least((close - md) / ((mad(close) OVER () + 1e-12) * 1.4826), 3), -3) END".replace("md", "(SELECT median(close) FROM p)"))
 _processor("date_zscore", processors.DateZScore(), "(close - avg(close) OVER d) / nullif(stddev_samp(close) OVER d, 0)".replace("OVER d", "OVER (PARTITION BY datetime)"))
-_processor("date_rank", processors.DateRank(), "CASE WHEN close IS NOT NULL THEN ((rank() OVER (PARTITION BY datetime ORDER BY close NULLS LAST) + (count(*) OVER (PARTITION BY datetime, close) - 1) / 2.0) / count(close) OVER (PARTITION BY datetime) - 0.5) * 3.46 END")
+_processor("date_rank", processors.DateRank(), "CASE WHEN close IS NOT NULL THEN ((rank() OVER (PARTITION BY datetime ORDER BY close NULLS LAST) + (count(*) OVER (PARTITION BY datetime, close) - 1) / 2.0) / count(close) OVER (PARTITION BY datetime) - 0.5) * 3.46 END", places=9)  # ranks are simple fractions: at six places some lie on the edge
 _processor("fill", processors.Fill(value=7), "coalesce(close, 7)")
 _processor("date_fill", processors.FillWithDateMean(), "coalesce(close, avg(close) OVER (PARTITION BY datetime))")
 _processor("infinite", processors.ReplaceInfinite(), "close")
