@@ -104,6 +104,7 @@ def mix(
     used = drawn.filter(turn < cap).select("sid", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
 
     names = ["id", "size", "start", "sid", "source_size", "target"]
-    taken = overlap.join(used, ["sid", "block"], "left").groupBy(*names).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"), F.first("kept").alias("kept"))
+    # both sides grow with the data, but the planner takes the exploded slots for as small as the list of sources: no broadcast
+    taken = overlap.join(used.hint("merge"), ["sid", "block"], "left").groupBy(*names).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"), F.first("kept").alias("kept"))
     rows = taken.unionByName(placed.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"), "kept"))
     return rows.select(C.null_id("id", id_col), "size", "source_size", "target", "taken", *(F.col(f"kept.{k}").alias(k) for k in keep))
