@@ -95,11 +95,12 @@ def deal(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
 
 def text_slices(table: pa.Table, name: str = "text") -> tuple[memoryview, np.ndarray]:
     """The UTF-8 bytes of a column, without copying, and its n + 1 offsets; null is empty."""
-    got = column(table, name).fill_null("")
+    got = column(table, name)
+    got = got.fill_null("") if got.null_count else got
     if not len(got):
         return memoryview(b""), np.zeros(1, np.int64)
     buf = got.buffers()
-    offsets = np.frombuffer(buf[1], np.int32 if got.type == pa.string() else np.int64)[got.offset : got.offset + len(got) + 1].astype(np.int64)
+    offsets = np.frombuffer(buf[1], np.int32 if got.type in (pa.string(), pa.binary()) else np.int64)[got.offset : got.offset + len(got) + 1].astype(np.int64)
     return memoryview(buf[2] or b""), offsets
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS = 40
-FIT_ROWS = 12_000
+FIT_ROWS = 6_000
 GRADES = 3
 #: Words of letters, digits and bytes beyond ASCII.
 GAP = np.ones(256, bool)
@@ -135,10 +135,11 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
                 cuts = np.searchsorted(doc[by], np.arange(last - first + 1))
                 yield pa.record_batch([t.column("grade")[first:last], pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
-    found = rows.mapInArrow(run, "grade int, body binary").collect()  # fit_rows bounds it, but for repeated rows of an id
-    grade = np.array([r["grade"] for r in found], np.int64)
-    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(r["body"]) // 8 for r in found])
-    key = np.frombuffer(b"".join([r["body"] for r in found]), np.uint64)
+    found = rows.mapInArrow(run, "grade int, body binary").toArrow()  # fit_rows bounds it, but for repeated rows of an id
+    grade = C.numbers(found, "grade").astype(np.int64)
+    data, offsets = C.text_slices(found, "body")
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(offsets) // 8)
+    key = np.frombuffer(data, np.uint64)[offsets[0] // 8 : offsets[-1] // 8]
     del found
     return learn(row, key, grade)
 

@@ -242,8 +242,8 @@ def link(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         lead = max_bits if max_bits <= 3 else max_bits // 2
         front = F.shiftrightunsigned(F.col("fp"), 64 - TOP_LEVELS) if not turn else F.shiftrightunsigned(F.shiftleft(F.col("fp"), turn), 64 - TOP_LEVELS)
         counts = np.zeros(1 << TOP_LEVELS, np.int64)
-        for r in prints.groupBy(front.cast("int").alias("front")).count().collect():  # at most 2**TOP_LEVELS rows
-            counts[r["front"]] = r["count"]
+        seen = prints.groupBy(front.cast("int").alias("front")).count().toArrow()  # at most 2**TOP_LEVELS rows
+        counts[C.numbers(seen, "front")] = C.numbers(seen, "count")
         depths, prefixes = cut_top(counts)
         edges = prefixes << (TOP_LEVELS - depths)
         schema = pa.schema([("block", pa.int32()), ("fp", pa.int64())])
