@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tidemark import queries as engine
 
-NAMES = ["technical_features", "lagged_features", "feature_families", "expr_mean", "expr_rank", "expr_ema", "panel_dense", "process_date_rank", "handler_learn", "ic", "group_returns", "turnover", "risk", "long_short_backtest", "topk_dropout", "pit_latest", "resample_week", "filter_expression"]
+NAMES = ["supply_factors", "technical_features", "lagged_features", "feature_families", "expr_mean", "expr_rank", "expr_ema", "panel_dense", "process_date_rank", "handler_learn", "ic", "group_returns", "turnover", "risk", "long_short_backtest", "topk_dropout", "pit_latest", "resample_week", "filter_expression"]
 
 
 def main() -> None:
