@@ -24,11 +24,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, keep=("text", "lang", "source", "n_chars")).filter("keep").select(*COLUMNS)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't in ids, a table of one column; rows without an id stay.
+
+    Up to SMALL ids are broadcast, so that the texts stay where they are.
+    """
+    ids = common.written(ids.select(F.col(ids.columns[0]).alias("out")).distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col("doc_id") == F.col("out"), "left_anti")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that SimHash links: five-word shingles, four fingerprints, seven bits."""
-    groups = simhash.near_duplicates(docs, shingle_words=5, max_bits=7, prints=4, distinct=True)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps the document with the smallest id of each group that SimHash links: five-word shingles, four fingerprints, seven bits.
+
+    Of rows with one id one stays. Rows without an id can't be told apart and stay.
+    """
+    groups = common.written(simhash.near_duplicates(docs, shingle_words=5, max_bits=7, prints=4, distinct=True), "groups")
+    kept = without(docs, groups.filter("doc_id <> component_id").select("doc_id")).select(*COLUMNS)
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        rows = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS)
+        kept = without(kept, repeated).unionByName(rows.dropDuplicates(["doc_id"]))
+    return kept
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +56,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated with benchmark windows."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(*COLUMNS)
+    return without(docs, found.filter("contaminated").select("doc_id")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +64,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs)
 
 
+#: So many ids (16 MB) may be broadcast.
+SMALL = 2_000_000
 #: Some 15 words: passages that documents share go, chance repeats of a few words stay.
 PASSAGE_BYTES = 100
 
