@@ -1,8 +1,13 @@
+import os
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+#: Workers find the package wherever the tests are started from.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parents[1]), *filter(None, [os.environ.get("PYTHONPATH")])])
+
 
 @pytest.fixture(scope="session")
 def spark():
