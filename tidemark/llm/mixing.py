@@ -10,8 +10,8 @@ block numbers (a new one for each pass over them), and blocks join their slots b
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share the total size;
 a target stops at ``cap`` times its source's size and the excess is shared again by weight.
 
-A source of any size is cut into ``BUCKETS`` runs of documents by a hash of the id; only sums of
-buckets are brought together. The one window without a partition is over the list of sources.
+A source of any size is cut into runs of documents by a hash of the id and text; only sums of
+buckets are brought together. Shards are dealt out by source and number before they become slots. The one window without a partition is over the list of sources.
 
 Cases: a null text has size 0 and takes nothing; a null source is a source; null ids are kept; repeated
 rows each get a row and their own place in the stream; an empty table gives an empty result.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 1024
+#: A source is cut into at least BUCKETS runs, into more from BUCKETS * BUCKET_ROWS documents on.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 20
 #: The ten largest primes below 2**21. One that doesn't divide n gives a permutation of 0 .. n - 1 for n below 2**41.
 PRIMES = [2097143, 2097133, 2097131, 2097097, 2097091, 2097083, 2097047, 2097041, 2097031, 2097023]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +75,9 @@ def mix(
     """One row for each document: id_col, size, source_size, target, taken (words of it in the mix, repeats counted), then the columns keep."""
     text = F.col(text_col).cast("string")
     sized = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), F.xxhash64(text).alias("body"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("string").alias("kept"))
-    sized = C.written(sized.withColumn("bucket", F.pmod(F.xxhash64("id", "body"), F.lit(BUCKETS)).cast("int")), "sized")
+    sized = C.written(sized, "sized")
+    buckets = max(BUCKETS, sized.count() // BUCKET_ROWS)
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("id", "body"), F.lit(buckets)).cast("int"))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     plan = C.written(targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     by = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +102,8 @@ def mix(
     points = lambda c: F.ceil(c * size - shift)  # noqa: E731  how many of the points (i + shift) / size lie below c
     drawn = shards.select("sid", "blocks", "shard", (points(F.col("high")) - points(F.col("low"))).alias("n")).filter("n > 0")
     first = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("first", first).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    # the running sum leaves a source's shards in one task: deal them out before they grow to slots
+    drawn = drawn.withColumn("first", first).repartition(C.partitions(docs.sparkSession), "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     used = drawn.filter(turn < cap).select("sid", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
 
