@@ -10,7 +10,8 @@ The fit takes at most ``fit_rows`` labelled documents, those with the smallest h
 else limits it. Scoring reads every text whole.
 
 Cases: a null or empty text has no words and only its shares' features; null ids are kept; repeated rows each get a
-row; labels without a grade or a document are ignored, of several grades of a document the lowest counts; without labels
+row; labels without a grade or a document are ignored, of several grades of a document the lowest counts, of several
+texts the first in order; without labels
 every grade is equally likely; an empty table gives an empty result.
 """
 
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     """Learns from at most fit_rows of the graded documents."""
     known = grades.select(F.col(grades.columns[0]).cast("long").alias("g_id"), F.col("grade").cast("int").alias("grade")).filter("g_id is not null and grade is not null").groupBy("g_id").agg(F.min("grade").alias("grade"))
     chosen = known.orderBy(F.xxhash64(F.lit("fit"), "g_id"), "g_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("g_id")).select("id", "text", "grade")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("g_id")).groupBy("id", "grade").agg(F.min("text").alias("text"))  # rows of one id count once
 
     def run(tables):
         schema = pa.schema([("grade", pa.int32()), ("body", pa.binary())])
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
                 cuts = np.searchsorted(doc[by], np.arange(last - first + 1))
                 yield pa.record_batch([t.column("grade")[first:last], pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
-    found = rows.mapInArrow(run, "grade int, body binary").toArrow()  # fit_rows bounds it, but for repeated rows of an id
+    found = rows.mapInArrow(run, "grade int, body binary").toArrow()  # fit_rows bounds its rows
     grade = C.numbers(found, "grade").astype(np.int64)
     data, offsets = C.text_slices(found, "body")
     row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(offsets) // 8)
