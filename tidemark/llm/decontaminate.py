@@ -55,12 +55,16 @@ def places(docs: DataFrame, keys: DataFrame, lengths: list[int], window: int, id
         rows = base.select("id", "body", "w", F.explode(F.sequence(F.lit(-1 if not k else 0), F.greatest(F.size("w") - s, F.lit(-1)))).alias("p"))
         rows = rows.withColumn("h", F.when(F.col("p") >= 0, F.xxhash64(*(F.get("w", F.col("p") + i) for i in range(s)))))
         own = keys.filter(F.col("s") == s).select(F.col("h").alias("key"))
-        joined = rows.join(F.broadcast(own) if small else own, F.col("h") == F.col("key"), "left").filter(F.col("key").isNotNull() | (F.col("p") == -1))
         before = F.least(F.col("p"), F.lit(window - s))
-        part = joined.select(
+        columns = [
             "id", "body", F.size("w").alias("n_words"), "p", F.lit(s).alias("s"), "h",
             F.when(F.col("p") >= 0, F.slice("w", F.col("p") - before + 1, before + window)).alias("around"), F.when(F.col("p") >= 0, before).alias("before"),
-        )
+        ]
+        if small:
+            part = rows.join(F.broadcast(own), F.col("h") == F.col("key"), "left").filter(F.col("key").isNotNull() | (F.col("p") == -1)).select(*columns)
+        else:
+            # a shuffle must carry a few words of each place, not its whole text; rows without a hash don't go through it
+            part = rows.filter("p >= 0").select(*columns).join(own, F.col("h") == F.col("key")).drop("key").unionByName(rows.filter("p = -1").select(*columns))
         found = part if found is None else found.unionByName(part.filter("p >= 0"))
     return found
 
