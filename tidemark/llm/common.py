@@ -60,6 +60,11 @@ def batch_count(docs: DataFrame, column: str = "text", batch_bytes: int = BATCH_
     return max(partitions(docs.sparkSession), math.ceil(total / batch_bytes))
 
 
+def key_partitions(spark: SparkSession, batches: int, per_partition: int) -> int:
+    """Partitions of the packed exchange: at least the session's, and more as the batches grow in number, so that none outgrows a task."""
+    return max(partitions(spark), math.ceil(batches / per_partition))
+
+
 def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(batch, id, text, more) of docs. Null ids become NULL_ID, null texts stay null."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))

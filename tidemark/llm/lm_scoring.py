@@ -201,7 +201,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, tune_share: int = 1
     if not 1 <= order <= 4:
         raise ValueError("order must be from 1 to 4")
     spark = docs.sparkSession
-    n, parts = C.batch_count(docs, text_col), C.partitions(spark)
+    n = C.batch_count(docs, text_col)
+    parts = C.key_partitions(spark, n, 16)
     tune = F.pmod(F.xxhash64(F.lit("tune"), F.col(id_col)), F.lit(tune_share)) == 0
     role = F.when(F.coalesce(held_out, F.lit(False)), SCORE_ONLY).when(tune, TUNE).otherwise(TRAIN).cast("int")
     batches = C.in_batches(docs, n, id_col, text_col, role=role)

@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ke
         raise ValueError(f"length must be from {TRIGGER_SPAN + HASH_BYTES} to 199")
     spark = docs.sparkSession
     n = C.batch_count(docs, text_col)
-    parts = C.partitions(spark)
+    parts = C.key_partitions(spark, n, 4)
     batches = C.in_batches(docs, n, id_col, text_col, **({"more": F.struct(*keep)} if keep else {}))
     phrases = batches.groupBy("batch").applyInArrow(_phrases(length, parts), REQUEST)
     flags = phrases.groupBy("part").applyInArrow(_shared, FLAGS)
