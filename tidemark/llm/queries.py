@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}

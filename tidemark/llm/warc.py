@@ -245,3 +245,15 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     rows = found.mapInArrow(identify, "id long, refers long, payload_bytes long, payload_digest string, record_type string")
     return rows.select(C.null_id("id", "page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").alias("refers_to"))
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS x FROM pages),
+l AS (SELECT body, max(page_id) AS latest FROM p GROUP BY body),
+b AS (SELECT DISTINCT x, [CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) for i in range(8)] AS parts FROM p),
+d AS (SELECT x, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1) for i in range(32)], 'string_agg', '') AS digest FROM b)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM latest AND latest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM p JOIN l USING (body) JOIN d USING (x)
+"""
