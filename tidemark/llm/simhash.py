@@ -31,6 +31,8 @@ from . import common as C
 SEED = 42
 TOP_LEVELS = 16
 BLOCK = 1 << 14
+#: The same where all prints go in one pass: wider, as each block is sent to all that the budget allows.
+WIDE_BLOCK = 1 << 16
 #: Node pairs that a task holds at once.
 WIDTH = 1 << 20
 U1 = np.uint64(1)
@@ -320,3 +322,231 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3,
     linked = members.join(least, "root").select("node", "component_id")
     ids = classes.join(linked, "node", "left").select(*names, F.coalesce("component_id", "low").alias("component_id"))
     return found.join(ids, names).select(C.null_id("id", id_col), hexadecimal(F.col("fp0")).alias("fingerprint"), "component_id")
+
+
+# --- verified groups -----------------------------------------------------------------------------------------------
+
+
+def _hashed(docs: DataFrame, shingle_words: int, prints: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, body, uid, node, n, fps, shingles) of each row: uid is unique, node a hash of the set of its n shingles, shingles the packed set."""
+    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("uid", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64())), ("shingles", pa.binary())])
+
+    def run(tables):
+        for batch in tables:
+            table = pa.Table.from_batches([batch])
+            data, offsets = C.text_slices(table)
+            for a, b in C.pieces(offsets):
+                h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, True)  # sorted within a text
+                fps = np.stack([majority(h if not k else C.mix(h + np.uint64((k * C.BASE) & C.M64)), sizes) for k in range(prints)], axis=1)
+                ends = np.cumsum(sizes)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(h ^ np.uint64(C.BASE)), dtype=np.uint64)])
+                node = C.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
+                packed = [C.pack_sorted(h[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                own = [pa.array(C.numbers(table, c)[a:b]) for c in ("id", "body", "uid")]
+                yield pa.record_batch([*own, pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64())), pa.array(packed, pa.binary())], schema=schema)
+
+    text = F.col(text_col).cast("string")
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id")
+    rows = docs.select(ident, F.xxhash64(text).alias("body"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, body long, uid long, node long, n long, fps array<long>, shingles binary")
+
+
+def _expanded(i: np.ndarray, j: np.ndarray, first: np.ndarray, stop: np.ndarray):
+    """Pairs of entries of pairs of distinct fingerprints, whose entries are first to stop; in pieces of about WIDTH."""
+    size = (stop[i] - first[i]) * (stop[j] - first[j])
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // WIDTH, prepend=0))
+    for p in np.split(np.arange(len(i)), cuts):
+        if len(p):
+            yield _product(first[i[p]], stop[i[p]], first[j[p]], stop[j[p]])
+
+
+def _candidates(budget: int, lead: int, mode: str, similarity: float):
+    """Candidate pairs (u, v) of a task. nearest: for each entry its linked one with the smallest node; every: all.
+
+    Pairs within a component and pairs whose sizes rule the similarity out are left out.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for x in table.sort_by("side").to_pylist():
+            sides.append((C.unpack_sorted(x["fps"]), *(C.unpack(x[c], np.int64) for c in ("nodes", "comps", "ns"))))
+        runs = [np.unique(s[0], return_index=True) for s in sides]
+        moved = [0, len(sides[0][0])]
+        first = np.concatenate([r[1] + m for r, m in zip(runs, moved, strict=False)])
+        stop = np.concatenate([np.append(r[1][1:], len(s[0])) + m for r, s, m in zip(runs, sides, moved, strict=False)])
+        node, comp, n = (np.concatenate([s[c] for s in sides]) for c in (1, 2, 3))
+        a, b = runs[0][0], runs[1][0] if len(runs) > 1 else None
+        best = np.full(len(node), np.iinfo(np.int64).max)
+        us, vs = [], []
+
+        def take(i, j):
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            if mode == "nearest":
+                np.minimum.at(best, i, node[j])
+                np.minimum.at(best, j, node[i])
+            else:
+                us.append(np.minimum(node[i], node[j]))
+                vs.append(np.maximum(node[i], node[j]))
+
+        if b is None:  # entries that share a fingerprint
+            many = np.flatnonzero(stop - first > 1)
+            for i, j in _expanded(many, many, first, stop):
+                take(i[i < j], j[i < j])
+        for i, j in walk(a, b, budget, lead):
+            for p, q in _expanded(i, j if b is None else j + len(a), first, stop):
+                take(p, q)
+        if mode == "nearest":
+            some = best != np.iinfo(np.int64).max
+            u, v = node[some], best[some]
+        else:
+            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        return pa.table([pa.array(u), pa.array(v)], schema=schema)
+
+    return run
+
+
+def _forest(budget: int, lead: int):
+    """A forest (trie, u, v) over the fingerprints of a task that are linked."""
+    schema = pa.schema([("trie", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        bodies = [C.unpack_sorted(x["fps"]) for x in table.sort_by("side").to_pylist()]
+        a, b = bodies[0], bodies[1] if len(bodies) > 1 else None
+        forest = Forest(len(a) + (0 if b is None else len(b)))
+        for i, j in walk(a, b, budget, lead):
+            forest.add(i, j if b is None else j + len(a))
+        every = (a if b is None else np.concatenate([a, b])).view(np.int64)
+        linked = np.flatnonzero(forest.label != np.arange(len(every)))
+        trie = np.full(len(linked), C.numbers(table, "trie")[0], np.int32)
+        return pa.table([pa.array(trie), pa.array(every[linked]), pa.array(every[forest.label[linked]])], schema=schema)
+
+    return run
+
+
+def _dealt(cuts: list[tuple[np.ndarray, np.ndarray]], lead: int, more: list[str]):
+    """Packs a block's entries, once for each pair of blocks of its trie that the budget allows."""
+    schema = pa.schema([("trie", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("fps", pa.binary()), *((f"{c}s", pa.binary()) for c in more)])
+
+    def run(table: pa.Table) -> pa.Table:
+        trie, own = int(C.numbers(table, "trie")[0]), int(C.numbers(table, "block")[0])
+        depths, prefixes = cuts[trie]
+        fp = C.numbers(table, "fp").astype(np.int64).view(np.uint64)
+        by = np.argsort(fp, kind="stable")
+        body = C.pack_sorted(fp[by]), *(C.pack(C.numbers(table, c).astype(np.int64)[by]) for c in more)
+        common = np.minimum(depths, depths[own])
+        differ = np.bitwise_count((prefixes >> (depths - common)) ^ (prefixes[own] >> (depths[own] - common)))
+        return C.as_table([(trie, min(own, o), max(own, o), int(own > o), *body) for o in np.flatnonzero(differ <= lead).tolist()], schema)
+
+    return run
+
+
+def _blocked(entries: DataFrame, prints: int, max_bits: int, more: list[str]) -> DataFrame:
+    """entries (k, fp, more) as packed blocks (trie, x, y, side, fps, a column for each of more), for all prints and turns in one pass."""
+    turns = [0] if max_bits <= 3 else [0, 32]
+    lead = max_bits if max_bits <= 3 else max_bits // 2
+    turned = F.array(*(F.struct((F.col("k") * len(turns) + q).cast("int").alias("trie"), (F.col("fp") if not t else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))).alias("fp")) for q, t in enumerate(turns)))
+    entries = entries.select(F.explode(turned).alias("e"), *more).select("e.trie", "e.fp", *more)
+    seen = entries.groupBy("trie", F.shiftrightunsigned(F.col("fp"), 64 - TOP_LEVELS).cast("int").alias("front")).count().toArrow()  # at most 2**TOP_LEVELS rows a trie
+    counts = np.zeros((prints * len(turns), 1 << TOP_LEVELS), np.int64)
+    counts[C.numbers(seen, "trie"), C.numbers(seen, "front")] = C.numbers(seen, "count")
+    cuts = [cut_top(c, WIDE_BLOCK) for c in counts]
+    edges = [p << (TOP_LEVELS - d) for d, p in cuts]
+    names = ["trie", "block", "fp", *more]
+
+    def place(tables):
+        for t in tables:
+            head = (t.column("fp").to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - TOP_LEVELS)).astype(np.int64)
+            trie = t.column("trie").to_numpy()
+            block = np.zeros(len(head), np.int32)
+            for q in np.unique(trie).tolist():
+                block[trie == q] = np.searchsorted(edges[q], head[trie == q], "right") - 1
+            yield pa.record_batch([t.column("trie"), pa.array(block), t.column("fp"), *(t.column(c) for c in more)], names=names)
+
+    placed = entries.mapInArrow(place, ", ".join(["trie int, block int, fp long", *(f"{c} long" for c in more)]))
+    return placed.groupBy("trie", "block").applyInArrow(_dealt(cuts, lead, more), ", ".join(["trie int, x int, y int, side int, fps binary", *(f"{c}s binary" for c in more)]))
+
+
+def _connected(classes: DataFrame, prints: int, max_bits: int) -> DataFrame:
+    """(node, top): what fingerprints connect, for the classes (node, fps) that any of them links."""
+    turns = 1 if max_bits <= 3 else 2
+    every = classes.select("node", F.posexplode("fps").alias("k", "fp"))
+    stands = C.written(every.groupBy("k", "fp").agg(F.min("node").alias("top"), F.count("*").alias("n")), "fingerprint-classes")
+    links = _blocked(stands.select("k", "fp"), prints, max_bits, []).groupBy("trie", "x", "y").applyInArrow(_forest(max_bits, max_bits // turns), "trie int, u long, v long")
+    back = lambda c: F.when(F.col("trie") % turns == 0, F.col(c)).otherwise(F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))).alias(c)
+    links = links.select(F.floor(F.col("trie") / turns).cast("int").alias("k"), back("u"), back("v"))
+    ends = stands.drop("n")
+    linked = links.join(ends.toDF("k", "u", "a"), ["k", "u"]).join(ends.toDF("k", "v", "b"), ["k", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    own = every.join(stands.filter("n > 1"), ["k", "fp"]).select(F.col("node").alias("u"), F.col("top").alias("v"))
+    tops = components(linked.unionByName(own)).toDF("node", "top")
+    return C.written(tops.unionByName(tops.select(F.col("top").alias("node"), "top").distinct()), "connected")
+
+
+def _pairs(classes: DataFrame, prints: int, max_bits: int, mode: str, similarity: float) -> DataFrame:
+    """Distinct candidate pairs (u, v), u < v, of classes (node, comp, n, fps)."""
+    lead = max_bits if max_bits <= 3 else max_bits // 2
+    # of a component's classes with one fingerprint one stands for all
+    entries = classes.select("node", "comp", "n", F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp", "comp").agg(F.min(F.struct("node", "n")).alias("least"))
+    entries = C.written(entries.select("k", "fp", "comp", "least.node", "least.n"), "entries")
+    blocks = _blocked(entries, prints, max_bits, ["node", "comp", "n"])
+    found = blocks.groupBy("trie", "x", "y").applyInArrow(_candidates(max_bits, lead, mode, similarity), "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+
+
+def _alike(similarity: float):
+    """Of rows (u, v, a, b) with packed sets a and b the pairs with a Jaccard similarity of at least similarity."""
+
+    def run(tables):
+        for t in tables:
+            ok = []
+            for a, b in zip(t.column("a"), t.column("b"), strict=True):
+                x, y = C.unpack_sorted(a.as_py()), C.unpack_sorted(b.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
+            yield t.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, prints: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id_col, body (xxhash64 of its text), component (equal for rows that are linked).
+
+    Fingerprints only propose pairs; a pair links if the Jaccard similarity of its sets of shingles, counted exactly, is at least ``similarity``. Texts with one
+    set of shingles are one class; all texts without words are. Classes are first held against one class of what fingerprints connect, then against the first
+    class proposed of another component, and last all pairs proposed between components are counted. So a group of copies costs as many pairs as
+    it has members; only texts that fingerprints link though they are less similar cost a pair each.
+    """
+    rows = C.written(_hashed(docs, shingle_words, prints, id_col, text_col), "hashed")
+    classes = C.written(rows.groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("fps").alias("fps")), "classes")
+    labelled, links, tried = classes.withColumn("comp", F.col("node")), None, None
+    connected = _connected(classes, prints, max_bits)
+    for mode in ("top", "nearest", "every"):
+        if mode == "top":
+            n = classes.select("node", "n")
+            pairs = connected.filter("node <> top").select(F.col("top").alias("u"), F.col("node").alias("v"))
+            pairs = pairs.join(n.toDF("u", "n_u"), "u").join(n.toDF("v", "n_v"), "v").filter(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9).select("u", "v")
+        else:
+            # only what fingerprints connect and links don't yet can have more pairs
+            inside = labelled.join(connected, "node")
+            open_ = inside.groupBy("top").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("top")
+            inside = C.written(inside.join(open_, "top", "left_semi"), "open")
+            if inside.isEmpty():
+                break
+            pairs = _pairs(inside, prints, max_bits, mode, similarity)
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = C.written(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "uid"), "node").select("uid")
+        sets = C.written(rows.select("uid", "node", "shingles").join(need, "uid", "left_semi").select("node", "shingles"), "sets")
+        held = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        now = C.written(held.mapInArrow(_alike(similarity), "u long, v long"), "alike")
+        links = now if links is None else links.unionByName(now)
+        roots = components(links)
+        root = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+        labelled = C.written(classes.join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "labelled")
+    found = rows.select("id", "body", "node").join(labelled.select("node", F.col("comp").alias("component")), "node")
+    return found.select(C.null_id("id", id_col), "body", "component")
