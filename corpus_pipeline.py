@@ -24,28 +24,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, keep=("text", "lang", "source", "n_chars")).filter("keep").select(*COLUMNS)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in ids, a table of one column; rows without an id stay.
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows of (doc_id, body) as keys (out_id, out_body) of rows: body is xxhash64 of the text, a null id counts as one value."""
+    return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("out_id"), F.col("body").alias("out_body")).distinct()
 
-    Up to SMALL ids are broadcast, so that the texts stay where they are.
+
+def on_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose id and text are (left_semi) or aren't (left_anti) in keys.
+
+    Up to SMALL keys are broadcast, so that the texts stay where they are.
     """
-    ids = common.written(ids.select(F.col(ids.columns[0]).alias("out")).distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col("doc_id") == F.col("out"), "left_anti")
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))
+    return docs.join(F.broadcast(keys) if keys.count() <= SMALL else keys, (ident == F.col("out_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("out_body")), how)
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are in rows (doc_id, body); rows without an id are told apart by their text."""
+    return on_keys(docs, common.written(keyed(rows), "keys"), "left_anti")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies: Jaccard similarity of five-word shingles from SIMILARITY on, pairs found by PRINTS fingerprints.
 
-    Of rows with one id one stays. Rows without an id can't be told apart and stay.
+    Rows with one id that aren't near copies are documents of their own; of rows with one id and text one stays. Rows without an id stay.
     """
     groups = common.written(simhash.similar_groups(docs, shingle_words=5, max_bits=7, prints=PRINTS, similarity=SIMILARITY), "groups")
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("low"))
-    kept = without(docs, groups.join(least, "component").filter("doc_id <> low").select("doc_id")).select(*COLUMNS)
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    known = groups.filter("doc_id is not null")
+    first = F.min(F.struct("doc_id", "body"))
+    least = known.groupBy("component").agg(first.alias("first"))
+    kept = without(docs, known.join(least, "component").filter(F.struct("doc_id", "body") != F.col("first")).select("doc_id", "body"))
+    repeated = common.written(keyed(known.groupBy("doc_id", "body").count().filter("count > 1")), "repeated")
     if not repeated.isEmpty():
-        rows = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS)
-        kept = without(kept, repeated).unionByName(rows.dropDuplicates(["doc_id"]))
-    return kept
+        rows = on_keys(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = on_keys(kept, repeated, "left_anti").unionByName(rows)
+    return kept.select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +68,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated with benchmark windows."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.filter("contaminated").select("doc_id")).select(*COLUMNS)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_body=True)
+    return without(docs, found.filter("contaminated").select("doc_id", "body")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +77,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs)
 
 
-#: So many ids (16 MB) may be broadcast.
-SMALL = 2_000_000
+#: So many keys of two longs (16 MB) may be broadcast.
+SMALL = 1_000_000
 #: Independent fingerprints of a text: six find some 79 in 100 pairs with a similarity of 0.8 (binomial), that is 23 each; sixteen find 98.
 PRINTS = 16
 #: Documents are near copies from this Jaccard similarity of their sets of shingles on.

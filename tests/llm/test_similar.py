@@ -51,3 +51,18 @@ def test_groups_of_odd_rows_hold_together(docs, rows):
         ids = {i for i, _ in members if i is not None}
         for i in ids if len(ids) > 1 else ():
             assert any(jaccard(texts[i][0], texts[j][0]) >= 0.8 for j in ids - {i})
+
+
+def test_decisions_hold_for_rows(spark, tmp_path):
+    """Rows that share an id but not the text, and contaminated rows without an id."""
+    rng = random.Random(5)
+    fresh = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))
+    a, b, c, leak, other = fresh(), fresh(), fresh(), fresh(), fresh()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    put = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    of = lambda df: sorted((r.doc_id or -1, r.text) for r in df.collect())
+    once = pipeline.near_dedup_stage(spark, put([(1, a), (2, a), (2, b), (3, c), (3, c)]), "")
+    assert of(once) == sorted([(1, a), (2, b), (3, c)])  # 2, b shares an id with a copy of a, but isn't one
+    spark.createDataFrame([("x", leak)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = pipeline.decontamination_stage(spark, put([(None, leak), (None, other), (4, leak), (4, b)]), str(tmp_path))
+    assert of(clean) == sorted([(-1, other), (4, b)])

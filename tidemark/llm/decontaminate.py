@@ -71,9 +71,9 @@ def places(docs: DataFrame, keys: DataFrame, lengths: list[int], window: int, id
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20,
-    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_keys: int = 2_000_000,
+    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_keys: int = 2_000_000, with_body: bool = False,
 ) -> DataFrame:
-    """One row for each document: id_col, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    """One row for each document: id_col, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); with_body: and body (xxhash64 of the text)."""
     wins = C.written(windows(items, window, shingle, item_id, item_text), "windows")
     # every shingle of every window with its place in it
     inner = wins.select("item", "win", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("s"))).alias("off"))
@@ -97,6 +97,7 @@ def decontaminate(
     return whole.join(both, ["id", "body"], "left").select(
         C.null_id("id", id_col), n_words.alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"),
+        *(["body"] if with_body else []),
     )
 
 
