@@ -40,12 +40,13 @@ def period_number(period: str, quarterly: bool):
 def states(facts: DataFrame, names: list[str], quarterly: bool) -> DataFrame:
     """(instrument, as_of, n, a column for each name): for each publication date the series of visible periods, numbered."""
     own = facts.filter(F.col("field").isin(names)).select("instrument", "field", "pub_date", period_number("period", quarterly).alias("n"), "value")
-    dates = own.select("instrument", F.col("pub_date").alias("as_of")).distinct()
-    visible = dates.join(own, "instrument").filter(F.col("pub_date") <= F.col("as_of"))
-    latest = visible.groupBy("instrument", "as_of", "n").agg(*(F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pub_date"))).alias(f) for f in names))
-    span = latest.groupBy("instrument", "as_of").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+    # one row for each date and period that a fact is about; a struct, so that a revision to NULL counts
+    told = own.groupBy("instrument", F.col("pub_date").alias("as_of"), "n").agg(*(F.max(F.when(F.col("field") == f, F.struct("value"))).alias(f) for f in names))
+    so_far = Window.partitionBy("instrument").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    span = told.groupBy("instrument", "as_of").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("instrument", "as_of", F.min("a").over(so_far).alias("a"), F.max("b").over(so_far).alias("b"))
     spine = span.select("instrument", "as_of", F.explode(F.sequence("a", "b")).alias("n"))
-    return spine.join(latest, ["instrument", "as_of", "n"], "left")
+    carried = Window.partitionBy("instrument", "n").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    return spine.join(told, ["instrument", "as_of", "n"], "left").select("instrument", "as_of", "n", *(F.last(f, ignorenulls=True).over(carried)["value"].alias(f) for f in names))
 
 
 def as_of(panel, node: Call, name: str) -> DataFrame:
