@@ -1,19 +1,21 @@
 """Language-model scores by deleted interpolation.
 
 The model mixes maximum-likelihood estimates of n-grams of all orders up to ``order``
-and the uniform distribution. The mixture weights depend on the bucket of the frequency
-of the longest context (powers of two) and are learned by expectation-maximisation on the
+and the uniform distribution. A token's longest context that has been seen decides: its length and the bucket of its frequency
+(powers of two) name the mixture weights, which cover the orders that have an estimate, so the probabilities of all tokens after a
+context add up to one. Weights are learned by expectation-maximisation on the
 counts of a held-out part of the training documents; the counts that the weights
 are learned against come from the rest, and the final estimates from both.
 
 Counting and look-up go through the packed exchange of ``common``: a batch sends its distinct
 n-grams with their counts to the key partitions and gets the corpus counts of the
-same n-grams back. Only the histogram that EM works on (bucket by rounded
-log-probabilities, bounded by its bins), the four totals and the weights pass the driver.
+same n-grams back. EM runs on a table of the held-out tokens' exact estimates, equal ones counted together; each round is one aggregation, of which
+the driver gets a row for each bucket. Besides these only the four totals pass the driver.
 
-Cases: a null or empty text has one token, the end. Null ids count as training documents.
-Repeated rows count as often as they occur. Without training documents every word is unknown and the
-uniform distribution gives the one token that is left probability one. An empty table gives an empty result.
+Cases: a null or empty text has one token, the end; a very long text is one document of one task. Null ids count as training documents.
+Repeated rows count as often as they occur; ties don't occur. Other columns, whatever their names, are ignored. Without training documents every word is
+unknown and the uniform distribution gives the one token that is left probability one. A bucket without held-out tokens takes the weights of all tokens with
+contexts of its length, and without such tokens equal weights. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from . import common as C
 
 TRAIN, TUNE, SCORE_ONLY = 0, 1, 2
 BUCKETS = 32
-#: Steps of an octave in the histogram for EM, and its bins for each order (0: probability zero).
-STEPS, BINS = 4, 256
+#: Rounds of EM at most; it ends earlier when no weight moves by more than SETTLED.
+ROUNDS, SETTLED = 30, 1e-3
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -108,8 +110,11 @@ def _looked_up(keys: list[np.ndarray], answers: pa.Table, n: int, columns: tuple
 
 
 def _estimates(counts: list[np.ndarray], place: np.ndarray, documents: int, total: int):
-    """Maximum-likelihood probabilities of each token by order, highest order first, and the bucket of the longest context."""
-    ml, context = [], None
+    """Maximum-likelihood probabilities of each token by order, highest order first, and the bucket: length of the longest seen context * BUCKETS + its frequency's.
+
+    Length 0 is the empty context; without any training token it hasn't been seen, and the bucket is -1.
+    """
+    ml, bucket = [], np.full(len(place), -1, np.int64)
     for k in range(len(counts), 0, -1):
         if k == 1:
             below = np.full(len(place), total, np.int64)
@@ -117,57 +122,70 @@ def _estimates(counts: list[np.ndarray], place: np.ndarray, documents: int, tota
             below = np.empty(len(place), np.int64)
             below[1:] = counts[k - 2][:-1]
             below[place == 0] = documents
-        context = below if context is None else context
         ml.append(np.divide(counts[k - 1], below, out=np.zeros(len(place)), where=below > 0))
-    bucket = np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
+        new = (bucket < 0) & (below > 0)
+        bucket[new] = (k - 1) * BUCKETS + np.minimum(np.log2(below[new]).astype(np.int64), BUCKETS - 1)
     return ml, bucket
 
 
-def _histogram(order: int, n: int, total: int):
+def _held_out(order: int, n: int, total: int):
+    """Estimates of a batch's held-out tokens by order, and the bucket; equal rows once with their number."""
+    schema = pa.schema([("bucket", pa.int64()), *((f"p{k}", pa.float64()) for k in range(order)), ("weight", pa.int64())])
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("cell", pa.int64()), ("weight", pa.int64())])
         if not table.num_rows:
             return C.as_table([], schema)
         keys, _, place, _ = ngram_keys(table, order)
         counts = [both - tune for both, tune in _looked_up(keys, answers, n, ("both", "tune"))]
         documents = int(counts[0][keys[0] == END][0])
         ml, bucket = _estimates(counts, place, documents, total)
-        cell = bucket
-        for p in ml:
-            step = np.where(p > 0, np.minimum(1 + np.round(-np.log2(np.where(p > 0, p, 1)) * STEPS), BINS - 1), 0).astype(np.int64)
-            cell = cell * BINS + step
-        cells, weight = np.unique(cell, return_counts=True)
-        return pa.table([pa.array(cells), pa.array(weight)], schema=schema)
+        by = np.lexsort((*ml, bucket))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[by]) != 0) | np.any([np.diff(m[by]) != 0 for m in ml], axis=0)]))
+        return pa.table([pa.array(bucket[by][new]), *(pa.array(m[by][new]) for m in ml), pa.array(np.diff(new, append=len(by)))], schema=schema)
 
     return run
 
 
-def learn_weights(cells: np.ndarray, weight: np.ndarray, order: int, uniform: float, rounds: int = 60) -> np.ndarray:
-    """EM: mixture weights of each bucket, orders from the highest to the uniform distribution.
+def available(order: int) -> np.ndarray:
+    """For each bucket which of the orders (highest first, then the uniform distribution) have an estimate."""
+    length = np.arange(order * BUCKETS) // BUCKETS
+    return np.column_stack([*(length >= k - 1 for k in range(order, 0, -1)), np.ones(order * BUCKETS, bool)])
+
+
+def learn_weights(tokens: DataFrame, order: int, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """EM over tokens (bucket, p0, .., weight), p0 of the highest order: mixture weights of each bucket, orders from the highest to the uniform distribution.
 
-    A bucket without held-out tokens takes the weights of the whole. The uniform part keeps at least 1e-6.
+    The uniform part keeps at least 1e-6.
     """
-    p = np.empty((len(cells), order + 1))
-    rest = cells.copy()
-    for k in range(order - 1, -1, -1):
-        step = rest % BINS
-        p[:, k] = np.where(step > 0, 2.0 ** (-(step - 1) / STEPS), 0)
-        rest //= BINS
-    p[:, order] = uniform
-    bucket = rest
-
-    def fit(rows: np.ndarray) -> np.ndarray:
-        lam = np.full(order + 1, 1 / (order + 1))
-        for _ in range(rounds):
-            joint = p[rows] * lam
-            share = joint / np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
-            lam = (share * weight[rows, None]).sum(axis=0) + 1e-3
-            lam /= lam.sum()
-        lam[order] = max(lam[order], 1e-6)
-        return lam / lam.sum()
-
-    whole = fit(np.arange(len(cells))) if len(cells) else np.full(order + 1, 1 / (order + 1))
-    return np.array([fit(rows) if len(rows := np.flatnonzero(bucket == b)) else whole for b in range(BUCKETS)])
+    spark, names = tokens.sparkSession, [f"w{k}" for k in range(order + 1)]
+    usable = available(order)
+    parts = [F.col(f"w{k}") * (F.col(f"p{k}") if k < order else F.lit(uniform)) for k in range(order + 1)]
+    whole = sum(parts[1:], parts[0])
+    sums = [F.sum(F.col("weight") * part / whole).alias(f"s{k}") for k, part in enumerate(parts)]
+
+    def normal(share: np.ndarray) -> np.ndarray:
+        share = np.where(usable, share, 0.0)
+        share[:, order] = np.maximum(share[:, order], 1e-6 * share.sum(axis=1))
+        return share / share.sum(axis=1, keepdims=True)
+
+    weights = normal(np.ones((order * BUCKETS, order + 1)))
+    for _ in range(rounds):
+        now = spark.createDataFrame([(b, *map(float, w)) for b, w in enumerate(weights)], ", ".join(["b long", *(f"{c} double" for c in names)]))
+        found = tokens.join(F.broadcast(now), F.col("bucket") == F.col("b")).groupBy("bucket").agg(*sums).collect()  # a row for each of order * BUCKETS buckets
+        share = np.zeros((order * BUCKETS, order + 1))
+        for r in found:
+            share[r["bucket"]] = r[1:]
+        if not found:
+            break
+        # buckets without held-out tokens take the weights of all tokens with contexts of that length
+        by_length = share.reshape(order, BUCKETS, -1).sum(axis=1).repeat(BUCKETS, axis=0)
+        seen = share.sum(axis=1, keepdims=True) > 0
+        share = np.where(seen, share, by_length)
+        share = np.where(share.sum(axis=1, keepdims=True) > 0, share, weights)
+        before, weights = weights, normal(share)
+        if np.abs(weights - before).max() < SETTLED:
+            break
+    return weights
 
 
 def _score(order: int, n: int, total: int, distinct: int, weights: np.ndarray):
@@ -180,7 +198,7 @@ def _score(order: int, n: int, total: int, distinct: int, weights: np.ndarray):
         counts = [c[0] for c in _looked_up(keys, answers, n, ("both",))]
         documents = int(counts[0][keys[0] == END][0])
         ml, bucket = _estimates(counts, place, documents, total)
-        p = weights[bucket, order] / (distinct + 1)
+        p = np.where(bucket < 0, 1.0, weights[bucket, order]) / (distinct + 1)
         for k, m in enumerate(ml):
             p = p + weights[bucket, k] * m
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -213,9 +231,10 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, tune_share: int = 1
     n_train, n_both, v_train, v_both = (one["n_train"], one["n_train"] + one["n_tune"], one["v_train"], one["v_both"]) if one else (0, 0, 0, 0)
     replies = answers.filter("batch >= 0").select("batch", "part", "kind", "both", "tune")
     held = batches.filter(F.col("role") == TUNE).withColumn("batch", F.col("batch") + n)
-    histogram = held.groupBy("batch").cogroup(replies.filter(F.col("batch") >= n).groupBy("batch")).applyInArrow(_histogram(order, parts, n_train), "cell long, weight long")
-    cells = histogram.groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["weight"].to_numpy(np.float64), order, 1 / (v_train + 1))
+    names = ["bucket", *(f"p{k}" for k in range(order))]
+    tokens = held.groupBy("batch").cogroup(replies.filter(F.col("batch") >= n).groupBy("batch")).applyInArrow(_held_out(order, parts, n_train), ", ".join(["bucket long", *(f"p{k} double" for k in range(order)), "weight long"]))
+    tokens = C.written(tokens.filter("bucket >= 0").groupBy(*names).agg(F.sum("weight").alias("weight")), "held-out")
+    weights = learn_weights(tokens, order, 1 / (v_train + 1))
     mine = replies.filter(F.col("batch") < n).select("batch", "part", "kind", "both")
     result = batches.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_score(order, parts, n_both, v_both, weights), "id long, role int, n_tokens long, n_known long, base_score double, score double")
     return result.select(C.null_id("id", id_col), (F.col("role") == SCORE_ONLY).alias("held_out"), "n_tokens", "n_known", F.lit(n_both).cast("long").alias("train_tokens"), "base_score", "score")
