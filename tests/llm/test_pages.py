@@ -42,6 +42,56 @@ def test_rules_equal_brute_force(spark, urls):
     assert all(r.verdict in ("allow", "block") for r in got)
 
 
+def test_scores_equal_brute_force(spark, urls):
+    """Counts in plain dictionaries by the n-gram itself; the threshold by trying every bin."""
+    import math
+
+    order, strength = url_filter.ORDER, url_filter.STRENGTH
+    held = {r.url for r in spark.createDataFrame([(u,) for _, u in urls], "url string").filter(F.pmod(F.xxhash64(F.lit("held"), "url"), F.lit(url_filter.HELD)) == 0).collect()}
+
+    def grams(url):
+        b = [None] * order + list((url or "").encode()) + ["end"]
+        return [[(tuple(b[k - n : k]), b[k]) for n in range(order + 1)] for k in range(order, len(b))]
+
+    def counts(some):
+        c = {"allow": Counter(), "block": Counter()}
+        for _, u in urls:
+            verdict = judged(u)[3]
+            if verdict and some(u):
+                for line in grams(u):
+                    for context, x in line:
+                        c[verdict][context] += 1
+                        c[verdict][context, x] += 1
+        return c
+
+    def odds(url, c):
+        total = 0.0
+        for line in grams(url):
+            p = {"allow": 1 / 257, "block": 1 / 257}
+            for context, x in line:
+                p = {v: (c[v][context, x] + strength * p[v]) / (c[v][context] + strength) for v in p}
+            total += math.log(p["allow"]) - math.log(p["block"])
+        return total / (len((url or "").encode()) + 1)
+
+    got = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), RULES).collect()
+    every, part = counts(lambda u: True), counts(lambda u: u not in held)
+    expect = Counter((i, round(odds(u, every), 6)) for i, u in urls)
+    assert Counter((r.page_id, round(r.score, 6)) for r in got) == expect
+    tried = [(math.floor(odds(u, part) * url_filter.BINS), judged(u)[3]) for _, u in urls if judged(u)[3] and u in held]
+
+    def balance(edge):
+        rate = lambda v, f: sum(f(s) for s, x in tried if x == v) / sum(x == v for _, x in tried)
+        return rate("allow", lambda s: s >= edge) + rate("block", lambda s: s < edge)
+
+    edge = round(got[0].threshold * url_filter.BINS)
+    assert balance(edge) >= max(balance(k) for k in range(-400, 400)) - 1e-12
+    assert all(r.verdict == (r.rule and judged_rule(r.rule) or ("allow" if r.score >= r.threshold else "block")) for r in got)
+
+
+def judged_rule(text):
+    return next(r.verdict for r in RULES if r.text == text)
+
+
 def test_models_tell_classes_apart(spark):
     rng = random.Random(3)
     name = lambda letters: "".join(rng.choice(letters) for _ in range(8))
