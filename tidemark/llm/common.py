@@ -26,30 +26,49 @@ M64 = (1 << 64) - 1
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only in local mode, where none is set (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return sc.getCheckpointDir() or found
 
 
+#: Working tables of this process that are still there, in the order of their making.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends, or with ``dropped`` before.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm, sc = spark._jvm, spark.sparkContext
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place = _place(spark, path)
+    place[0].deleteOnExit(place[1])
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes working tables that nothing reads any more."""
+    for path in paths:
+        system, place = _place(spark, path)
+        system.delete(place, True)
+        TABLES.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,10 +111,12 @@ def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def deal(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(partition, from, to) of sorted keys, dealt by their leading bits, so that each partition's keys are a run."""
+    """(partition, from, to) of sorted keys, dealt by their leading bits, so that each partition's keys are a run; only of partitions that get some."""
+    if not len(keys):
+        return []
     part = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    cuts = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-    return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(n) if cuts[p] < cuts[p + 1]]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return list(zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
 def text_slices(table: pa.Table, name: str = "text") -> tuple[memoryview, np.ndarray]:

@@ -3,27 +3,32 @@
 Which bytes go: every byte of a string of ``length`` (50) bytes that also starts in a
 document with a smaller id. The method, made for Spark:
 
-1. *Parse.* A hash of the rolling window of 8 bytes gives each position a value; the smallest of
-   every ``TRIGGER_SPAN`` neighbours, the first among equals, is a trigger. Whether a position is a trigger for
-   a given string depends on that string alone, so equal strings are cut alike wherever
-   they stand. A phrase starts at a trigger; its first ``length - TRIGGER_SPAN + 1``
-   bytes lie within every string that the trigger stands for.
+1. *Parse.* A rolling hash (a polynomial over 8 bytes) gives each position a value; the smallest of
+   ``span`` neighbours, the first among equals, is a trigger. A phrase runs from a trigger to the 8 bytes of the next one, so phrases
+   tile the text with an overlap. Plain triggers (hash divisible by p) leave some strings without one; the smallest of
+   neighbours puts at least one whole phrase, the one at the string's first trigger, into every string of ``length`` bytes, and which phrase that is
+   depends on the string alone, so equal strings are cut alike wherever they stand.
 2. *Dictionary.* Batches send their distinct phrases to the phrase's partition, each with a bit
    for whether two ids of the batch have it. A phrase of one document only cannot be
    part of a repeat, so only those of two ids or two batches stay in the dictionary.
-3. *Order.* For these, the partition sorts the parse suffixes (the text from the trigger
+3. *Order.* For these, a partition sorts the parse suffixes (the text from the trigger
    on, to the depth that can matter) and the dictionary suffixes (the text between a string's
    start and its trigger). Both suffix arrays with their longest common prefixes
    give the corpus order of all strings: two strings are equal when their parse suffixes
    share ``length - j`` bytes and their dictionary suffixes share ``j``. The least id of each
    run of equal strings goes back to the batches.
 
+A phrase that more than HOT_BATCHES batches have is hot: its strings don't meet by the phrase but by more of what they contain, those
+that start close before the trigger by what follows it, the others by what stands before it. So a group holds the contexts of one such longer string.
+
 The filter in step 2 goes by 64-bit hashes and can only let too much through; step 3
 compares bytes, so the result is exact.
 
 Cases: null text is empty; null ids come before all others; equal ids are one
 document for this purpose (their rows don't remove each other's text); texts shorter than
-``length`` bytes are kept whole; an empty table gives an empty result.
+``length`` bytes are kept whole; a very long text is one document of one task, which needs some 50 bytes for each of its bytes; of equal strings in
+several documents those of the smallest id stay, however often it has them; other columns are ignored unless asked for, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,48 +43,58 @@ from pyspark.sql import functions as F
 from . import common as C
 
 HASH_BYTES = 8
-TRIGGER_SPAN = 24
 PIECE = 1 << 18
+#: More neighbours give fewer triggers and longer contexts.
+SPAN_MOST = 32
+#: A phrase of more batches is split up.
+HOT_BATCHES = 64
+
+
+def span_of(length: int) -> int:
+    """So many neighbours that a string's first trigger and the next one lie in it: the second at most 2 * span - 1 behind its start."""
+    return min(SPAN_MOST, (length - HASH_BYTES + 1) // 2)
 
 
 class Parse:
-    """Triggers of the texts of a batch: flat positions, phrase hashes and the strings each trigger stands for."""
+    """Triggers of the texts of a batch that strings have: flat positions, phrase hashes and the strings each trigger is the first of."""
 
     def __init__(self, table: pa.Table, length: int):
-        self.length, self.phrase = length, length - TRIGGER_SPAN + 1
+        self.length, self.width = length, span_of(length)
         self.ids = C.numbers(table, "id").astype(np.int64)
         self.data, self.offsets = C.text_slices(table)
-        flat = np.frombuffer(self.data, np.uint8)
-        found = [self._triggers(flat, a, b) for a, b in C.pieces(self.offsets, PIECE)]
-        parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-        self.doc, self.at, self.span, self.hash = parts[0], parts[1], parts[2], parts[3]
-        self.flat = flat
+        self.flat = np.frombuffer(self.data, np.uint8)
+        found = [self._triggers(a, b) for a, b in C.pieces(self.offsets, PIECE)]
+        none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
+        self.doc, self.at, self.far, self.near, self.hash = (np.concatenate(x) for x in zip(none, *found, strict=True))
 
-    def _triggers(self, flat: np.ndarray, a: int, b: int):
+    def _triggers(self, a: int, b: int):
         base, end = int(self.offsets[a]), int(self.offsets[b])
-        text = flat[base:end]
+        text, reach = self.flat[base:end], self.width + HASH_BYTES - 1
         if len(text) < self.length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        window = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - HASH_BYTES + 1,), (1,))  # the 8 bytes from each place on
-        n = len(text) - self.length + 1
-        # the trigger of a string: the first place of the least value among its first TRIGGER_SPAN
-        value = (window[: n + TRIGGER_SPAN - 1] * np.uint64(C.BASE)) & np.uint64(0xFFFFFFFF00000000)
+            return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * C.powers(C.BASE, len(text)), dtype=np.uint64)])
+        back = C.powers(C.BASE_INV, len(text) + 1)
+        rolling = (total[HASH_BYTES:] - total[:-HASH_BYTES]) * back[: len(text) - HASH_BYTES + 1]
+        # the trigger of a start: the first place of the least value among its first neighbours
+        value = (rolling * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF00000000)
         value |= np.arange(len(value), dtype=np.uint64)
-        anchor = C.sliding_min(value, TRIGGER_SPAN).astype(np.uint32)
-        # strings that lie within one text
-        inside = np.ones(n, bool)
-        for x in (self.offsets[a + 1 : b] - base).tolist():
-            inside[max(0, x - self.length + 1) : x] = False
+        anchor = C.sliding_min(value, self.width).astype(np.uint32)
+        # starts whose neighbours lie within one text
+        inside = np.ones(len(anchor), bool)
+        stops = self.offsets[a + 1 : b + 1] - base
+        for x in stops[:-1].tolist():
+            inside[max(0, x - reach + 1) : x] = False
         turn = anchor[1:] != anchor[:-1]
         first = np.flatnonzero(inside & np.concatenate([[True], turn | ~inside[:-1]]))
         last = np.flatnonzero(inside & np.concatenate([turn | ~inside[1:], [True]]))
         at = anchor[first].astype(np.int64)
-        doc = np.searchsorted(self.offsets[a : b + 1] - base, first, "right") - 1 + a
-        farthest, nearest = at - first, at - last  # bytes between a string's start and the trigger
-        phrases = np.full(len(at), self.phrase, np.uint64)
-        for k in [*range(0, self.phrase - HASH_BYTES, HASH_BYTES), self.phrase - HASH_BYTES]:
-            phrases = C.mix(phrases * np.uint64(C.BASE) + window[at + k])
-        return doc, at + base, farthest * 64 + nearest, phrases
+        doc = np.searchsorted(stops, first, "right")
+        last = np.minimum(last, stops[doc] - self.length)  # of whole strings
+        some = np.flatnonzero(last >= first)  # each of these has a next trigger in its text
+        size = at[some + 1] + HASH_BYTES - at[some] if len(some) else np.zeros(0, np.int64)
+        first, last, at, doc = first[some], last[some], at[some], doc[some]
+        phrase = C.mix(((total[at + size] - total[at]) * back[at]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return doc + a, at + base, at - first, at - last, phrase
 
     def keys(self):
         """Distinct phrases, sorted; whether several ids have each; the trigger's place among them."""
@@ -89,21 +104,40 @@ class Parse:
         np.maximum.at(high, back, self.ids[self.doc])
         return keys, low < high, back
 
-    def contexts(self, chosen: np.ndarray) -> np.ndarray:
-        """For each chosen trigger TRIGGER_SPAN - 1 bytes before it and length bytes from it on, 0 beyond its strings, then the span's two numbers."""
-        left = TRIGGER_SPAN - 1
+    def meetings(self, kind: np.ndarray):
+        """(trigger, key, far, near) of the triggers by kind of their phrase: 0 none, 1 its phrase, 2 what follows and what stands before it."""
+        cold, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        half = self.width // 2
+        right, left = hot[self.near[hot] <= half], hot[self.far[hot] > half]
+        return (
+            np.concatenate([cold, right, left]),
+            np.concatenate([self.hash[cold], self._longer(right, 0, self.length - half), self._longer(left, -half - 1, 0)]),
+            np.concatenate([self.far[cold], np.minimum(self.far[right], half), self.far[left]]),
+            np.concatenate([self.near[cold], self.near[right], np.maximum(self.near[left], half + 1)]),
+        )
+
+    def _longer(self, chosen: np.ndarray, start: int, stop: int) -> np.ndarray:
+        h = self.hash[chosen] + np.uint64(start & C.M64)
+        for k in range(start, stop):
+            h = h * np.uint64(C.BASE) + self.flat[self.at[chosen] + k].astype(np.uint64) + np.uint64(1)
+        return C.mix(h)
+
+    def contexts(self, chosen: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """For each chosen trigger the bytes before it and length bytes from it on, 0 beyond its strings, then far and near."""
+        left = self.width - 1
         at = self.at[chosen]
         out = np.zeros((len(chosen), left + self.length + 2), np.uint8)
-        first, last = at - self.span[chosen] // 64, at - self.span[chosen] % 64 + self.length  # what its strings cover
+        first, last = at - far, at - near + self.length  # what its strings cover
         for k in range(-left, self.length):
             place = at + k
             ok = (place >= first) & (place < last)
             out[ok, left + k] = self.flat[place[ok]]
-        out[:, -2], out[:, -1] = self.span[chosen] // 64, self.span[chosen] % 64
+        out[:, -2], out[:, -1] = far, near
         return out
 
 
 REQUEST = "batch int, part int, keys binary, several binary"
+#: kind 1: for each phrase whether it is shared, then whether it is hot; 2: least ids
 FLAGS = "batch int, kind int, part int, body binary"
 FLAG_ROWS = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
 
@@ -119,16 +153,18 @@ def _phrases(length: int, n: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For each batch's phrases of this partition one bit: whether two ids, or two batches, have it."""
+    """For each batch's phrases of this partition: whether two ids, or two batches, have it, and whether more than HOT_BATCHES batches have."""
     part = int(C.numbers(table, "part")[0])
     batches = C.numbers(table, "batch")
     sent = [C.unpack_sorted(x.as_py()) for x in table.column("keys")]
     told = [np.unpackbits(C.unpack(x.as_py(), np.uint8))[: len(k)] for x, k in zip(table.column("several"), sent, strict=True)]
     keys, back = np.unique(np.concatenate(sent), return_inverse=True)
-    several = (np.bincount(back, minlength=len(keys)) > 1) | (np.bincount(back, np.concatenate(told), len(keys)) > 0)
-    several, rows, at = several[back], [], 0
+    having = np.bincount(back, minlength=len(keys))
+    several = (having > 1) | (np.bincount(back, np.concatenate(told), len(keys)) > 0)
+    several, hot, rows, at = several[back], (having > HOT_BATCHES)[back], [], 0
     for b, k in zip(batches, sent, strict=True):
-        rows.append((int(b), 1, part, C.pack(np.packbits(several[at : at + len(k)]))))
+        own = slice(at, at + len(k))
+        rows.append((int(b), 1, part, C.pack(np.concatenate([np.packbits(several[own]), np.packbits(hot[own])]))))
         at += len(k)
     return C.as_table(rows, FLAG_ROWS)
 
@@ -136,20 +172,21 @@ def _shared(table: pa.Table) -> pa.Table:
 def _records(parse: Parse, answers: pa.Table, n: int):
     """Distinct contexts of the triggers whose phrase is in the dictionary.
 
-    Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers and their places among the contexts.
+    Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers with far and near, and their places among the contexts.
     """
     keys, _, back = parse.keys()
-    flag = np.zeros(len(keys), bool)
+    kind = np.zeros(len(keys), np.int8)
     said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 1}
     for p, a, b in C.deal(keys, n):
-        flag[a:b] = np.unpackbits(C.unpack(said[p], np.uint8))[: b - a].astype(bool)
-    chosen = np.flatnonzero(flag[back])
-    order = np.argsort(parse.hash[chosen], kind="stable")  # by partition
-    chosen = chosen[order]
-    rows = parse.contexts(chosen)
+        bits = C.unpack(said[p], np.uint8)
+        shared, hot = (np.unpackbits(x)[: b - a] for x in np.split(bits, 2))
+        kind[a:b] = shared + (shared & hot)
+    chosen, key, far, near = parse.meetings(kind[back])
+    order = np.argsort(key, kind="stable")  # by partition
+    chosen, key, far, near = chosen[order], key[order], far[order], near[order]
+    rows = parse.contexts(chosen, far, near)
     if not len(chosen):
-        return [], rows, np.zeros(0, np.int64), chosen, np.zeros(0, np.int64)
-    key = parse.hash[chosen]
+        return [], rows, np.zeros(0, np.int64), (chosen, far, near), np.zeros(0, np.int64)
     digest = C.mix(_row_hash(rows) + key)
     by = np.lexsort((digest, key))  # equal contexts come together; unlike ones with one hash are told apart below
     new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | np.any(rows[by[1:]] != rows[by[:-1]], axis=1)])
@@ -158,7 +195,7 @@ def _records(parse: Parse, answers: pa.Table, n: int):
     first = by[new]
     low = np.full(len(first), 2**63 - 1, np.int64)
     np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
-    return C.deal(key[first], n), rows[first], low, chosen, place
+    return C.deal(key[first], n), rows[first], low, (chosen, far, near), place
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -206,13 +243,14 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
     """For each context and each distance j that it has of a string's start from the trigger, the least id with that string."""
-    left = TRIGGER_SPAN - 1
+    span = span_of(length)
+    left = span - 1
     dictionary, parse = rows[:, :left][:, ::-1], rows[:, left : left + length]
     parse_order, parse_common = _suffix_order(parse)
     left_order, left_common = _suffix_order(dictionary)
     far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    out = np.full((len(rows), TRIGGER_SPAN), 2**63 - 1, np.int64)
-    for j in range(TRIGGER_SPAN):
+    out = np.full((len(rows), span), 2**63 - 1, np.int64)
+    for j in range(span):
         mine = np.flatnonzero((near <= j) & (j <= far))
         if j:
             out[:, j] = out[:, j - 1]  # where the distance isn't used
@@ -229,7 +267,7 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
 
 
 def _order(length: int):
-    width = TRIGGER_SPAN - 1 + length + 2
+    width = span_of(length) - 1 + length + 2
 
     def run(table: pa.Table) -> pa.Table:
         part = int(C.numbers(table, "part")[0])
@@ -256,13 +294,13 @@ def _remove(length: int, n: int, with_text: bool):
         if not table.num_rows:
             return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
         parse = Parse(table, length)
-        deal, _, _, chosen, place = _records(parse, answers, n)
+        deal, _, _, (chosen, far, near), place = _records(parse, answers, n)
+        span = parse.width
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
-        least = np.concatenate([C.unpack(said[p], np.int64).reshape(-1, TRIGGER_SPAN).cumsum(axis=1) for p, _, _ in deal]) if deal else np.zeros((0, TRIGGER_SPAN), np.int64)
+        least = np.concatenate([C.unpack(said[p], np.int64).reshape(-1, span).cumsum(axis=1) for p, _, _ in deal]) if deal else np.zeros((0, span), np.int64)
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
         own = parse.ids[parse.doc[chosen]]
-        far, near = parse.span[chosen] // 64, parse.span[chosen] % 64
-        for j in range(TRIGGER_SPAN):
+        for j in range(span):
             hit = (near <= j) & (j <= far)
             hit[hit] = least[place[hit], j] < own[hit]
             start = parse.at[chosen[hit]] - j
@@ -285,8 +323,8 @@ def _remove(length: int, n: int, with_text: bool):
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (the remaining text), then the columns keep."""
-    if not TRIGGER_SPAN + HASH_BYTES <= length < 200:
-        raise ValueError(f"length must be from {TRIGGER_SPAN + HASH_BYTES} to 199")
+    if not 2 * HASH_BYTES <= length < 200:
+        raise ValueError(f"length must be from {2 * HASH_BYTES} to 199")
     spark = docs.sparkSession
     n = C.batch_count(docs, text_col)
     parts = C.key_partitions(spark, n, 4)
