@@ -3,14 +3,16 @@
 ``parse`` turns HTML into a sequence of items (kind, text, digest, caption) in document order; a figure's
 caption, or else the image's alternative text, stays with its reference. ``resolve`` joins
 the references with a media table by digest and puts what it finds back at the same positions, so that
-texts, media and captions stay aligned; a reference without a payload keeps its place with nulls.
+texts, media and captions stay aligned; a reference without a payload keeps its place with nulls. Only references take part in the
+join, so texts don't meet under a missing digest, and a digest that many documents have is a skewed join key that Spark may split.
 
 Media are lossless 8-bit RGB images (PNG) of ``WIDTH`` pixels a row. ``encode`` and ``decode`` are an exact round
 trip; ``decode`` checks every chunk's checksum and the image's size.
 
-Cases: null HTML and null payloads are empty; bytes are padded with spaces to a positive multiple of a row; equal
-payloads have one digest and one media row; repeated rows are kept; null ids are kept; a stray
-figcaption without an image is text; an empty table gives an empty result.
+Cases: null HTML and null payloads are empty; bytes are padded with spaces to a positive multiple of a row; a very long text is one
+payload and as many items as it has lines; equal payloads have one digest and one media row; repeated rows are kept; null ids are kept; a stray
+figcaption without an image is text; other columns are kept by ``parse`` and ignored by ``interleaved``, whatever their names; ties don't occur, as
+items are ordered by their position; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,12 +153,20 @@ def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def resolve(sequences: DataFrame, media: DataFrame, row: str) -> DataFrame:
-    """sequences with items extended by the columns of media (one row for each digest), at their positions. row: a column that tells the rows apart."""
+    """sequences with items extended by the columns of media (one row for each digest), at their positions. row: a column that tells the rows apart.
+
+    sequences must give equal rows when it is read twice: a table.
+    """
     told = [c for c in media.columns if c != "digest"]
-    spread = sequences.select(row, F.posexplode_outer("items").alias("at", "item")).join(media.withColumnRenamed("digest", "found"), F.col("item.digest") == F.col("found"), "left")
-    full = F.struct("at", "item.kind", "item.text", "item.digest", "item.caption", *told)
-    ordered = spread.groupBy(row).agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), full))).alias("items"))
-    return sequences.drop("items").join(ordered, row)
+    items = sequences.select(row, F.posexplode("items").alias("at", "item"))
+    fields = [f.name for f in sequences.schema["items"].dataType.elementType.fields]
+    full = F.struct("at", *(F.col("item")[c].alias(c) for c in fields), *told)
+    found = items.filter("item.digest is not null").join(media.withColumnRenamed("digest", "found"), F.col("item.digest") == F.col("found"), "left").select(row, full.alias("full"))
+    types = {f.name: f.dataType for f in media.schema}
+    texts = items.filter("item.digest is null").select("*", *(F.lit(None).cast(types[c]).alias(c) for c in told)).select(row, full.alias("full"))
+    ordered = found.unionByName(texts).groupBy(row).agg(F.sort_array(F.collect_list("full")).alias("items"))
+    none = F.array().cast(ordered.schema["items"].dataType)
+    return sequences.drop("items").join(ordered, row, "left").withColumn("items", F.coalesce("items", none))
 
 
 def padded_text(text: Column) -> Column:
@@ -211,16 +221,32 @@ def features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES).dropDuplicates(["digest"])
 
 
+def as_html(text: Column) -> Column:
+    """The whole text as an article: its lines as paragraphs, a figure with the text's bytes behind the first of them."""
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    figure = F.concat(F.lit('</p><figure><img src="sha256:'), F.sha2(padded_text(text), 256), F.lit('" alt="text"><figcaption>'), F.octet_length(text).cast("string"), F.lit(" bytes</figcaption></figure><p>"))
+    lead = F.substring_index(escaped, "\n", 1)
+    rest = F.replace(F.substring(escaped, F.length(lead) + 2, F.length(escaped)), F.lit("\n"), F.lit("</p><p>"))
+    return F.concat(F.lit("<article><p>"), lead, figure, rest, F.lit("</p></article>"))
+
+
 def interleaved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as an interleaved document of a lead, a media item with the text's bytes and a caption; its media read back from storage."""
+    """Each text as an interleaved document: all its lines, a media item with the text's bytes behind the first, and a caption; the media read back from storage.
+
+    feature: items, their texts' bytes and a hash of all texts, kinds and positions in order, the place and caption of the media item, size, mean and deviation of the image.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lead, caption = escaped(F.substring(text, 1, 60)), F.concat(F.octet_length(text).cast("string"), F.lit(" bytes"))
-    html = F.concat(F.lit("<article><p>"), lead, F.lit('</p><figure><img src="sha256:'), F.sha2(padded_text(text), 256), F.lit('" alt="text"><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
-    pages = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), html.alias("html"))
-    sequences = C.written(parse(pages).withColumn("row", F.monotonically_increasing_id()), "sequences")
-    whole = resolve(sequences, features(store(docs, text_col)), "row")
-    item = F.filter("items", lambda x: x["kind"] == "media")[0]
-    whole = whole.withColumn("m", item)
-    feature = F.concat_ws(";", F.concat(F.lit("items="), F.size("items")), F.concat(F.lit("at="), F.col("m.at")), F.concat(F.lit("caption="), F.col("m.caption")), F.format_string("image=%dx%d", "m.width", "m.height"), F.format_string("mean=%.6f", "m.mean"), F.format_string("deviation=%.6f", "m.deviation"))
+    pages = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), as_html(text).alias("html"))
+    # what the result needs of the texts is taken before the join: they stay where they are
+    placed = F.transform("items", lambda x, k: F.struct(k.alias("place"), x["kind"].alias("kind"), x["text"].alias("text"), x["digest"].alias("digest"), x["caption"].alias("caption")))
+    text_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["text"]), F.lit(0)))
+    parsed = parse(pages).select(id_col, "n_bytes", F.size("items").alias("n_items"), text_bytes.alias("text_bytes"), F.xxhash64("items").alias("sequence"), F.filter(placed, lambda x: x["kind"] == "media").alias("items"))
+    sequences = C.written(parsed.withColumn("row", F.monotonically_increasing_id()), "sequences")
+    # a table, so that the join's sides are both dealt for it and a hot digest can be split
+    whole = resolve(sequences, C.written(features(store(docs, text_col)), "features"), "row")
+    whole = whole.withColumn("m", F.col("items")[0]).withColumn("place", F.col("items")[0]["place"])
+    feature = F.concat_ws(
+        ";", F.concat(F.lit("items="), F.col("n_items")), F.concat(F.lit("text_bytes="), F.col("text_bytes")), F.concat(F.lit("sequence="), F.lower(F.hex("sequence"))), F.concat(F.lit("at="), F.col("place")), F.concat(F.lit("caption="), F.col("m.caption")),
+        F.format_string("image=%dx%d", "m.width", "m.height"), F.format_string("mean=%.6f", "m.mean"), F.format_string("deviation=%.6f", "m.deviation"),
+    )
     return whole.select(id_col, "n_bytes", *(f"m.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")), feature.alias("feature"))
