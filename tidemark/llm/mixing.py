@@ -2,31 +2,38 @@
 
 Each source's texts, in a fixed order, form one stream of words that is packed into blocks of
 ``block_words``. The sources' targets fill the output's slots, one block each, in shards of
-``shard_slots``. A shard draws how many slots each source gets: a multinomial draw by
-systematic resampling, so a shard's counts have the expectation of independent draws but
-stay within one of it. A source's n-th slot maps through a pseudorandom permutation of its
+``shard_slots``. A shard's counts of slots by source are a multinomial draw: every slot draws its source on its own, by inverse
+transform of a hash of its shard and place. A source's n-th slot maps through a pseudorandom permutation of its
 block numbers (a new one for each pass over them), and blocks join their slots by number.
 
+A multinomial draw's totals vary: of s slots that a source should get it gets s plus or minus the square root of s. As sources shall come near
+their targets, draws beyond a source's s are given up and what a source lacks is added in a last shard; all other shards' counts stay as drawn.
+
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share the total size;
 a target stops at ``cap`` times its source's size and the excess is shared again by weight.
 
-A source of any size is cut into runs of documents by a hash of the id and text; only sums of
-buckets are brought together. Shards are dealt out by source and number before they become slots. The one window without a partition is over the list of sources.
+A source of any size is cut into runs of documents by a hash of the id and text, and its shards into runs of SHARD_RUN; only sums of
+runs are brought together. A slot finds its source by equal cells of the unit interval, of which there are as many as sources. The windows without a
+partition are over the list of sources.
 
-Cases: a null text has size 0 and takes nothing; a null source is a source; null ids are kept; repeated
-rows each get a row and their own place in the stream; an empty table gives an empty result.
-Equal inputs and parameters give equal results.
+Cases: a null or empty text has size 0 and takes nothing; a very long text spans many blocks; a null source is a source; null ids are kept; repeated
+rows each get a row and their own place in the stream, in an order that doesn't matter as they are equal; other columns are ignored unless asked
+for, whatever their names; an empty table gives an empty result. Equal inputs and parameters give equal results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: A source is cut into at least BUCKETS runs, into more from BUCKETS * BUCKET_ROWS documents on.
 BUCKETS, BUCKET_ROWS = 1024, 1 << 20
+#: Shards whose counts are summed together, and slots of a task that draws.
+SHARD_RUN, TASK_SLOTS = 1024, 1 << 20
+#: Steps of the unit interval that a draw tells apart.
+STEPS = 1 << 40
 #: The ten largest primes below 2**21. One that doesn't divide n gives a permutation of 0 .. n - 1 for n below 2**41.
 PRIMES = [2097143, 2097133, 2097131, 2097097, 2097091, 2097083, 2097047, 2097041, 2097031, 2097023]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +75,25 @@ def permuted(k: Column, n: Column, *key: Column) -> Column:
     return F.pmod(k * prime + F.pmod(F.xxhash64(F.lit("offset"), *key), n), n)
 
 
+def draws(spark: SparkSession, plan: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """(sid, shard, n): how many slots each shard gives each source of plan (sid, source_size, target); a source's last block may be short, so its slots count with its mean block."""
+    upto, every = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    wanted = F.col("target") * F.ceil(F.col("source_size") / block_words) / F.col("source_size")
+    cdf = plan.filter("target > 0").select("sid", wanted.alias("wanted"))
+    cdf = cdf.select("sid", "wanted", F.sum("wanted").over(every).alias("all"), F.sum("wanted").over(upto).alias("upto"), F.max("sid").over(every).alias("last"), F.count("*").over(every).alias("sources"))
+    edge = lambda c: F.floor(c / F.col("all") * STEPS)
+    width = F.ceil(F.lit(float(STEPS)) / F.col("sources"))
+    cdf = cdf.select("sid", F.ceil("all").alias("slots"), width.alias("width"), edge(F.col("upto") - F.col("wanted")).alias("low"), F.when(F.col("sid") == F.col("last"), STEPS).otherwise(edge(F.col("upto"))).alias("high"))
+    cdf = C.written(cdf.filter("high > low"), "cumulated")
+    whole = cdf.agg(F.max("slots").alias("slots"), F.max("width").alias("width")).first()
+    slots, width = whole["slots"] or 0, whole["width"] or 1
+    cells = C.written(cdf.select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell")), "cells")
+    tasks = max(C.partitions(spark), -(-slots // TASK_SLOTS))
+    drawn = spark.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.floor(F.col("id") / shard_slots), F.pmod("id", F.lit(shard_slots))), F.lit(STEPS)).alias("u"))
+    drawn = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").filter("low <= u and u < high")
+    return drawn.groupBy("sid", "shard").agg(F.count("*").alias("n"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
@@ -90,22 +116,23 @@ def mix(
     overlap = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
     overlap = overlap.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words))
 
-    # how many slots each shard gives each source; a source's last block may be short, so its slots count with its mean block
-    share, every = Window.orderBy("sid"), Window.partitionBy()
+    # a source's slots are numbered through its shards: the sums of runs of shards, then the shards of a run
+    run = F.floor(F.col("shard") / SHARD_RUN)
+    drawn = C.written(draws(docs.sparkSession, plan, block_words, shard_slots, seed).withColumn("run", run), "draws")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = drawn.groupBy("sid", "run").agg(F.sum("n").alias("n")).select("sid", "run", before(Window.partitionBy("sid").orderBy("run")).alias("first"))
+    numbered = drawn.select("sid", "shard", "run", "n", before(Window.partitionBy("sid", "run").orderBy("shard")).alias("inner")).join(runs, ["sid", "run"])
     blocks = F.ceil(F.col("source_size") / block_words)
-    cdf = plan.filter("target > 0").select("sid", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("wanted"))
-    cdf = cdf.select("sid", "blocks", "wanted", F.sum("wanted").over(every).alias("all"), F.sum("wanted").over(share.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    cdf = cdf.select("sid", "blocks", F.ceil("all").alias("slots"), ((F.col("upto") - F.col("wanted")) / F.col("all")).alias("low"), F.when(F.col("sid") == F.max("sid").over(every), 1.0).otherwise(F.col("upto") / F.col("all")).alias("high"))
-    shards = cdf.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))))
-    size = F.least(F.lit(shard_slots).cast("long"), F.col("slots") - F.col("shard") * shard_slots)
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("shard")), F.lit(1 << 20)) / float(1 << 20)
-    points = lambda c: F.ceil(c * size - shift)  # noqa: E731  how many of the points (i + shift) / size lie below c
-    drawn = shards.select("sid", "blocks", "shard", (points(F.col("high")) - points(F.col("low"))).alias("n")).filter("n > 0")
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the running sum leaves a source's shards in one task: deal them out before they grow to slots
-    drawn = drawn.withColumn("first", first).repartition(C.partitions(docs.sparkSession), "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    wanted = F.least(F.floor(cap * blocks), F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))
+    wanted = plan.filter("source_size > 0").select("sid", blocks.alias("blocks"), wanted.alias("wanted"))
+    numbered = numbered.join(wanted, "sid").withColumn("first", F.col("first") + F.col("inner")).withColumn("n", F.least(F.col("n"), F.col("wanted") - F.col("first"))).filter("n > 0").select("sid", "shard", "first", "n", "blocks")
+    drew = drawn.groupBy("sid").agg(F.sum("n").alias("drew"))
+    lacking = wanted.join(drew, "sid", "left").withColumn("first", F.coalesce("drew", F.lit(0)))
+    numbered = numbered.unionByName(lacking.filter("first < wanted").select("sid", F.lit(-1).cast("long").alias("shard"), "first", (F.col("wanted") - F.col("first")).alias("n"), "blocks"))
+    # deal the shards out before they grow to slots
+    slots = numbered.repartition(C.partitions(docs.sparkSession), "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
-    used = drawn.filter(turn < cap).select("sid", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    used = slots.select("sid", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
 
     names = ["id", "size", "start", "sid", "source_size", "target"]
     # both sides grow with the data, but the planner takes the exploded slots for as small as the list of sources: no broadcast
