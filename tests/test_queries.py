@@ -52,4 +52,4 @@ def test_rows_only(spark):
     out = engine.QUERIES["topk_dropout"](spark, SF)
     rows = out.collect()
     assert {r.strategy for r in rows} == {"k10", "k20"} and all(r.account > 0 and r.n_held <= 20 for r in rows)
-    assert len(engine.QUERIES["lagged_features"](spark, SF).columns) == 2 + 6 * 20
+    assert len(engine.QUERIES["lagged_features"](spark, SF).columns) == 2 + 6 * 60

@@ -2,7 +2,7 @@
 
 Missing values are NULL. Comparisons with a missing value are false (Ne: true). A window of N rows counts
 missing rows and needs one value; N = 0 is the whole past; 0 < N < 1 is an exponential mean with that alpha for operators
-of one series. Division by zero gives NULL, or with ``strict`` what IEEE arithmetic gives.
+of one series (the compiler takes it apart into the layers of _Ema...). Division by zero gives NULL, or with ``strict`` what IEEE arithmetic gives.
 
 An operator is registered with ``register``; windows come from the context, which also says whether a
 function needs its arguments materialised first (window functions don't nest).
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Standard deviations below this count as zero in Corr and Rsquare.
 FLAT = 2e-5
-#: Weight at which an exponential mean is cut off, and its longest window.
-EMA_REST, EMA_ROWS = 1e-12, 2000
+#: The weights of an exponential mean differ by a factor of at most 2 ** EMA_OCTAVES within a chunk of rows.
+EMA_OCTAVES = 200
 
 
 @dataclass(frozen=True)
@@ -158,16 +158,49 @@ def _if(c, cond, a, b):
 # --- windows over one series -----------------------------------------------------------------------------------
 
 
-def exponential(c: Context, x: Column, alpha: float) -> Column:
-    """Adjusted exponential mean; a missing value passes time but has no weight."""
-    rows = min(EMA_ROWS, max(1, int(math.log(EMA_REST) / math.log(1 - alpha)))) if alpha < 1 else 1
-    held = F.collect_list(F.struct(x.alias("v"))).over(c.series.rowsBetween(-rows, 0))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    return F.aggregate(
-        held, zero,
-        lambda s, e: F.struct((s["n"] * (1 - alpha) + F.coalesce(e["v"], F.lit(0.0))).alias("n"), (s["d"] * (1 - alpha) + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d")),
-        lambda s: F.try_divide(s["n"], s["d"]),
-    )
+def alpha_of(op: str, n) -> float | None:
+    """The weight of the newest value if op with N = n is an exponential mean, else None."""
+    if op == "EMA" and n >= 1:
+        return 2 / (n + 1)
+    return float(n) if 0 < n < 1 and (op == "EMA" or op.lower() in ROLLING) else None
+
+
+def ema_chunk(alpha: float) -> int:
+    return max(1, int(EMA_OCTAVES / -math.log2(1 - alpha)))
+
+
+def _chunk(c: Context, alpha: float) -> WindowSpec:
+    return Window.partitionBy(c.instrument, F.floor(F.col(c.index) / ema_chunk(alpha))).orderBy(c.time)
+
+
+# An adjusted exponential mean over the whole past, in layers, as windows don't nest. The series is cut into chunks of bars. Within a chunk running sums of
+# values times growing weights give numerator and denominator; the last chunk's sums are carried over. What came before has a weight of less than
+# 2 ** -EMA_OCTAVES, beyond what a double can tell. A missing value passes time without weight, so the mean stays what it was.
+
+
+@register("_EmaPart", 2, window=True)
+def _ema_part(c, x, alpha):
+    x = num(x)
+    weight = F.pow(F.lit(1 / (1 - alpha)), F.col(c.index) % ema_chunk(alpha))
+    past = _chunk(c, alpha).rowsBetween(Window.unboundedPreceding, 0)
+    return F.struct(F.sum(x * weight).over(past).alias("n"), F.sum(F.when(x.isNotNull(), weight)).over(past).alias("d"))
+
+
+@register("_EmaBefore", 1, window=True)
+def _ema_before(c, part):
+    return F.lag(part).over(c.series)
+
+
+@register("_EmaCarried", 2, window=True)
+def _ema_carried(c, before, alpha):
+    return F.first(before).over(_chunk(c, alpha).rowsBetween(Window.unboundedPreceding, 0))
+
+
+@register("_EmaValue", 4)
+def _ema_value(c, x, part, carried, alpha):
+    rest = (1 - alpha) ** ema_chunk(alpha)
+    n, d = (F.coalesce(part[f], F.lit(0.0)) + F.coalesce(carried[f], F.lit(0.0)) * rest for f in ("n", "d"))
+    return F.when(num(x).isNotNull(), F.try_divide(n, d))
 
 
 def rolling(name: str):
@@ -176,8 +209,6 @@ def rolling(name: str):
     def put(body: Callable) -> Callable:
         def run(c: Context, x, n, *more):
             x = num(x)
-            if 0 < n < 1:
-                return exponential(c, x, n)
             if n != int(n) or n < 0:
                 raise ValueError(f"{name}: N must be a whole number or between 0 and 1")
             return body(c, x, c.rows(int(n)), int(n), *more)
@@ -299,11 +330,8 @@ def _wma(c, x, w, n):
 
 @register("EMA", 2, window=True)
 def _ema(c, x, n):
+    """N = 0: each bar's mean has the span of all bars so far; other N are taken apart by the compiler."""
     x = num(x)
-    if 0 < n < 1:
-        return exponential(c, x, n)
-    if n >= 1:
-        return exponential(c, x, 2 / (n + 1))
     values = held(x, c.rows(0))
     a = 1 - F.lit(2.0) / (1 + F.size(values))
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
@@ -368,12 +396,12 @@ def _cov(c, a, b, n):
     return F.when(F.count(x).over(w) >= 2, F.covar_samp(x, y).over(w))
 
 
-@register("Rolling", 3, window=True)
-def _rolling(c, x, n, name):
+@register("Rolling", (3, 4), window=True)
+def _rolling(c, x, n, name, *more):
     named = {"median": "med", "quantile": "quantile"}.get(str(name).lower(), str(name).lower())
     if named not in ROLLING:
         raise ValueError(f"Rolling: no function {name}")
-    return ROLLING[named](c, x, n)
+    return ROLLING[named](c, x, n, *more)
 
 
 # --- within a day, filling, and rows that are left out ---------------------------------------------------------
@@ -409,7 +437,7 @@ def _bfill(c, x):
 
 @register("Select", 2)
 def _select(c, cond, x):
-    """x where cond holds; the rows themselves go if every asked field is missing (features(drop_empty=True))."""
+    """x where cond holds, else missing; windows over it see only the bars where cond holds (the compiler gives them a panel of their own)."""
     return F.when(F.coalesce(num(cond) != 0, F.lit(False)), x)
 
 

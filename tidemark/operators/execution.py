@@ -21,20 +21,30 @@ def round_lots(amount: Column, unit: float, factor: Column | None = None) -> Col
 def volume_limited(orders: DataFrame, share: float, by: str = "current") -> DataFrame:
     """Adds deal_amount: at most a share of the bar's volume (current), or of the volume so far less what was dealt (cum).
 
-    orders: order_id, instrument, datetime, amount, volume; one row for each order and bar.
+    orders: order_id, instrument, datetime, amount, volume; one row for each order and bar. A bar without volume deals nothing.
     """
     if by == "current":
-        return orders.withColumn("deal_amount", F.least("amount", F.col("volume") * share))
-    w = Window.partitionBy("order_id").orderBy("datetime")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    # what can be dealt up to a bar is capped by both running totals; each bar deals the difference
-    done = F.least(F.sum("amount").over(past), F.sum(F.col("volume") * share).over(past))
-    return orders.withColumn("done", done).withColumn("deal_amount", F.greatest(F.col("done") - F.coalesce(F.lag("done").over(w), F.lit(0.0)), F.lit(0.0))).drop("done")
+        return orders.withColumn("deal_amount", F.greatest(F.least("amount", F.coalesce("volume", F.lit(0.0)) * share), F.lit(0.0)))
+    w = Window.partitionBy("order_id").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    # dealt[t] = least(dealt[t-1] + amount[t], limit[t]), where the limit never falls: so it is the least, over all bars k up to t and the
+    # start, of limit[k] + wanted[t] - wanted[k]
+    amount = F.greatest(F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
+    rows = orders.withColumn("_wanted", F.sum(amount).over(w)).withColumn("_limit", F.sum(F.coalesce("volume", F.lit(0.0)) * share).over(w))
+    rows = rows.withColumn("_done", F.col("_wanted") + F.least(F.min(F.col("_limit") - F.col("_wanted")).over(w), F.lit(0.0)))
+    before = F.coalesce(F.lag("_done").over(Window.partitionBy("order_id").orderBy("datetime")), F.lit(0.0))
+    return rows.withColumn("deal_amount", F.greatest(F.col("_done") - before, F.lit(0.0))).drop("_wanted", "_limit", "_done")
+
+
+def order_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """orders (instrument, start, end, ...) with the bars of their range: joined by instrument and month, so that an order meets no bars far from its range."""
+    month = lambda c: F.trunc(F.to_date(c), "month")
+    spread = orders.withColumn("_month", F.explode(F.sequence(month("start"), month("end"), F.expr("interval 1 month"))))
+    return spread.join(bars.withColumn("_month", month("datetime")), ["instrument", "_month"]).filter((F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end"))).drop("_month")
 
 
 def twap(orders: DataFrame, bars: DataFrame, unit: float = 0.0) -> DataFrame:
     """Each order (order_id, instrument, start, end, amount) in equal parts over its bars; lots left over go to the last bar."""
-    rows = orders.join(bars.select("instrument", "datetime"), "instrument").filter((F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end")))
+    rows = order_bars(orders, bars.select("instrument", "datetime"))
     w = Window.partitionBy("order_id")
     k, n = F.row_number().over(w.orderBy("datetime")), F.count("*").over(w)
     upto = lambda i: F.col("amount") * i / n if not unit else F.when(i < n, F.floor(F.col("amount") * i / n / unit) * unit).otherwise(F.col("amount"))
@@ -43,25 +53,30 @@ def twap(orders: DataFrame, bars: DataFrame, unit: float = 0.0) -> DataFrame:
 
 def base_price(bars: DataFrame, orders: DataFrame, method: str = "twap") -> DataFrame:
     """order_id, base_price: the mean or the volume-weighted mean price of the order's bars."""
-    rows = orders.select("order_id", "instrument", "start", "end").join(bars.select("instrument", "datetime", "close", "volume"), "instrument").filter((F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end")) & F.col("close").isNotNull())
+    rows = order_bars(orders.select("order_id", "instrument", "start", "end"), bars.select("instrument", "datetime", "close", "volume")).filter("close is not null")
     price = F.avg("close") if method == "twap" else F.try_divide(F.sum(F.col("close") * F.col("volume")), F.sum("volume"))
     return rows.groupBy("order_id").agg(price.alias("base_price"))
 
 
-def soft_topk(scores: DataFrame, current: DataFrame, k: int, move: float) -> DataFrame:
-    """Target weights on each date: from current weights towards 1 / k for the best k, no weight moving by more than move.
+def soft_topk(scores: DataFrame, current: DataFrame, k: int, limit: float | None = None, risk_degree: float = 0.95) -> DataFrame:
+    """Target weights on each date: risk_degree / k for the best k, no weight moving by more than limit.
 
-    scores: instrument, datetime, score; current: instrument, datetime, weight. What buys lack because of the limit stays cash.
+    scores: instrument, datetime, score; current: instrument, datetime, weight. Sales come first: names that aren't among the best go, others fall to their target. What
+    they free and what is missing up to risk_degree is the budget, which each shortfall shares in proportion; a share is then cut to the limit, and what
+    that leaves stays cash. On a date without holdings every one of the best gets its target, cut to the limit.
     """
-    date = Window.partitionBy("datetime")
-    best = scores.filter("score is not null").withColumn("place", F.row_number().over(date.orderBy(F.col("score").desc(), "instrument"))).filter(F.col("place") <= k).select("instrument", "datetime", F.lit(1.0 / k).alias("wanted"))
-    rows = current.join(best, ["instrument", "datetime"], "full").na.fill(0.0, ["weight", "wanted"])
-    step = F.greatest(F.least(F.col("wanted") - F.col("weight"), F.lit(move)), F.lit(-move))
-    rows = rows.withColumn("step", step)
-    freed = 1 - F.sum("weight").over(date) + F.sum(F.when(F.col("step") < 0, -F.col("step")).otherwise(0.0)).over(date)
-    wanted = F.sum(F.when(F.col("step") > 0, F.col("step")).otherwise(0.0)).over(date)
-    scale = F.when(wanted > freed, F.try_divide(freed, wanted)).otherwise(1.0)
-    return rows.select("instrument", "datetime", (F.col("weight") + F.when(F.col("step") > 0, F.col("step") * scale).otherwise(F.col("step"))).alias("weight")).filter("weight > 1e-12")
+    date, target, none = Window.partitionBy("datetime"), risk_degree / k, F.lit(0.0)
+    clipped = lambda x: x if limit is None else F.least(x, F.lit(limit))
+    best = scores.filter("score is not null").withColumn("place", F.row_number().over(date.orderBy(F.col("score").desc(), "instrument"))).filter(F.col("place") <= k).select("instrument", "datetime", F.lit(target).alias("wanted"))
+    rows = current.filter("weight > 0").join(best, ["instrument", "datetime"], "full").na.fill(0.0, ["weight", "wanted"])
+    over = F.col("weight") - F.col("wanted")
+    rows = rows.withColumn("sold", F.when(over > 1e-8, clipped(over)).otherwise(none)).withColumn("left", F.col("weight") - F.col("sold"))
+    rows = rows.withColumn("short", F.when((F.col("wanted") > 0) & (F.col("wanted") - F.col("left") > 1e-8), F.col("wanted") - F.col("left")).otherwise(none))
+    budget = F.sum("sold").over(date) + risk_degree - F.sum("weight").over(date)
+    total = F.sum("short").over(date)
+    share = F.when(budget > 1e-8, F.try_divide(F.col("short"), total) * F.least(budget, total)).otherwise(none)
+    bought = F.when(F.col("short") > 0, F.when(F.sum("weight").over(date) > 0, F.least(share, clipped(F.col("short")))).otherwise(clipped(F.col("short")))).otherwise(none)
+    return rows.select("instrument", "datetime", (F.col("left") + bought).alias("weight")).filter("weight > 1e-8")
 
 
 def aligned(a: DataFrame, b: DataFrame, keys: list[str], fill: float | None = None) -> DataFrame:

@@ -66,6 +66,34 @@ def reach(node: Node) -> tuple[int, int] | None:
     return left + int(n) - 1, right
 
 
+def exponential(node: Call) -> Node | None:
+    """The layers of an exponential mean, if the node is one."""
+    last = node.args[1] if len(node.args) > 1 else None
+    alpha = L.alpha_of(node.op, last.value) if isinstance(last, Literal) and isinstance(last.value, (int, float)) else None
+    if node.op == "Rolling" and isinstance(last, Literal) and 0 < last.value < 1:
+        alpha = float(last.value)
+    if alpha is None:
+        return None
+    x, a = node.args[0], Literal(alpha)
+    if alpha >= 1:
+        return Call("FFillNan", (x,))
+    part = Call("_EmaPart", (x, a))
+    return Call("FFillNan", (Call("_EmaValue", (x, part, Call("_EmaCarried", (Call("_EmaBefore", (part,)), a)), a)),))
+
+
+def selects(node: Node) -> set[Call]:
+    """The outermost Select calls of a tree."""
+    if not isinstance(node, Call):
+        return set()
+    return {node} if node.op == "Select" else set().union(*map(selects, node.args)) if node.args else set()
+
+
+def with_field(node: Node, old: Node, name: str) -> Node:
+    if node == old:
+        return Field(name)
+    return Call(node.op, tuple(with_field(a, old, name) for a in node.args)) if isinstance(node, Call) else node
+
+
 class _Compiler:
     def __init__(self, panel: Panel, on_missing: str):
         self.panel, self.on_missing = panel, on_missing
@@ -97,6 +125,14 @@ class _Compiler:
             op = L.OPERATORS.get(node.op)
             if op is None:
                 raise ExpressionError(f"no operator {node.op}")
+            if op.window and selects(node):
+                name = f"_sub{len(self.joins)}"
+                self.joins.append((name, node))
+                self.made[node] = F.col(name), 0
+                return self.made[node]
+            if layers := exponential(node):
+                self.made[node] = self.column(layers)
+                return self.made[node]
             if not op.arity[0] <= len(node.args) <= op.arity[1]:
                 raise ExpressionError(f"{node}: {node.op} takes {op.arity[0]} to {op.arity[1]} arguments")
             args = [self.column(a) for a in node.args]
@@ -117,6 +153,8 @@ class _Compiler:
 
 def _subplan(panel: Panel, name: str, node: Call, on_missing: str, bars: DataFrame) -> DataFrame:
     keys, time = panel.keys, panel.context.time
+    if node.op not in SUBPLANS:
+        return bars.join(_selected(panel, name, node, on_missing), keys, "left")
     if node.op in ("P", "PRef"):
         from tidemark.operators.pit import as_of
 
@@ -127,6 +165,19 @@ def _subplan(panel: Panel, name: str, node: Call, on_missing: str, bars: DataFra
     return bars.join(other, time, "left")  # one instrument's bars: Spark broadcasts them by their size
 
 
+def _selected(panel: Panel, name: str, node: Call, on_missing: str) -> DataFrame:
+    """A window over a Select: evaluated on the bars where its condition holds, which are numbered anew."""
+    found = selects(node)
+    chosen = next(iter(found))
+    tree = with_field(node, chosen, "_chosen")
+    if len(found) > 1 or fields_of(tree) != {"_chosen"}:
+        raise ExpressionError(f"{node}: all fields of a window over Select must stand in the same Select")
+    ctx = panel.context
+    rows = features(panel, {"_on": chosen.args[0], "_chosen": chosen.args[1]}, on_missing=on_missing).filter(F.coalesce(F.col("_on").cast("boolean"), F.lit(False)))
+    numbered = rows.select(*panel.keys, (F.row_number().over(ctx.series) - 1).cast("long").alias(ctx.index), "_chosen")
+    return features(Panel(numbered, ctx), {name: tree}).select(*panel.keys, name)
+
+
 def features(panel: Panel, fields: Sequence[str | Node] | Mapping[str, str | Node], start=None, end=None, universe: DataFrame | None = None, lookback: bool = False, on_missing: str = "error", drop_empty: bool = False) -> DataFrame:
     """instrument, datetime and a column for each expression, named by the mapping's keys or the texts.
 

@@ -122,11 +122,21 @@ for _n, _t, _s in [
     ("cut", "Cut($close, 2, -3)", "CASE WHEN row_number() OVER s > 2 AND row_number() OVER (PARTITION BY instrument ORDER BY datetime DESC) > 3 THEN close END"),
     ("day_last", "DayLast($close)", "close"),
     ("day_cumsum", "DayCumsum($close)", "coalesce(close, 0)"),
+    ("ema_long", "EMA($close, 1000)", "sum(close * pow(1001.0 / 999.0, cal_idx)) OVER wx / sum(CASE WHEN close IS NOT NULL THEN pow(1001.0 / 999.0, cal_idx) END) OVER wx"),
+    ("rolling_quantile", "Rolling($close, 5, 'quantile', 0.3)", "quantile_cont(close, 0.3) OVER w5"),
+    ("minus", "-$close + 1", "1 - close"),
     ("nested_windows", "Mean($close > Ref($close, 1), 5)", "avg(CASE WHEN coalesce(close > prev, false) THEN 1.0 ELSE 0.0 END) OVER w5"),
 ]:
     _expression(f"expr_{_n}", _t, _s)
 _expression("expr_range", "Mean($close, 5)", "avg(close) OVER w5", start="2024-01-15")
 
+
+
+@query("expr_select_window", f"WITH {USER}, c AS (SELECT instrument, datetime, avg(close) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v FROM p WHERE volume > 1) SELECT p.instrument, p.datetime, round(v, 6) AS value FROM p LEFT JOIN c USING (instrument, datetime)")
+def expr_select_window(spark, sf):
+    return rounded(features(users(spark, sf), {"value": "Mean(Select($volume > 1, $close), 3)"}))
+
+
 _WITH_LIST = "SELECT *, list(close) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM p"
 for _n, _t, _s in [
     ("mad", "Mad($close, 5)", "CASE WHEN len(k) > 0 THEN list_avg(list_transform(k, lambda x: abs(x - m))) END"),
@@ -163,15 +173,28 @@ def change_instrument(spark, sf):
     return rounded(features(p, {"value": f"$close - ChangeInstrument('{code}', Mean($close, 3))"}))
 
 
+@query("mask", f"WITH {TYPE}, o AS (SELECT datetime, close - open AS c FROM p WHERE instrument = (SELECT min(instrument) FROM p)) SELECT instrument, datetime, round(c, 6) AS value FROM p LEFT JOIN o USING (datetime)")
+def mask(spark, sf):
+    p = types(spark, sf)
+    code = p.bars.agg(F.min("instrument")).first()[0]
+    return rounded(features(p, {"value": f"Mask($close - $open, '{code}')"}))
+
+
 @query("technical_features", None)
 def technical_features(spark, sf):
-    """The flagship: 158 columns over the event types' panel."""
-    return features(types(spark, sf), feature_sets.technical())
+    """The flagship: 158 columns over the users' panel."""
+    return features(users(spark, sf), feature_sets.technical())
+
+
+_LAGS = ", ".join(
+    [f"round(lag({f}, {k}) OVER s / nullif(close, 0), 6) AS {f.upper()}{k}" for f in ("close", "open", "high", "low", "vwap") for k in range(59, -1, -1)] + [f"round(lag(volume, {k}) OVER s / (volume + 1e-12), 6) AS VOLUME{k}" for k in range(59, -1, -1)]
+)
 
 
-@query("lagged_features", None)
+@query("lagged_features", f"WITH {USER} SELECT instrument, datetime, {_LAGS} FROM p WINDOW s AS (PARTITION BY instrument ORDER BY datetime)")
 def lagged_features(spark, sf):
-    return features(types(spark, sf), feature_sets.lags(steps=20))
+    """360 columns over the users' panel."""
+    return rounded(features(users(spark, sf), feature_sets.lags()))
 
 
 _F = {"KMID": "(close - open) / open", "KUP": "(high - greatest(open, close)) / open", "KSFT": "(2 * close - high - low) / open", "ROC5": "lag(close, 5) OVER s / close", "MA5": "avg(close) OVER w5 / close", "STD5": "stddev_samp(close) OVER w5 / close", "BETA5": "CASE WHEN count(close) OVER w5 >= 2 THEN regr_slope(close, cal_idx) OVER w5 / close END", "MAX5": "max(high) OVER w5 / close", "QTLU5": "quantile_cont(close, 0.8) OVER w5 / close", "RSV5": "(close - min(low) OVER w5) / (max(high) OVER w5 - min(low) OVER w5 + 1e-12)", "VMA5": "avg(volume) OVER w5 / (volume + 1e-12)", "VSTD5": "stddev_samp(volume) OVER w5 / (volume + 1e-12)", "LABEL0": "lead(close, 2) OVER s / lead(close, 1) OVER s - 1"}
@@ -404,17 +427,28 @@ def ingest_new(spark, sf):
     return rounded(panels.new_instruments(raw, raw.filter(F.col("datetime") <= F.lit(dt.date(2024, 1, 2)))).select("instrument", "datetime", "close"))
 
 
-FACTS = "fa AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(l_shipdate AS DATE) AS pub_date, CAST(year(l_shipdate) AS INTEGER) - (l_linenumber % 2) AS period, max(l_extendedprice) AS value FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2, 3)"
+FACTS = "fa AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(l_shipdate AS DATE) AS pub_date, CAST(year(l_shipdate) AS INTEGER) - (l_linenumber % 2) AS period, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query("pit_latest", f"WITH {FACTS}, ba AS (SELECT DISTINCT instrument, make_date(year(pub_date), month(pub_date), 1) AS datetime FROM fa), v AS (SELECT b.instrument, b.datetime, f.period, arg_max(f.value, f.pub_date) AS value FROM ba b LEFT JOIN fa f ON f.instrument = b.instrument AND f.pub_date <= b.datetime GROUP BY 1, 2, 3) SELECT instrument, datetime, round(arg_max(value, period), 6) AS value FROM v GROUP BY 1, 2")
 def pit_latest(spark, sf):
-    line = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_suppkey <= 20")
-    facts = line.groupBy(F.col("l_suppkey").cast("string").alias("instrument"), F.to_date("l_shipdate").alias("pub_date"), (F.year("l_shipdate") - F.col("l_linenumber") % 2).alias("period")).agg(F.max("l_extendedprice").alias("value")).withColumn("field", F.lit("price_a"))
-    bars = facts.select("instrument", F.trunc("pub_date", "month").alias("datetime")).distinct()
+    facts, bars = dated_facts(spark, sf)
     return rounded(features(Panel(panels.dense(bars.withColumn("one", F.lit(1.0))).filter("one is not null"), pit=facts), {"value": "P($$price_a)"}))
 
 
+def dated_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Facts about suppliers by year, dated by shipping; and a bar on the first of each month with facts."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    facts = line.groupBy(F.col("l_suppkey").cast("string").alias("instrument"), F.to_date("l_shipdate").alias("pub_date"), (F.year("l_shipdate") - F.col("l_linenumber") % 2).alias("period")).agg(F.max("l_extendedprice").alias("value")).withColumn("field", F.lit("price_a"))
+    return facts, facts.select("instrument", F.trunc("pub_date", "month").alias("datetime")).distinct()
+
+
+@query("pit_fixed_period", f"WITH {FACTS}, ba AS (SELECT DISTINCT instrument, make_date(year(pub_date), month(pub_date), 1) AS datetime FROM fa) SELECT b.instrument, b.datetime, round(arg_max(f.value, f.pub_date), 6) AS value FROM ba b LEFT JOIN fa f ON f.instrument = b.instrument AND f.pub_date <= b.datetime AND f.period = 1995 GROUP BY 1, 2")
+def pit_fixed_period(spark, sf):
+    facts, bars = dated_facts(spark, sf)
+    return rounded(features(Panel(panels.dense(bars.withColumn("one", F.lit(1.0))).filter("one is not null"), pit=facts), {"value": "PRef($$price_a, 1995)"}))
+
+
 @query("bars_streaming", f"WITH {TYPE} SELECT instrument, datetime, round(open, 6) AS open, round(close, 6) AS close, high, low, volume, round(vwap, 6) AS vwap FROM raw WHERE datetime < (SELECT max(CAST(ts AS TIMESTAMP) - INTERVAL 1 HOUR) FROM events)::DATE")
 def bars_streaming(spark, sf):
     """The finished days of a stream; the last one stays open behind the watermark."""
@@ -448,9 +482,11 @@ def twap_orders(spark, sf):
     return rounded(execution.twap(orders, p.bars, unit=10))
 
 
-@query("volume_limited", f"WITH {TYPE}, l AS (SELECT instrument, datetime, sum(50.0) OVER w AS want, sum(volume * 0.5) OVER w AS can FROM p WINDOW w AS (PARTITION BY instrument ORDER BY datetime)), d AS (SELECT *, least(want, can) AS done FROM l) SELECT instrument, datetime, round(greatest(done - coalesce(lag(done) OVER (PARTITION BY instrument ORDER BY datetime), 0), 0), 6) AS deal_amount FROM d")
+# each bar deals no more than the limit so far less what was dealt before it
+@query("volume_limited", f"WITH RECURSIVE {TYPE}, o AS (SELECT instrument, datetime, CASE WHEN cal_idx % 3 = 0 THEN 0.0 ELSE 60.0 * (cal_idx % 4) END AS amount, sum(coalesce(volume, 0) * 0.5) OVER w AS can, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY instrument ORDER BY datetime)), r AS (SELECT instrument, datetime, k, greatest(least(amount, can), 0) AS deal, greatest(least(amount, can), 0) AS dealt FROM o WHERE k = 1 UNION ALL SELECT o.instrument, o.datetime, o.k, greatest(least(amount, can - dealt), 0), dealt + greatest(least(amount, can - dealt), 0) FROM r JOIN o ON o.instrument = r.instrument AND o.k = r.k + 1) SELECT instrument, datetime, round(deal, 6) AS deal_amount FROM r".replace("WITH RECURSIVE \nraw", "WITH RECURSIVE raw"))
 def volume_limited(spark, sf):
-    rows = types(spark, sf).bars.select(F.col("instrument").alias("order_id"), "instrument", "datetime", F.lit(50.0).alias("amount"), "volume")
+    amount = F.when(F.col("cal_idx") % 3 == 0, 0.0).otherwise(60.0 * (F.col("cal_idx") % 4))
+    rows = types(spark, sf).bars.select(F.col("instrument").alias("order_id"), "instrument", "datetime", amount.alias("amount"), "volume")
     return rounded(execution.volume_limited(rows, 0.5, "cum").select("instrument", "datetime", "deal_amount"))
 
 
@@ -461,11 +497,25 @@ def base_price(spark, sf):
     return rounded(execution.base_price(p.bars, orders, "vwap"))
 
 
-@query("soft_topk", f"WITH {SCORES}, b AS (SELECT instrument, datetime, 0.1 AS wanted FROM q WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 10), c AS (SELECT instrument, datetime, 1.0 / count(*) OVER (PARTITION BY datetime) AS weight FROM p), j AS (SELECT instrument, datetime, coalesce(weight, 0) AS weight, greatest(least(coalesce(wanted, 0) - coalesce(weight, 0), 0.02), -0.02) AS step FROM c FULL JOIN b USING (instrument, datetime)), z AS (SELECT *, 1 - sum(weight) OVER d + sum(CASE WHEN step < 0 THEN -step ELSE 0 END) OVER d AS freed, sum(CASE WHEN step > 0 THEN step ELSE 0 END) OVER d AS want FROM j WINDOW d AS (PARTITION BY datetime)), w AS (SELECT instrument, datetime, weight + CASE WHEN step > 0 THEN step * CASE WHEN want > freed THEN freed / want ELSE 1 END ELSE step END AS weight FROM z) SELECT instrument, datetime, round(weight, 6) AS weight FROM w WHERE weight > 1e-12")
+SOFT = """
+b AS (SELECT instrument, datetime, {target} AS wanted FROM q WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 10),
+c AS (SELECT instrument, datetime, 0.8 * row_number() OVER (PARTITION BY datetime ORDER BY instrument) / (count(*) OVER (PARTITION BY datetime) * (count(*) OVER (PARTITION BY datetime) + 1) / 2) AS weight FROM p WHERE dayofmonth(datetime) % 5 <> 0),
+j AS (SELECT instrument, datetime, coalesce(weight, 0) AS weight, coalesce(wanted, 0) AS wanted FROM c FULL JOIN b USING (instrument, datetime)),
+s1 AS (SELECT *, CASE WHEN weight <= 1e-8 THEN 0 WHEN wanted = 0 THEN least(weight, {limit}) WHEN weight > wanted + 1e-8 THEN least(weight - wanted, {limit}) ELSE 0 END AS sold FROM j),
+s2 AS (SELECT *, CASE WHEN wanted > 0 AND weight - sold < wanted - 1e-8 THEN wanted - (weight - sold) END AS short FROM s1),
+d AS (SELECT datetime, sum(sold) + {risk} - sum(weight) AS budget, sum(short) AS total, sum(weight) AS held FROM s2 GROUP BY 1),
+t AS (SELECT instrument, datetime, CASE WHEN held = 0 THEN least(wanted, {limit}) WHEN short IS NULL OR budget <= 1e-8 THEN weight - sold ELSE weight - sold + least(short / total * least(budget, total), least(short, {limit})) END AS weight FROM s2 JOIN d USING (datetime))
+"""
+
+
+@query("soft_topk", f"WITH {SCORES}, {SOFT.format(target=0.09, limit=0.02, risk=0.9)} SELECT instrument, datetime, round(weight, 6) AS weight FROM t WHERE weight > 1e-8")
 def soft_topk(spark, sf):
+    """On every fifth day nothing is held."""
     rows = scored(spark, sf)
-    current = rows.select("instrument", "datetime", (1.0 / F.count("*").over(analytics.by_date())).alias("weight"))
-    return rounded(execution.soft_topk(rows.select("instrument", "datetime", "score"), current, 10, 0.02))
+    date = analytics.by_date()
+    place, n = F.row_number().over(date.orderBy("instrument")), F.count("*").over(date)
+    current = rows.filter(F.dayofmonth("datetime") % 5 != 0).select("instrument", "datetime", (0.8 * place / (n * (n + 1) / 2)).alias("weight"))
+    return rounded(execution.soft_topk(rows.select("instrument", "datetime", "score"), current, 10, 0.02, 0.9))
 
 
 @query("pair_covariance", f"WITH {RETURNS} SELECT x.series AS a, y.series AS b, round(covar_samp(x.ret, y.ret), 9) AS cov FROM rr x JOIN rr y ON x.datetime = y.datetime AND x.series <= y.series GROUP BY 1, 2")
