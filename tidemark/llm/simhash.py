@@ -4,23 +4,25 @@ A document's fingerprint has 64 bits: a bit is 1 if it is set in over half of th
 hashes of the document's word shingles. Fingerprints that differ in at most ``max_bits`` bits link.
 
 The join walks a binary trie of the distinct fingerprints in pairs of nodes from the root down,
-adds up differing bits and drops a pair as soon as they exceed the budget. The top of the trie
-(at most 16 levels) is cut into blocks of bounded size by the counts of its
-prefixes; each pair of blocks that the budget allows is one task, which walks the rest of the
-two subtrees. A budget over 3 is split: of two halves of a fingerprint one has at most half of
-the differing bits, so two tries, one with each half in front, each with budget ``max_bits // 2``
-in its first 32 levels, find every pair.
+adds up differing bits and drops a pair as soon as they exceed the budget. Of the four quarters of two linked
+fingerprints one differs in at most ``max_bits // 4`` bits, so four tries, each with another quarter in front and that smaller budget
+in its first 16 levels, find every pair. The top of a trie is cut into blocks, as many as the number of
+fingerprints asks for; up to 3 bits a block is joined with itself alone, up to 7 also with those whose prefix differs in one bit. A
+pair of blocks is one task, which walks both subtrees. Nothing of this passes the driver but the number of fingerprints.
 
 Tasks return a forest of their links, never all pairs, so a large group of copies gives
 as many rows as it has members. Exact copies share a fingerprint and meet once.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero and link like any
-other; a text of fewer words than a shingle is one shingle; null ids get a row but are no component's
-id; repeated rows are kept; an empty table gives an empty result.
+other; a text of fewer words than a shingle is one shingle; very long texts are read whole, a piece of words at a time; null ids get a row
+but are no component's id; repeated rows are kept; ties don't occur, as a component's id is a minimum; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +31,22 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEED = 42
-TOP_LEVELS = 16
-BLOCK = 1 << 14
-#: The same where all prints go in one pass: wider, as each block is sent to all that the budget allows.
-WIDE_BLOCK = 1 << 16
+#: Fingerprints have four quarters of 16 bits.
+QUARTERS, QUARTER = 4, 16
+#: Fingerprints of a block on average; more where blocks are also joined with their neighbours, as each is sent to all of these.
+BLOCK, WIDE_BLOCK = 1 << 12, 1 << 15
 #: Node pairs that a task holds at once.
-WIDTH = 1 << 20
+WIDTH = 1 << 17
+#: Node pairs of so many pairs of fingerprints are not split further.
+LEAF = 64
+#: From this depth on node pairs are tried for having nothing new to tell.
+SETTLED = 8
+#: Neighbours in sorted order that are compared first.
+NEIGHBOURS = 8
+#: Shingles from which on the share of differing bits follows the angle between two sets; smaller sets have too many ties.
+LARGE = 32
+#: So many keys of two longs (16 MB) may be broadcast.
+SMALL = 1_000_000
 U1 = np.uint64(1)
 
 
@@ -69,22 +81,27 @@ def shingle_hashes(data: memoryview, offsets: np.ndarray, shingle_words: int, di
 
 
 def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The fingerprint of each run of hashes: bits set in over half of them; zero for an empty run."""
+    """The fingerprint of each run of hashes: bits set in over half of them; zero for an empty run.
+
+    A sum counts several bits at once, in fields that are wide enough for the longest run.
+    """
     out = np.zeros(len(sizes), np.uint64)
     some = np.flatnonzero(sizes > 0)
     if not len(some):
         return out
-    first = (np.cumsum(sizes) - sizes)[some]
-    for bit in range(64):
-        ones = np.add.reduceat((h >> np.uint64(bit)) & U1, first)
-        out[some] |= (ones * np.uint64(2) > sizes[some].astype(np.uint64)).astype(np.uint64) << np.uint64(bit)
+    first, half = (np.cumsum(sizes) - sizes)[some], sizes[some].astype(np.uint64)
+    width = 16 if sizes.max() < 1 << 16 else 32
+    field, ones = np.uint64((1 << width) - 1), np.uint64(sum(1 << k for k in range(0, 64, width)))
+    for bit in range(width):
+        total = np.add.reduceat((h >> np.uint64(bit)) & ones, first)
+        for lane in range(0, 64, width):
+            out[some] |= ((((total >> np.uint64(lane)) & field) * np.uint64(2) > half).astype(np.uint64)) << np.uint64(bit + lane)
     return out
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, prints: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, ...) of each row; fp0 is the fingerprint as a signed long, further ones come from independent hashes. distinct: each shingle of a text counts once."""
-    names = [f"fp{k}" for k in range(prints)]
-    schema = pa.schema([("id", pa.int64()), *((n, pa.int64()) for n in names)])
+def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) of each row; fp is the fingerprint as a signed long."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(tables):
         for batch in tables:
@@ -92,44 +109,21 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, prints: int = 1, disti
             data, offsets = C.text_slices(table)
             ids = C.numbers(table, "id")
             for a, b in C.pieces(offsets):
-                h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, distinct)
-                fp = [majority(h if not k else C.mix(h + np.uint64((k * C.BASE) & C.M64)), sizes) for k in range(prints)]
-                yield pa.record_batch([pa.array(ids[a:b]), *(pa.array(x.view(np.int64)) for x in fp)], schema=schema)
+                fp = majority(*shingle_hashes(data, offsets[a : b + 1], shingle_words))
+                yield pa.record_batch([pa.array(ids[a:b]), pa.array(fp.view(np.int64))], schema=schema)
 
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id")
-    return docs.select(ident, F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+    return docs.select(ident, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
 # --- the trie ---------------------------------------------------------------------------------------------------
 
 
-def rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    return fp if not by else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
+def walk(a: np.ndarray, b: np.ndarray | None, budget: int, lead: int, settled=None):
+    """Pairs of places in sorted a and b (or a and a) whose values differ in at most budget bits, at most lead in the first quarter; in pieces.
 
-
-def cut_top(counts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(depth, prefix) of the nodes at which the top of the trie is cut: no more than block fingerprints below, or TOP_LEVELS deep.
-
-    counts: fingerprints for each prefix of TOP_LEVELS bits.
-    """
-    total = np.concatenate([[0], np.cumsum(counts)])
-    found, open_ = [], [(0, 0)]
-    while open_:
-        depth, prefix = open_.pop()
-        width = 1 << (TOP_LEVELS - depth)
-        n = total[(prefix + 1) * width] - total[prefix * width]
-        if n and (n <= block or depth == TOP_LEVELS):
-            found.append((depth, prefix))
-        elif n:
-            open_ += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-    found.sort(key=lambda x: x[1] << (TOP_LEVELS - x[0]))
-    return np.array([d for d, _ in found], np.int64), np.array([p for _, p in found], np.int64)
-
-
-def walk(a: np.ndarray, b: np.ndarray | None, budget: int, lead: int):
-    """Pairs of places in sorted a and b (or a and a) whose values differ in at most budget bits, at most lead in the first 32; in pieces.
-
-    Node pairs are ranges of both arrays with the depth and the differing bits so far.
+    Node pairs are ranges of both arrays with the depth and the differing bits so far. settled(alo, ahi, blo, bhi), if given, says which pairs of
+    ranges have nothing new to tell; they are left out.
     """
     same = b is None
     b = a if same else b
@@ -146,13 +140,16 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int, lead: int):
     stack = [(0, one, one + len(a), one, one + len(b), one)]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
-        small = ((ahi - alo) * (bhi - blo) <= 4) | (depth == 64)
+        if settled is not None and depth >= SETTLED:
+            new = ~settled(alo, ahi, blo, bhi)
+            alo, ahi, blo, bhi, err = alo[new], ahi[new], blo[new], bhi[new], err[new]
+        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 64)
         if small.any():
             i, j = _product(alo[small], ahi[small], blo[small], bhi[small])
             if same:
                 i, j = i[i < j], j[i < j]
             x = a[i] ^ b[j]
-            ok = (np.bitwise_count(x) <= budget) & (np.bitwise_count(x >> np.uint64(32)) <= lead)
+            ok = (np.bitwise_count(x) <= budget) & (np.bitwise_count(x >> np.uint64(64 - QUARTER)) <= lead)
             if ok.any():
                 yield i[ok], j[ok]
             big = ~small
@@ -164,7 +161,7 @@ def walk(a: np.ndarray, b: np.ndarray | None, budget: int, lead: int):
             stack += [(depth, alo[s], ahi[s], blo[s], bhi[s], err[s]) for s in (slice(0, half), slice(half, None))]
             continue
         amid, bmid = split(a, 0, depth, alo, ahi), split(b, 1 if not same else 0, depth, blo, bhi)
-        limit = lead if depth < 32 else budget
+        limit = lead if depth < QUARTER else budget
         twin = same & (alo == blo) & (ahi == bhi)
         children = [(alo, amid, blo, bmid, err), (amid, ahi, bmid, bhi, err), (alo, amid, bmid, bhi, err + 1), (amid, ahi, blo, bmid, err + 1)]
         kept = []
@@ -184,11 +181,26 @@ def _product(alo, ahi, blo, bhi):
     return alo[row] + k // m[row], blo[row] + k % m[row]
 
 
+def uniform(label: np.ndarray, turns: np.ndarray, alo, ahi, blo, bhi) -> np.ndarray:
+    """Which pairs of ranges have one and the same label throughout. turns: how often the label has changed up to each place."""
+    return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (label[alo] == label[blo])
+
+
+def turns_of(label: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([[False], label[1:] != label[:-1]])) if len(label) else np.zeros(0, np.int64)
+
+
 class Forest:
     """Links of a task as a label for each place: the smallest place that it is linked to."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.turns = None
+
+    def settled(self, alo, ahi, blo, bhi) -> np.ndarray:
+        if self.turns is None:
+            self.turns = turns_of(self.label)
+        return uniform(self.label, self.turns, alo, ahi, blo, bhi)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -197,6 +209,7 @@ class Forest:
             i, j, x, y = i[open_], j[open_], x[open_], y[open_]
             if not len(i):
                 return
+            self.turns = None
             np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
             while True:
                 up = self.label[self.label]
@@ -205,61 +218,80 @@ class Forest:
                 self.label = up
 
 
-def _blocks(turn: int, depths: np.ndarray, prefixes: np.ndarray, lead: int):
-    """Packs a block's fingerprints, once for each pair of blocks that the budget allows."""
-    schema = pa.schema([("x", pa.int32()), ("y", pa.int32()), ("body", pa.binary())])
+def rotated(fp: Column, by: int) -> Column:
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
+def _packed(levels: int, lead: int, more: list[str]):
+    """Packs a block's entries, for itself and, with a lead of one bit, for each block whose prefix differs in one bit."""
+    schema = pa.schema([("trie", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("fps", pa.binary()), *((f"{c}s", pa.binary()) for c in more)])
 
     def run(table: pa.Table) -> pa.Table:
-        own = int(C.numbers(table, "block")[0])
-        body = C.pack_sorted(np.sort(rotated(C.numbers(table, "fp").astype(np.int64).view(np.uint64), turn)))
-        common = np.minimum(depths, depths[own])
-        differ = np.bitwise_count((prefixes >> (depths - common)) ^ (prefixes[own] >> (depths[own] - common)))
-        return C.as_table([(min(own, o), max(own, o), body) for o in np.flatnonzero(differ <= lead).tolist()], schema)
+        trie, own = int(C.numbers(table, "trie")[0]), int(C.numbers(table, "block")[0])
+        fp = C.numbers(table, "fp").astype(np.int64).view(np.uint64)
+        by = np.argsort(fp, kind="stable")
+        body = C.pack_sorted(fp[by]), *(C.pack(C.numbers(table, c).astype(np.int64)[by]) for c in more)
+        others = [own, *(own ^ (1 << k) for k in range(levels) if lead)]
+        return C.as_table([(trie, min(own, o), max(own, o), int(own > o), *body) for o in others], schema)
 
     return run
 
 
-def _join(turn: int, budget: int, lead: int):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def blocks(entries: DataFrame, count: int, max_bits: int, more: list[str]) -> DataFrame:
+    """entries (k, fp, more), some count for each k, as packed blocks (trie, x, y, side, fps, a column for each of more); the tries of a k are 4 k .. 4 k + 3."""
+    if not 0 <= max_bits < 2 * QUARTERS:
+        raise ValueError("max_bits must be from 0 to 7")
+    lead = max_bits // QUARTERS
+    levels = min(QUARTER, max(0, math.ceil(math.log2(max(count, 1) / (WIDE_BLOCK if lead else BLOCK)))))
+    turned = F.array(*(F.struct((F.col("k") * QUARTERS + q).cast("int").alias("trie"), rotated(F.col("fp"), QUARTER * q).alias("fp")) for q in range(QUARTERS)))
+    block = F.shiftrightunsigned("e.fp", 64 - levels).cast("int") if levels else F.lit(0)
+    placed = entries.select(F.explode(turned).alias("e"), *more).select("e.trie", block.alias("block"), "e.fp", *more)
+    return placed.groupBy("trie", "block").applyInArrow(_packed(levels, lead, more), ", ".join(["trie int, x int, y int, side int, fps binary", *(f"{c}s binary" for c in more)]))
+
+
+def _sides(table: pa.Table) -> list[dict] | None:
+    """The two sides of a pair of blocks, or one for a block and itself; None if one of the pair is missing."""
+    rows = table.sort_by("side").to_pylist()
+    return rows if len(rows) > 1 or rows[0]["x"] == rows[0]["y"] else None
+
+
+def _forest(budget: int):
+    """A forest (trie, u, v) over the fingerprints of a task that are linked."""
+    schema = pa.schema([("trie", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        bodies = [C.unpack_sorted(x.as_py()) for x in table.column("body")]
-        a, b = bodies[0], bodies[1] if len(bodies) > 1 else None
-        forest = Forest(len(a) + (0 if b is None else len(b)))
-        for i, j in walk(a, b, budget, lead):
-            forest.add(i, j if b is None else j + len(a))
-        every = rotated(a if b is None else np.concatenate([a, b]), (64 - turn) % 64).view(np.int64)
+        sides = _sides(table)
+        if sides is None:
+            return C.as_table([], schema)
+        a, b = (C.unpack_sorted(x["fps"]) for x in (sides * 2)[:2])
+        b = b if len(sides) > 1 else None
+        forest, lead, moved = Forest(len(a) + (0 if b is None else len(b))), budget // QUARTERS, 0 if b is None else len(a)
+        for step in range(1, NEIGHBOURS + 1):  # neighbours in order first: in a dense set they link most, and the walk can leave that out
+            for x, base in ((a, 0), (b, moved)) if b is not None else ((a, 0),):
+                i = np.flatnonzero(np.bitwise_count(x[step:] ^ x[:-step]) <= budget) + base
+                forest.add(i, i + step)
+        for i, j in walk(a, b, budget, lead, lambda p, q, r, s: forest.settled(p, q, r + moved, s + moved)):
+            forest.add(i, j + moved)
+        every = (a if b is None else np.concatenate([a, b])).view(np.int64)
         linked = np.flatnonzero(forest.label != np.arange(len(every)))
-        return pa.table([pa.array(every[linked]), pa.array(every[forest.label[linked]])], schema=schema)
+        trie = np.full(len(linked), sides[0]["trie"], np.int32)
+        return pa.table([pa.array(trie), pa.array(every[linked]), pa.array(every[forest.label[linked]])], schema=schema)
 
     return run
 
 
-def link(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v): a forest that connects all of the distinct fingerprints fp in prints that are linked."""
-    if not 0 <= max_bits <= 7:
-        raise ValueError("max_bits must be from 0 to 7")
-    found = None
-    for turn in (0,) if max_bits <= 3 else (0, 32):
-        lead = max_bits if max_bits <= 3 else max_bits // 2
-        front = F.shiftrightunsigned(F.col("fp"), 64 - TOP_LEVELS) if not turn else F.shiftrightunsigned(F.shiftleft(F.col("fp"), turn), 64 - TOP_LEVELS)
-        counts = np.zeros(1 << TOP_LEVELS, np.int64)
-        seen = prints.groupBy(front.cast("int").alias("front")).count().toArrow()  # at most 2**TOP_LEVELS rows
-        counts[C.numbers(seen, "front")] = C.numbers(seen, "count")
-        depths, prefixes = cut_top(counts)
-        edges = prefixes << (TOP_LEVELS - depths)
-        schema = pa.schema([("block", pa.int32()), ("fp", pa.int64())])
-
-        def place(tables, turn=turn, edges=edges, schema=schema):
-            for t in tables:
-                fp = t.column("fp").to_numpy().astype(np.int64)
-                head = (rotated(fp.view(np.uint64), turn) >> np.uint64(64 - TOP_LEVELS)).astype(np.int64)
-                yield pa.record_batch([pa.array((np.searchsorted(edges, head, "right") - 1).astype(np.int32)), t.column("fp")], schema=schema)
-
-        blocks = prints.select("fp").mapInArrow(place, "block int, fp long").groupBy("block").applyInArrow(_blocks(turn, depths, prefixes, lead), "x int, y int, body binary")
-        links = blocks.groupBy("x", "y").applyInArrow(_join(turn, max_bits, lead), "u long, v long")
-        found = links if found is None else found.unionByName(links)
-    return found
+def link(prints: DataFrame, count: int, max_bits: int = 3) -> DataFrame:
+    """(k, u, v): for each k a forest that connects all of its distinct fingerprints (k, fp) that are linked; some count for each k."""
+    found = blocks(prints.select("k", "fp"), count, max_bits, []).groupBy("trie", "x", "y").applyInArrow(_forest(max_bits), "trie int, u long, v long")
+
+    def back(c: str) -> Column:
+        quarter = F.col("trie") % QUARTERS
+        turned = F.col(c)
+        for q in range(1, QUARTERS):
+            turned = F.when(quarter == q, rotated(F.col(c), 64 - QUARTER * q)).otherwise(turned)
+        return turned.alias(c)
+
+    return found.select(F.floor(F.col("trie") / QUARTERS).cast("int").alias("k"), back("u"), back("v"))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -293,62 +325,68 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, prints: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
-
-    With several prints, texts have as many fingerprints from independent hashes and link if any of them do. Of pairs whose shingle
-    sets have a Jaccard similarity of 0.9, 0.85 and 0.8 that finds about 99, 89 and 65 in 100 with 4 prints of 7 bits, and more than 99, 96 and 79 with 6.
-    """
-    found = C.written(fingerprints(docs, shingle_words, prints, distinct, id_col=id_col, text_col=text_col), "fingerprints")
-    names = [f"fp{k}" for k in range(prints)]
-    node = F.col("fp0") if prints == 1 else F.xxhash64(*names)
-    classes = C.written(found.groupBy(*names).agg(F.min(F.when(F.col("id") != C.NULL_ID, F.col("id"))).alias("low")).withColumn("node", node), "classes")
-    edges = None
-    for name in names:
-        # fingerprints stand for the smallest class that has them
-        stands = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("top"))
-        if prints > 1:
-            stands = C.written(stands, "fingerprint-classes")
-        links = link(stands.select("fp"), max_bits)
-        if prints > 1:
-            links = links.join(stands.select(F.col("fp").alias("u"), F.col("top").alias("a")), "u").join(stands.select(F.col("fp").alias("v"), F.col("top").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            own = classes.select("node", F.col(name).alias("fp")).join(stands, "fp").filter("node <> top").select(F.col("node").alias("u"), F.col("top").alias("v"))
-            links = links.unionByName(own)
-        edges = links if edges is None else edges.unionByName(links)
-    roots = components(edges)
-    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = classes.join(both, "node").select("node", "root", "low")
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable over links)."""
+    found = C.written(fingerprints(docs, shingle_words, id_col=id_col, text_col=text_col), "fingerprints")
+    classes = C.written(found.groupBy("fp").agg(F.min(F.when(F.col("id") != C.NULL_ID, F.col("id"))).alias("low")), "classes")
+    roots = components(link(classes.select(F.lit(0).alias("k"), "fp"), classes.count(), max_bits).select("u", "v"))
+    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    members = classes.join(both, "fp").select("fp", "root", "low")
     least = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = members.join(least, "root").select("node", "component_id")
-    ids = classes.join(linked, "node", "left").select(*names, F.coalesce("component_id", "low").alias("component_id"))
-    return found.join(ids, names).select(C.null_id("id", id_col), hexadecimal(F.col("fp0")).alias("fingerprint"), "component_id")
+    linked = members.join(least, "root").select("fp", "component_id")
+    ids = C.written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "component-ids")
+    return found.join(ids, "fp").select(C.null_id("id", id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # --- verified groups -----------------------------------------------------------------------------------------------
 
 
-def _hashed(docs: DataFrame, shingle_words: int, prints: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, body, uid, node, n, fps, shingles) of each row: uid is unique, node a hash of the set of its n shingles, shingles the packed set."""
-    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("uid", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64())), ("shingles", pa.binary())])
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
+
+
+def set_hash(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each run's set of hashes."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(h ^ np.uint64(C.BASE)), dtype=np.uint64)])
+    return C.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+
+
+def _hashed(rows: DataFrame, shingle_words: int, prints: int) -> DataFrame:
+    """(id, body, node, n, fps) of rows (id, body, text): node is a hash of the set of the row's n shingles, fps its fingerprints from independent hashes."""
+    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def run(tables):
         for batch in tables:
             table = pa.Table.from_batches([batch])
             data, offsets = C.text_slices(table)
             for a, b in C.pieces(offsets):
-                h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, True)  # sorted within a text
+                h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, True)
                 fps = np.stack([majority(h if not k else C.mix(h + np.uint64((k * C.BASE) & C.M64)), sizes) for k in range(prints)], axis=1)
-                ends = np.cumsum(sizes)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(h ^ np.uint64(C.BASE)), dtype=np.uint64)])
-                node = C.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
-                packed = [C.pack_sorted(h[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                own = [pa.array(C.numbers(table, c)[a:b]) for c in ("id", "body", "uid")]
-                yield pa.record_batch([*own, pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64())), pa.array(packed, pa.binary())], schema=schema)
+                own = [pa.array(C.numbers(table, c)[a:b]) for c in ("id", "body")]
+                yield pa.record_batch([*own, pa.array(set_hash(h, sizes)), pa.array(sizes.astype(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], schema=schema)
 
-    text = F.col(text_col).cast("string")
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id")
-    rows = docs.select(ident, F.xxhash64(text).alias("body"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, body long, uid long, node long, n long, fps array<long>, shingles binary")
+    return rows.mapInArrow(run, "id long, body long, node long, n long, fps array<long>")
+
+
+def _sets(rows: DataFrame, need: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles): the packed sets of the rows (id, body, text) that need (id, body) names, each set once.
+
+    Up to SMALL keys of need (16 bytes each) are broadcast, so that texts stay where they are.
+    """
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(tables):
+        for batch in tables:
+            data, offsets = C.text_slices(pa.Table.from_batches([batch]))
+            for a, b in C.pieces(offsets):
+                h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, True)  # sorted within a text
+                packed = [C.pack_sorted(h[e - s : e]) for e, s in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(set_hash(h, sizes)), pa.array(packed, pa.binary())], schema=schema)
+
+    chosen = rows.join(F.broadcast(need) if need.count() <= SMALL else need, ["id", "body"], "left_semi").select("text")
+    return chosen.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _expanded(i: np.ndarray, j: np.ndarray, first: np.ndarray, stop: np.ndarray):
@@ -360,22 +398,36 @@ def _expanded(i: np.ndarray, j: np.ndarray, first: np.ndarray, stop: np.ndarray)
             yield _product(first[i[p]], stop[i[p]], first[j[p]], stop[j[p]])
 
 
-def _candidates(budget: int, lead: int, mode: str, similarity: float):
+def differing(similarity: float, prints: int) -> float:
+    """So many bits of prints fingerprints two sets of this Jaccard similarity differ in at most, four standard deviations above the mean.
+
+    A bit differs with a probability of angle / pi; of sets with one similarity those of equal sizes have the widest angle.
+    """
+    p, n = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 64 * prints
+    return n * p + 4 * math.sqrt(n * p * (1 - p))
+
+
+def _candidates(budget: int, mode: str, similarity: float, prints: int):
     """Candidate pairs (u, v) of a task. nearest: for each entry its linked one with the smallest node; every: all.
 
-    Pairs within a component and pairs whose sizes rule the similarity out are left out.
+    Left out are pairs within a component, pairs that a trie before this one of the same fingerprint finds, pairs whose sizes rule the similarity out, and, if both
+    sets have at least LARGE shingles, pairs that differ in more bits of all fingerprints than the similarity allows for.
     """
+    most, lead, names = differing(similarity, prints), budget // QUARTERS, [f"f{k}" for k in range(prints)]
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         sides = []
-        for x in table.sort_by("side").to_pylist():
-            sides.append((C.unpack_sorted(x["fps"]), *(C.unpack(x[c], np.int64) for c in ("nodes", "comps", "ns"))))
+        for x in _sides(table) or ():
+            sides.append((C.unpack_sorted(x["fps"]), *(C.unpack(x[f"{c}s"], np.int64) for c in ("node", "comp", "n", *names))))
+        if not sides:
+            return C.as_table([], schema)
         runs = [np.unique(s[0], return_index=True) for s in sides]
         moved = [0, len(sides[0][0])]
         first = np.concatenate([r[1] + m for r, m in zip(runs, moved, strict=False)])
         stop = np.concatenate([np.append(r[1][1:], len(s[0])) + m for r, s, m in zip(runs, sides, moved, strict=False)])
-        node, comp, n = (np.concatenate([s[c] for s in sides]) for c in (1, 2, 3))
+        node, comp, n, *every = (np.concatenate([s[c] for s in sides]) for c in range(1, 4 + prints))
+        quarter = int(C.numbers(table, "trie")[0]) % QUARTERS
         a, b = runs[0][0], runs[1][0] if len(runs) > 1 else None
         best = np.full(len(node), np.iinfo(np.int64).max)
         us, vs = [], []
@@ -383,6 +435,9 @@ def _candidates(budget: int, lead: int, mode: str, similarity: float):
         def take(i, j):
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[ok], j[ok]
+            bits = sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in every)
+            ok = (bits <= most) | (np.minimum(n[i], n[j]) < LARGE)
+            i, j = i[ok], j[ok]
             if mode == "nearest":
                 np.minimum.at(best, i, node[j])
                 np.minimum.at(best, j, node[i])
@@ -390,12 +445,19 @@ def _candidates(budget: int, lead: int, mode: str, similarity: float):
                 us.append(np.minimum(node[i], node[j]))
                 vs.append(np.maximum(node[i], node[j]))
 
-        if b is None:  # entries that share a fingerprint
+        if b is None and not quarter:  # entries that share a fingerprint
             many = np.flatnonzero(stop - first > 1)
             for i, j in _expanded(many, many, first, stop):
                 take(i[i < j], j[i < j])
-        for i, j in walk(a, b, budget, lead):
-            for p, q in _expanded(i, j if b is None else j + len(a), first, stop):
+        # nothing to propose between fingerprints whose entries are of one component; fingerprints with several get a number of their own
+        label, shift = np.where(np.minimum.reduceat(comp, first) == np.maximum.reduceat(comp, first), comp[first], np.iinfo(np.int64).max - np.arange(len(first))) if len(first) else comp, 0 if b is None else len(a)
+        turns = turns_of(label)
+        for i, j in walk(a, b, budget, lead, lambda p, q, r, s: uniform(label, turns, p, q, r + shift, s + shift)):
+            x, new = a[i] ^ (a if b is None else b)[j], np.ones(len(i), bool)
+            for before in range(quarter):  # in the order of this trie that quarter stands behind the own one
+                at = np.uint64(64 - QUARTER * (1 + (before - quarter) % QUARTERS))
+                new &= np.bitwise_count((x >> at) & np.uint64((1 << QUARTER) - 1)) > lead
+            for p, q in _expanded(i[new], j[new] + shift, first, stop):
                 take(p, q)
         if mode == "nearest":
             some = best != np.iinfo(np.int64).max
@@ -407,76 +469,11 @@ def _candidates(budget: int, lead: int, mode: str, similarity: float):
     return run
 
 
-def _forest(budget: int, lead: int):
-    """A forest (trie, u, v) over the fingerprints of a task that are linked."""
-    schema = pa.schema([("trie", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        bodies = [C.unpack_sorted(x["fps"]) for x in table.sort_by("side").to_pylist()]
-        a, b = bodies[0], bodies[1] if len(bodies) > 1 else None
-        forest = Forest(len(a) + (0 if b is None else len(b)))
-        for i, j in walk(a, b, budget, lead):
-            forest.add(i, j if b is None else j + len(a))
-        every = (a if b is None else np.concatenate([a, b])).view(np.int64)
-        linked = np.flatnonzero(forest.label != np.arange(len(every)))
-        trie = np.full(len(linked), C.numbers(table, "trie")[0], np.int32)
-        return pa.table([pa.array(trie), pa.array(every[linked]), pa.array(every[forest.label[linked]])], schema=schema)
-
-    return run
-
-
-def _dealt(cuts: list[tuple[np.ndarray, np.ndarray]], lead: int, more: list[str]):
-    """Packs a block's entries, once for each pair of blocks of its trie that the budget allows."""
-    schema = pa.schema([("trie", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("fps", pa.binary()), *((f"{c}s", pa.binary()) for c in more)])
-
-    def run(table: pa.Table) -> pa.Table:
-        trie, own = int(C.numbers(table, "trie")[0]), int(C.numbers(table, "block")[0])
-        depths, prefixes = cuts[trie]
-        fp = C.numbers(table, "fp").astype(np.int64).view(np.uint64)
-        by = np.argsort(fp, kind="stable")
-        body = C.pack_sorted(fp[by]), *(C.pack(C.numbers(table, c).astype(np.int64)[by]) for c in more)
-        common = np.minimum(depths, depths[own])
-        differ = np.bitwise_count((prefixes >> (depths - common)) ^ (prefixes[own] >> (depths[own] - common)))
-        return C.as_table([(trie, min(own, o), max(own, o), int(own > o), *body) for o in np.flatnonzero(differ <= lead).tolist()], schema)
-
-    return run
-
-
-def _blocked(entries: DataFrame, prints: int, max_bits: int, more: list[str]) -> DataFrame:
-    """entries (k, fp, more) as packed blocks (trie, x, y, side, fps, a column for each of more), for all prints and turns in one pass."""
-    turns = [0] if max_bits <= 3 else [0, 32]
-    lead = max_bits if max_bits <= 3 else max_bits // 2
-    turned = F.array(*(F.struct((F.col("k") * len(turns) + q).cast("int").alias("trie"), (F.col("fp") if not t else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))).alias("fp")) for q, t in enumerate(turns)))
-    entries = entries.select(F.explode(turned).alias("e"), *more).select("e.trie", "e.fp", *more)
-    seen = entries.groupBy("trie", F.shiftrightunsigned(F.col("fp"), 64 - TOP_LEVELS).cast("int").alias("front")).count().toArrow()  # at most 2**TOP_LEVELS rows a trie
-    counts = np.zeros((prints * len(turns), 1 << TOP_LEVELS), np.int64)
-    counts[C.numbers(seen, "trie"), C.numbers(seen, "front")] = C.numbers(seen, "count")
-    cuts = [cut_top(c, WIDE_BLOCK) for c in counts]
-    edges = [p << (TOP_LEVELS - d) for d, p in cuts]
-    names = ["trie", "block", "fp", *more]
-
-    def place(tables):
-        for t in tables:
-            head = (t.column("fp").to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - TOP_LEVELS)).astype(np.int64)
-            trie = t.column("trie").to_numpy()
-            block = np.zeros(len(head), np.int32)
-            for q in np.unique(trie).tolist():
-                block[trie == q] = np.searchsorted(edges[q], head[trie == q], "right") - 1
-            yield pa.record_batch([t.column("trie"), pa.array(block), t.column("fp"), *(t.column(c) for c in more)], names=names)
-
-    placed = entries.mapInArrow(place, ", ".join(["trie int, block int, fp long", *(f"{c} long" for c in more)]))
-    return placed.groupBy("trie", "block").applyInArrow(_dealt(cuts, lead, more), ", ".join(["trie int, x int, y int, side int, fps binary", *(f"{c}s binary" for c in more)]))
-
-
-def _connected(classes: DataFrame, prints: int, max_bits: int) -> DataFrame:
+def _connected(classes: DataFrame, count: int, max_bits: int) -> DataFrame:
     """(node, top): what fingerprints connect, for the classes (node, fps) that any of them links."""
-    turns = 1 if max_bits <= 3 else 2
     every = classes.select("node", F.posexplode("fps").alias("k", "fp"))
     stands = C.written(every.groupBy("k", "fp").agg(F.min("node").alias("top"), F.count("*").alias("n")), "fingerprint-classes")
-    links = _blocked(stands.select("k", "fp"), prints, max_bits, []).groupBy("trie", "x", "y").applyInArrow(_forest(max_bits, max_bits // turns), "trie int, u long, v long")
-    back = lambda c: F.when(F.col("trie") % turns == 0, F.col(c)).otherwise(F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))).alias(c)
-    links = links.select(F.floor(F.col("trie") / turns).cast("int").alias("k"), back("u"), back("v"))
-    ends = stands.drop("n")
+    links, ends = link(stands, count, max_bits), stands.drop("n")
     linked = links.join(ends.toDF("k", "u", "a"), ["k", "u"]).join(ends.toDF("k", "v", "b"), ["k", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
     own = every.join(stands.filter("n > 1"), ["k", "fp"]).select(F.col("node").alias("u"), F.col("top").alias("v"))
     tops = components(linked.unionByName(own)).toDF("node", "top")
@@ -485,12 +482,11 @@ def _connected(classes: DataFrame, prints: int, max_bits: int) -> DataFrame:
 
 def _pairs(classes: DataFrame, prints: int, max_bits: int, mode: str, similarity: float) -> DataFrame:
     """Distinct candidate pairs (u, v), u < v, of classes (node, comp, n, fps)."""
-    lead = max_bits if max_bits <= 3 else max_bits // 2
     # of a component's classes with one fingerprint one stands for all
-    entries = classes.select("node", "comp", "n", F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp", "comp").agg(F.min(F.struct("node", "n")).alias("least"))
-    entries = C.written(entries.select("k", "fp", "comp", "least.node", "least.n"), "entries")
-    blocks = _blocked(entries, prints, max_bits, ["node", "comp", "n"])
-    found = blocks.groupBy("trie", "x", "y").applyInArrow(_candidates(max_bits, lead, mode, similarity), "u long, v long")
+    every = {f"f{k}": F.col("fps")[k] for k in range(prints)}
+    entries = classes.select("node", "comp", "n", *(v.alias(c) for c, v in every.items()), F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp", "comp").agg(F.min(F.struct("node", "n", *every)).alias("least"))
+    entries = entries.select("k", "fp", "comp", "least.*")
+    found = blocks(entries, classes.count(), max_bits, ["node", "comp", "n", *every]).groupBy("trie", "x", "y").applyInArrow(_candidates(max_bits, mode, similarity, prints), "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
@@ -509,7 +505,7 @@ def _alike(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, prints: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, prints: int = 10, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, body (xxhash64 of its text), component (equal for rows that are linked).
 
     Fingerprints only propose pairs; a pair links if the Jaccard similarity of its sets of shingles, counted exactly, is at least ``similarity``. Texts with one
@@ -517,10 +513,11 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, p
     class proposed of another component, and last all pairs proposed between components are counted. So a group of copies costs as many pairs as
     it has members; only texts that fingerprints link though they are less similar cost a pair each.
     """
-    rows = C.written(_hashed(docs, shingle_words, prints, id_col, text_col), "hashed")
-    classes = C.written(rows.groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("fps").alias("fps")), "classes")
+    rows = _rows(docs, id_col, text_col)
+    hashed = C.written(_hashed(rows, shingle_words, prints), "hashed")
+    classes = C.written(hashed.groupBy("node").agg(F.min(F.struct("id", "body")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")), "classes")
     labelled, links, tried = classes.withColumn("comp", F.col("node")), None, None
-    connected = _connected(classes, prints, max_bits)
+    connected = _connected(classes, classes.count(), max_bits)
     for mode in ("top", "nearest", "every"):
         if mode == "top":
             n = classes.select("node", "n")
@@ -540,13 +537,13 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, p
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "uid"), "node").select("uid")
-        sets = C.written(rows.select("uid", "node", "shingles").join(need, "uid", "left_semi").select("node", "shingles"), "sets")
+        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "first"), "node").select("first.id", "first.body")
+        sets = C.written(_sets(rows, C.written(need, "need"), shingle_words), "sets")
         held = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
         now = C.written(held.mapInArrow(_alike(similarity), "u long, v long"), "alike")
         links = now if links is None else links.unionByName(now)
         roots = components(links)
         root = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
         labelled = C.written(classes.join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "labelled")
-    found = rows.select("id", "body", "node").join(labelled.select("node", F.col("comp").alias("component")), "node")
+    found = hashed.select("id", "body", "node").join(labelled.select("node", F.col("comp").alias("component")), "node")
     return found.select(C.null_id("id", id_col), "body", "component")

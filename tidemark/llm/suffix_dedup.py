@@ -50,6 +50,15 @@ SPAN_MOST = 32
 HOT_BATCHES = 64
 
 
+#: Rows of contexts that are worked on at once.
+ROWS = 1 << 14
+
+
+def context_width(length: int) -> int:
+    """Bytes of a context: whole words."""
+    return -(-(span_of(length) - 1 + length + 2) // 8) * 8
+
+
 def span_of(length: int) -> int:
     """So many neighbours that a string's first trigger and the next one lie in it: the second at most 2 * span - 1 behind its start."""
     return min(SPAN_MOST, (length - HASH_BYTES + 1) // 2)
@@ -125,13 +134,15 @@ class Parse:
     def contexts(self, chosen: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         """For each chosen trigger the bytes before it and length bytes from it on, 0 beyond its strings, then far and near."""
         left = self.width - 1
-        at = self.at[chosen]
-        out = np.zeros((len(chosen), left + self.length + 2), np.uint8)
-        first, last = at - far, at - near + self.length  # what its strings cover
-        for k in range(-left, self.length):
-            place = at + k
-            ok = (place >= first) & (place < last)
-            out[ok, left + k] = self.flat[place[ok]]
+        reach, column = left + self.length, np.arange(left + self.length, dtype=np.int16)
+        out = np.zeros((len(chosen), context_width(self.length)), np.uint8)
+        padded = np.concatenate([np.zeros(left, np.uint8), self.flat, np.zeros(self.length, np.uint8)])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, reach)
+        for k in range(0, len(chosen), ROWS):
+            own = slice(k, k + ROWS)
+            rows = windows[self.at[chosen[own]]]
+            rows[(column < (left - far[own])[:, None]) | (column >= (reach - near[own])[:, None])] = 0  # beyond what its strings cover
+            out[own, :reach] = rows
         out[:, -2], out[:, -1] = far, near
         return out
 
@@ -172,7 +183,7 @@ def _shared(table: pa.Table) -> pa.Table:
 def _records(parse: Parse, answers: pa.Table, n: int):
     """Distinct contexts of the triggers whose phrase is in the dictionary.
 
-    Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers with far and near, and their places among the contexts.
+    Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers with far, near and key, in the order of the partitions, and their places among the contexts.
     """
     keys, _, back = parse.keys()
     kind = np.zeros(len(keys), np.int8)
@@ -186,23 +197,22 @@ def _records(parse: Parse, answers: pa.Table, n: int):
     chosen, key, far, near = chosen[order], key[order], far[order], near[order]
     rows = parse.contexts(chosen, far, near)
     if not len(chosen):
-        return [], rows, np.zeros(0, np.int64), (chosen, far, near), np.zeros(0, np.int64)
-    digest = C.mix(_row_hash(rows) + key)
+        return [], rows, np.zeros(0, np.int64), (chosen, far, near, key), np.zeros(0, np.int64)
+    words = rows.view(np.uint64)
+    digest = key.copy()
+    for k in range(words.shape[1]):
+        digest = C.mix(digest * np.uint64(C.BASE) + words[:, k])
     by = np.lexsort((digest, key))  # equal contexts come together; unlike ones with one hash are told apart below
-    new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | np.any(rows[by[1:]] != rows[by[:-1]], axis=1)])
+    new = np.ones(len(by), bool)
+    for k in range(1, len(by), ROWS):
+        here, before = by[k : k + ROWS], by[k - 1 : k + ROWS - 1][: len(by) - k]
+        new[k : k + ROWS] = (key[here] != key[before]) | (words[here] != words[before]).any(axis=1)
     place = np.empty(len(chosen), np.int64)
     place[by] = np.cumsum(new) - 1
     first = by[new]
     low = np.full(len(first), 2**63 - 1, np.int64)
     np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
-    return C.deal(key[first], n), rows[first], low, (chosen, far, near), place
-
-
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = out * np.uint64(C.BASE) + rows[:, k].astype(np.uint64) + np.uint64(1)
-    return out
+    return C.deal(key[first], n), rows[first], low, (chosen, far, near, key), place
 
 
 CONTEXTS = "batch int, part int, body binary, low binary"
@@ -227,11 +237,14 @@ def _suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros((len(rows), width), np.uint8)
     padded[:, : rows.shape[1]] = rows
     words = padded.view(">u8").astype(np.uint64)
+    del padded
     order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-    ordered = rows[order]
-    differs = ordered[1:] != ordered[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
-    return order, np.concatenate([[-1], common])
+    common = np.full(len(rows), -1)
+    for k in range(1, len(rows), ROWS):
+        here, before = order[k : k + ROWS], order[k - 1 : k + ROWS - 1][: len(rows) - k]
+        differs = rows[here] != rows[before]
+        common[k : k + ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    return order, common
 
 
 def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
@@ -267,7 +280,7 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
 
 
 def _order(length: int):
-    width = span_of(length) - 1 + length + 2
+    width = context_width(length)
 
     def run(table: pa.Table) -> pa.Table:
         part = int(C.numbers(table, "part")[0])
@@ -294,18 +307,18 @@ def _remove(length: int, n: int, with_text: bool):
         if not table.num_rows:
             return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
         parse = Parse(table, length)
-        deal, _, _, (chosen, far, near), place = _records(parse, answers, n)
+        deal, _, _, (chosen, far, near, key), place = _records(parse, answers, n)
         span = parse.width
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
-        least = np.concatenate([C.unpack(said[p], np.int64).reshape(-1, span).cumsum(axis=1) for p, _, _ in deal]) if deal else np.zeros((0, span), np.int64)
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
-        own = parse.ids[parse.doc[chosen]]
-        for j in range(span):
-            hit = (near <= j) & (j <= far)
-            hit[hit] = least[place[hit], j] < own[hit]
-            start = parse.at[chosen[hit]] - j
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + length, -1)
+        for (p, base, _), (_, a, b) in zip(deal, C.deal(key, n), strict=True):  # a partition's contexts, and its triggers
+            least = C.unpack(said[p], np.int64).reshape(-1, span).cumsum(axis=1)
+            at, own, where = parse.at[chosen[a:b]], parse.ids[parse.doc[chosen[a:b]]], place[a:b] - base
+            for j in range(span):
+                hit = (near[a:b] <= j) & (j <= far[a:b])
+                hit[hit] = least[where[hit], j] < own[hit]
+                np.add.at(edge, at[hit] - j, 1)
+                np.add.at(edge, at[hit] - j + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         begun = gone & ~np.concatenate([[False], gone[:-1]])
         begun[parse.offsets[:-1][np.diff(parse.offsets) > 0]] |= gone[parse.offsets[:-1][np.diff(parse.offsets) > 0]]
