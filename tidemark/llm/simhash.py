@@ -435,7 +435,7 @@ def _candidates(budget: int, mode: str, similarity: float, prints: int):
         def take(i, j):
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[ok], j[ok]
-            bits = sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in every)
+            bits = sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in every)
             ok = (bits <= most) | (np.minimum(n[i], n[j]) < LARGE)
             i, j = i[ok], j[ok]
             if mode == "nearest":
