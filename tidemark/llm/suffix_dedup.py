@@ -47,7 +47,7 @@ PIECE = 1 << 18
 #: More neighbours give fewer triggers and longer contexts.
 SPAN_MOST = 32
 #: A phrase of more batches is split up.
-HOT_BATCHES = 64
+HOT_BATCHES = 512
 
 
 #: Rows of contexts that are worked on at once.
