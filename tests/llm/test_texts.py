@@ -395,6 +395,58 @@ def test_quality_on_held_out_documents(spark):
     assert mean[0] < mean[1] < mean[2] and all(r.p_ge_1 >= r.p_ge_2 for r in got.values())
 
 
+def test_fit_is_a_minimum_of_the_plain_objective(spark):
+    """Ordinal log-likelihood written out row by row: no step along any weight or threshold lowers it by more than the penalty and the stopping allow; scores follow from it."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(30)]
+    grades = [k % 3 for k in range(240)]
+    texts = [" ".join(rng.choices(vocabulary, k=15) + (["good"] if g == 2 and rng.random() < 0.8 else []) + (["bad"] if g == 0 and rng.random() < 0.8 else [])) for g in grades]
+    rows, keys = [], []
+    for k, t in enumerate(texts):
+        _, found = quality.features(memoryview(t.encode()), np.array([0, len(t.encode())]))
+        rows += [k] * len(found)
+        keys += found.tolist()
+    model = quality.learn(np.array(rows, np.int32), np.array(keys, np.uint64), np.array(grades), rounds=1500)
+    of = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    x = [[c for r, c in zip(rows, keys, strict=True) if r == k] for k in range(len(texts))]
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for k, g in enumerate(grades):
+            s = sum(weights.get(c, 0.0) for c in x[k])
+            below = [0.0, *(1 / (1 + math.exp(s - t)) for t in thresholds), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / len(grades) + 0.1 * 0.05 / math.sqrt(len(grades)) * sum(map(abs, weights.values()))
+
+    least = loss(of, model.thresholds)
+    for c in of:
+        for step in (-0.05, 0.05):
+            assert loss(of | {c: of[c] + step}, model.thresholds) > least - 2e-4
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert loss(of, moved) > least - 2e-4
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k in range(0, 240, 11):
+        s = sum(of.get(c, 0.0) for c in x[k])
+        tails = [1 - 1 / (1 + math.exp(s - t)) for t in model.thresholds]
+        assert (got[k].p_ge_1, got[k].p_ge_2, got[k].expected_grade) == (pytest.approx(tails[0]), pytest.approx(tails[1]), pytest.approx(sum(tails)))
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, f"w{k % 7} v{k % 5} u{k % 3}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3) for k in range(200)], "doc_id long, grade int")
+    a, b = quality.fit(docs.repartition(1), labels), quality.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+
+
 def test_quality_edges(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = quality.fit(docs, none)

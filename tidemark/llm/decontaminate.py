@@ -13,7 +13,8 @@ the document's length bound where the window can start, and the words kept at th
 The look-up table holds one long for each distinct shingle of the benchmark. It is broadcast while it
 has at most ``broadcast_keys`` rows (a count, not an estimate); beyond that Spark joins it by shuffle.
 
-Cases: null texts have no words and no hits; items without words have no windows; repeated rows and
+Cases: null texts have no words and no hits; a very long text is one row, of which each place carries a few words; of a window's equally rare shingles the first
+counts; 20 * n_hit = n_words counts as contaminated; items without words have no windows; repeated rows and
 ids get a row each; null ids are kept; columns other than the id and the text are ignored; an empty
 benchmark hits nothing; an empty table gives an empty result.
 """

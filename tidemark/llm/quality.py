@@ -12,7 +12,8 @@ else limits it. Scoring reads every text whole.
 Cases: a null or empty text has no words and only its shares' features; null ids are kept; repeated rows each get a
 row; labels without a grade or a document are ignored, of several grades of a document the lowest counts, of several
 texts the first in order; without labels
-every grade is equally likely; an empty table gives an empty result.
+every grade is equally likely; a very long text is read whole, a piece of texts at a time; a probability equal to the least one keeps the document; other
+columns are passed on if asked for, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,16 +128,16 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("g_id")).groupBy("id", "grade").agg(F.min("text").alias("text"))  # rows of one id count once
 
     def run(tables):
-        schema = pa.schema([("grade", pa.int32()), ("body", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("grade", pa.int32()), ("body", pa.binary())])
         for t in tables:
             data, offsets = C.text_slices(pa.Table.from_batches([t]))
             for first, last in C.pieces(offsets):
                 doc, key = features(data, offsets[first : last + 1])
                 by = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[by], np.arange(last - first + 1))
-                yield pa.record_batch([t.column("grade")[first:last], pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
+                yield pa.record_batch([t.column("id")[first:last], t.column("grade")[first:last], pa.array([key[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
-    found = rows.mapInArrow(run, "grade int, body binary").toArrow()  # fit_rows bounds its rows
+    found = rows.mapInArrow(run, "id long, grade int, body binary").toArrow().sort_by("id")  # fit_rows bounds its rows; in one order, so that sums are the same in each run
     grade = C.numbers(found, "grade").astype(np.int64)
     data, offsets = C.text_slices(found, "body")
     row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(offsets) // 8)

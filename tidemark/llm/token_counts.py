@@ -8,8 +8,8 @@ Every token is allocated once, so a document's sections add up to its tokens.
 
 Sections are lines with their line ends, or paragraphs with the blank lines behind them.
 
-Cases: null and empty texts have no tokens and no sections; null ids are kept; repeated rows each get a row;
-an empty table gives an empty result. Special tokens' strings in a text are ordinary text.
+Cases: null and empty texts have no tokens and no sections; a very long text is encoded whole, in one task; a tie of sections for most of a token's bytes goes to
+the first; null ids are kept; repeated rows each get a row; other columns, whatever their names, are ignored; an empty table gives an empty result. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -35,18 +35,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _loaded: dict[str, tuple] = {}
 
 
-def encoder(path: str):
-    """The encoding and each token's number of bytes; loaded once a process."""
+def encoder(path: str, content: bytes | None = None):
+    """The encoding and each token's number of bytes; loaded once a process, from content or else the file."""
     if path not in _loaded:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in (content or Path(path).read_bytes()).splitlines() if x)}
         length = np.zeros(max(ranks.values()) + 1, np.int64)
         length[list(ranks.values())] = [len(t) for t in ranks]
         _loaded[path] = tiktoken.Encoding("tidemark", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), length
     return _loaded[path]
 
 
+def vocabulary(spark: SparkSession, path: str) -> bytes:
+    """The file's bytes, from the driver's disk or a store that Spark reads."""
+    if not path:
+        raise ValueError("no vocabulary: give the path of a file of base64 tokens and ranks")
+    if Path(path).is_file():
+        return Path(path).read_bytes()
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def sections(text: bytes, split: str) -> np.ndarray:
     """Where the sections of a text end; the last at the text's end."""
     ends = [m.end() for m in SPLITS[split].finditer(text)]
@@ -74,13 +83,15 @@ def allocate(lengths: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarr
 
 
 def count(docs: DataFrame, ranks: str, split: str = "line", rule: str = "most", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col, n_bytes, n_tokens, n_sections, n_crossing, section_tokens (an array, in order). ranks: the vocabulary's file, on every executor."""
+    """One row for each document: id_col, n_bytes, n_tokens, n_sections, n_crossing, section_tokens (an array, in order). ranks: the vocabulary's file, which the driver reads; some MB, sent to each executor once."""
     if rule not in RULES or split not in SPLITS:
         raise ValueError(f"rule must be one of {RULES}, split one of {tuple(SPLITS)}")
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_sections", pa.int64()), ("n_crossing", pa.int64()), ("section_tokens", pa.list_(pa.float64()))])
 
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(docs.sparkSession, ranks))
+
     def run(tables):
-        encoding, length = encoder(ranks)
+        encoding, length = encoder(ranks, sent.value)
         for t in tables:
             rows = []
             for i, text in zip(t.column("id").to_pylist(), t.column("text"), strict=True):

@@ -11,7 +11,8 @@ frame's end is known.
 
 Cases: a null payload is empty; a null url becomes a urn of the record; line ends in a url are
 percent-encoded; null ids are kept; rows with equal ids and payloads count as one record of that id, each keeps
-its row; an empty table gives no archive and an empty result.
+its row; of equal payloads with one largest id every row of that id is a response; a very long payload is one record, held whole by one task; other columns,
+whatever their names, are ignored; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
