@@ -180,8 +180,8 @@ def _shared(table: pa.Table) -> pa.Table:
     return C.as_table(rows, FLAG_ROWS)
 
 
-def _records(parse: Parse, answers: pa.Table, n: int):
-    """Distinct contexts of the triggers whose phrase is in the dictionary.
+def _records(parse: Parse, answers: pa.Table, n: int, with_rows: bool = True):
+    """Distinct contexts of the triggers whose phrase is in the dictionary; their bytes and ids only with_rows.
 
     Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers with far, near and key, in the order of the partitions, and their places among the contexts.
     """
@@ -210,9 +210,12 @@ def _records(parse: Parse, answers: pa.Table, n: int):
     place = np.empty(len(chosen), np.int64)
     place[by] = np.cumsum(new) - 1
     first = by[new]
+    deal = C.deal(key[first], n)
+    if not with_rows:
+        return deal, None, None, (chosen, far, near, key), place
     low = np.full(len(first), 2**63 - 1, np.int64)
     np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
-    return C.deal(key[first], n), rows[first], low, (chosen, far, near, key), place
+    return deal, rows[first], low, (chosen, far, near, key), place
 
 
 CONTEXTS = "batch int, part int, body binary, low binary"
@@ -239,6 +242,7 @@ def _suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = padded.view(">u8").astype(np.uint64)
     del padded
     order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
+    del words
     common = np.full(len(rows), -1)
     for k in range(1, len(rows), ROWS):
         here, before = order[k : k + ROWS], order[k - 1 : k + ROWS - 1][: len(rows) - k]
@@ -254,15 +258,20 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
-    """For each context and each distance j that it has of a string's start from the trigger, the least id with that string."""
+def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and each distance j that it has of a string's start from the trigger, the least id with that string: its place in the second result.
+
+    Places take half the memory of ids, and there are as many as contexts times distances.
+    """
+    ids, low = np.unique(low, return_inverse=True)
+    low = low.astype(np.int32)
     span = span_of(length)
     left = span - 1
     dictionary, parse = rows[:, :left][:, ::-1], rows[:, left : left + length]
     parse_order, parse_common = _suffix_order(parse)
     left_order, left_common = _suffix_order(dictionary)
     far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    out = np.full((len(rows), span), 2**63 - 1, np.int64)
+    out = np.full((len(rows), span), len(ids), np.int32)
     for j in range(span):
         mine = np.flatnonzero((near <= j) & (j <= far))
         if j:
@@ -276,7 +285,7 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
         group = np.empty(len(mine), np.int64)
         group[by] = np.cumsum(np.concatenate([[True], key[by][1:] != key[by][:-1]])) - 1
         out[mine, j] = least[group]
-    return out
+    return out, np.append(ids, 2**63 - 1)
 
 
 def _order(length: int):
@@ -287,12 +296,14 @@ def _order(length: int):
         z = C._zstd().ZstdDecompressor()
         sent = [np.frombuffer(z.decompress(x.as_py()), np.uint8).reshape(-1, width) for x in table.column("body")]
         low = np.concatenate([C.unpack(x.as_py(), np.int64) for x in table.column("low")])
-        least = least_ids(np.concatenate(sent), low, length)
+        sizes, contexts = [len(x) for x in sent], np.concatenate(sent)
+        del sent
+        least, ids = least_ids(contexts, low, length)
         rows, at = [], 0
-        for b, x in zip(C.numbers(table, "batch"), sent, strict=True):
-            steps = np.diff(least[at : at + len(x)], axis=1, prepend=np.int64(0))  # mostly zero
+        for b, size in zip(C.numbers(table, "batch"), sizes, strict=True):
+            steps = np.diff(ids[least[at : at + size]], axis=1, prepend=np.int64(0))  # mostly zero
             rows.append((int(b), 2, part, C.pack(steps.ravel())))
-            at += len(x)
+            at += size
         return C.as_table(rows, FLAG_ROWS)
 
     return run
@@ -307,7 +318,7 @@ def _remove(length: int, n: int, with_text: bool):
         if not table.num_rows:
             return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
         parse = Parse(table, length)
-        deal, _, _, (chosen, far, near, key), place = _records(parse, answers, n)
+        deal, _, _, (chosen, far, near, key), place = _records(parse, answers, n, with_rows=False)
         span = parse.width
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
@@ -319,7 +330,7 @@ def _remove(length: int, n: int, with_text: bool):
                 hit[hit] = least[where[hit], j] < own[hit]
                 np.add.at(edge, at[hit] - j, 1)
                 np.add.at(edge, at[hit] - j + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         begun = gone & ~np.concatenate([[False], gone[:-1]])
         begun[parse.offsets[:-1][np.diff(parse.offsets) > 0]] |= gone[parse.offsets[:-1][np.diff(parse.offsets) > 0]]
         rows, extra = [], [table.column("more")] if "more" in table.column_names else []
