@@ -33,6 +33,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -52,6 +53,8 @@ HOT_BATCHES = 512
 
 #: Rows of contexts that are worked on at once.
 ROWS = 1 << 14
+#: Contexts that are held at once, but for those of one partition in a batch and of one phrase's first bytes in a partition.
+CHUNK = 1 << 15
 
 
 def context_width(length: int) -> int:
@@ -131,13 +134,16 @@ class Parse:
             h = h * np.uint64(C.BASE) + self.flat[self.at[chosen] + k].astype(np.uint64) + np.uint64(1)
         return C.mix(h)
 
+    @functools.cached_property
+    def _padded(self) -> np.ndarray:
+        return np.concatenate([np.zeros(self.width - 1, np.uint8), self.flat, np.zeros(self.length, np.uint8)])
+
     def contexts(self, chosen: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         """For each chosen trigger the bytes before it and length bytes from it on, 0 beyond its strings, then far and near."""
         left = self.width - 1
         reach, column = left + self.length, np.arange(left + self.length, dtype=np.int16)
         out = np.zeros((len(chosen), context_width(self.length)), np.uint8)
-        padded = np.concatenate([np.zeros(left, np.uint8), self.flat, np.zeros(self.length, np.uint8)])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, reach)
+        windows = np.lib.stride_tricks.sliding_window_view(self._padded, reach)
         for k in range(0, len(chosen), ROWS):
             own = slice(k, k + ROWS)
             rows = windows[self.at[chosen[own]]]
@@ -180,10 +186,10 @@ def _shared(table: pa.Table) -> pa.Table:
     return C.as_table(rows, FLAG_ROWS)
 
 
-def _records(parse: Parse, answers: pa.Table, n: int, with_rows: bool = True):
-    """Distinct contexts of the triggers whose phrase is in the dictionary; their bytes and ids only with_rows.
+def _records(parse: Parse, answers: pa.Table, n: int):
+    """Distinct contexts of the triggers whose phrase is in the dictionary, for runs of partitions with some CHUNK triggers, so that few contexts are in memory at once.
 
-    Returns (partition, contexts, least id of each), sorted by partition; the chosen triggers with far, near and key, in the order of the partitions, and their places among the contexts.
+    Yields (partitions of the contexts, contexts with repeats, first trigger of each distinct one; partitions of the triggers; the triggers with far and near; their places among the distinct contexts).
     """
     keys, _, back = parse.keys()
     kind = np.zeros(len(keys), np.int8)
@@ -195,9 +201,17 @@ def _records(parse: Parse, answers: pa.Table, n: int, with_rows: bool = True):
     chosen, key, far, near = parse.meetings(kind[back])
     order = np.argsort(key, kind="stable")  # by partition
     chosen, key, far, near = chosen[order], key[order], far[order], near[order]
+    del keys, back, kind, order
+    a = 0
+    for _, _, b in C.deal(key, n):
+        if b - a >= CHUNK or b == len(key):
+            yield _distinct(parse, chosen[a:b], key[a:b], far[a:b], near[a:b], n)
+            a = b
+
+
+def _distinct(parse: Parse, chosen: np.ndarray, key: np.ndarray, far: np.ndarray, near: np.ndarray, n: int):
+    """One step of _records."""
     rows = parse.contexts(chosen, far, near)
-    if not len(chosen):
-        return [], rows, np.zeros(0, np.int64), (chosen, far, near, key), np.zeros(0, np.int64)
     words = rows.view(np.uint64)
     digest = key.copy()
     for k in range(words.shape[1]):
@@ -210,12 +224,7 @@ def _records(parse: Parse, answers: pa.Table, n: int, with_rows: bool = True):
     place = np.empty(len(chosen), np.int64)
     place[by] = np.cumsum(new) - 1
     first = by[new]
-    deal = C.deal(key[first], n)
-    if not with_rows:
-        return deal, None, None, (chosen, far, near, key), place
-    low = np.full(len(first), 2**63 - 1, np.int64)
-    np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
-    return deal, rows[first], low, (chosen, far, near, key), place
+    return (C.deal(key[first], n), rows, first), C.deal(key, n), (chosen, far, near), place
 
 
 CONTEXTS = "batch int, part int, body binary, low binary"
@@ -227,9 +236,12 @@ def _contexts(length: int, n: int):
         if not table.num_rows:
             return C.as_table([], schema)
         batch = int(C.numbers(table, "batch")[0])
-        deal, rows, low, _, _ = _records(Parse(table, length), answers, n)
-        z = C._zstd().ZstdCompressor(level=3)
-        return C.as_table([(batch, p, z.compress(rows[a:b].tobytes()), C.pack(low[a:b])) for p, a, b in deal], schema)
+        parse, out, z = Parse(table, length), [], C._zstd().ZstdCompressor(level=3)
+        for (deal, rows, first), _, (chosen, _, _), place in _records(parse, answers, n):
+            low = np.full(len(first), 2**63 - 1, np.int64)
+            np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
+            out += [(batch, p, z.compress(rows[first[a:b]].tobytes()), C.pack(low[a:b])) for p, a, b in deal]
+        return C.as_table(out, schema)
 
     return run
 
@@ -261,17 +273,29 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context and each distance j that it has of a string's start from the trigger, the least id with that string: its place in the second result.
 
-    Places take half the memory of ids, and there are as many as contexts times distances.
+    Places take half the memory of ids, and there are as many as contexts times distances. Equal strings have the same bytes at their trigger, so
+    contexts are ordered in some CHUNK at once, dealt by these bytes.
     """
     ids, low = np.unique(low, return_inverse=True)
-    low = low.astype(np.int32)
+    low, span, n = low.astype(np.int32), span_of(length), len(rows) // CHUNK + 1
+    out = np.empty((len(rows), span), np.int32)
+    at = np.ascontiguousarray(rows[:, span - 1 : span - 1 + HASH_BYTES]).view(np.uint64).ravel()
+    chunk = C.mix(at) % np.uint64(n)
+    for k in range(n):
+        own = np.flatnonzero(chunk == k)
+        out[own] = _least(rows[own], low[own], length, len(ids))
+    return out, np.append(ids, 2**63 - 1)
+
+
+def _least(rows: np.ndarray, low: np.ndarray, length: int, none: int) -> np.ndarray:
+    """least_ids of contexts that are ordered at once; none stands where a context has no string yet."""
     span = span_of(length)
     left = span - 1
     dictionary, parse = rows[:, :left][:, ::-1], rows[:, left : left + length]
     parse_order, parse_common = _suffix_order(parse)
     left_order, left_common = _suffix_order(dictionary)
     far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    out = np.full((len(rows), span), len(ids), np.int32)
+    out = np.full((len(rows), span), none, np.int32)
     for j in range(span):
         mine = np.flatnonzero((near <= j) & (j <= far))
         if j:
@@ -285,7 +309,7 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarra
         group = np.empty(len(mine), np.int64)
         group[by] = np.cumsum(np.concatenate([[True], key[by][1:] != key[by][:-1]])) - 1
         out[mine, j] = least[group]
-    return out, np.append(ids, 2**63 - 1)
+    return out
 
 
 def _order(length: int):
@@ -318,18 +342,18 @@ def _remove(length: int, n: int, with_text: bool):
         if not table.num_rows:
             return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
         parse = Parse(table, length)
-        deal, _, _, (chosen, far, near, key), place = _records(parse, answers, n, with_rows=False)
         span = parse.width
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
-        for (p, base, _), (_, a, b) in zip(deal, C.deal(key, n), strict=True):  # a partition's contexts, and its triggers
-            least = C.unpack(said[p], np.int64).reshape(-1, span).cumsum(axis=1)
-            at, own, where = parse.at[chosen[a:b]], parse.ids[parse.doc[chosen[a:b]]], place[a:b] - base
-            for j in range(span):
-                hit = (near[a:b] <= j) & (j <= far[a:b])
-                hit[hit] = least[where[hit], j] < own[hit]
-                np.add.at(edge, at[hit] - j, 1)
-                np.add.at(edge, at[hit] - j + length, -1)
+        for (deal, _, _), runs, (chosen, far, near), place in _records(parse, answers, n):
+            for (p, base, _), (_, a, b) in zip(deal, runs, strict=True):  # a partition's contexts, and its triggers
+                least = C.unpack(said[p], np.int64).reshape(-1, span).cumsum(axis=1)
+                at, own, where = parse.at[chosen[a:b]], parse.ids[parse.doc[chosen[a:b]]], place[a:b] - base
+                for j in range(span):
+                    hit = (near[a:b] <= j) & (j <= far[a:b])
+                    hit[hit] = least[where[hit], j] < own[hit]
+                    np.add.at(edge, at[hit] - j, 1)
+                    np.add.at(edge, at[hit] - j + length, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         begun = gone & ~np.concatenate([[False], gone[:-1]])
         begun[parse.offsets[:-1][np.diff(parse.offsets) > 0]] |= gone[parse.offsets[:-1][np.diff(parse.offsets) > 0]]
