@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -201,6 +203,27 @@ def test_repeats_equal_brute_force(docs, rows, length, hot, monkeypatch):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows, length)
 
 
+@pytest.mark.parametrize(("length", "hot", "chunk"), [(50, 512, 7), (50, 1, 20), (100, 2, 1), (32, 1, 1 << 15)])
+def test_steps_in_small_runs_equal_brute_force(rows, length, hot, chunk, monkeypatch):
+    """The steps of a job by hand, where the settings surely hold: few contexts at once, hot phrases."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    n, parts = 5, 3
+    ids, texts = [-(2**63) if i is None else i for i, _ in rows], [t for _, t in rows]
+    batches = [pa.table({"batch": pa.array([b] * len(ids[b::n]), pa.int32()), "id": pa.array(ids[b::n], pa.int64()), "text": pa.array(texts[b::n], pa.string())}) for b in range(n)]
+
+    def dealt(tables, column, count):
+        every = pa.concat_tables(tables)
+        return [every.filter(pc.equal(every[column], k)) for k in range(count)]
+
+    flags = [suffix_dedup._shared(t) for t in dealt([suffix_dedup._phrases(length, parts)(b) for b in batches], "part", parts) if len(t)]
+    contexts = [suffix_dedup._contexts(length, parts)(b, f) for b, f in zip(batches, dealt(flags, "batch", n), strict=True)]
+    order = [suffix_dedup._order(length)(t) for t in dealt(contexts, "part", parts) if len(t)]
+    got = [suffix_dedup._remove(length, parts, False)(b, a) for b, a in zip(batches, dealt([*flags, *order], "batch", n), strict=True)]
+    found = Counter((None if r["id"] == -(2**63) else r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in got for r in t.to_pylist())
+    assert found == removed(rows, length)
+
+
 def test_low_entropy_and_overlaps(spark):
     rows = [(1, "a" * 200), (2, "a" * 49), (3, "b" + "a" * 60 + "b"), (4, "ab" * 60), (5, "ba" * 40), (6, "x" + "ab" * 30 + "y" + "a" * 55), (7, "é" * 60), (8, "zé" * 2 + "é" * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
