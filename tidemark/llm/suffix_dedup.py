@@ -53,7 +53,7 @@ HOT_BATCHES = 512
 
 #: Rows of contexts that are worked on at once.
 ROWS = 1 << 14
-#: Contexts that are held at once, but for those of one partition in a batch and of one phrase's first bytes in a partition.
+#: Contexts that a batch holds at once, or more if one partition gets more; and that a partition, which holds all of its own, sorts at once, or more if they share the bytes at their trigger.
 CHUNK = 1 << 15
 
 
