@@ -45,6 +45,12 @@ def frame(spark, rows):
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="session")
+def framed(spark):
+    """Makes a table of documents of (doc_id, text) rows."""
+    return lambda rows: frame(spark, rows)
+
+
 @pytest.fixture(scope="session")
 def nothing(docs):
     return docs.limit(0)

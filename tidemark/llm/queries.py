@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, media, mixing, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from . import alignment, decontaminate, exact_dedup, lm_scoring, media, mixing, quality, simhash, spelling, suffix_dedup, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), token_counts.DEFAULT_RANKS)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -69,8 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL}
