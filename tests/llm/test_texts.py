@@ -515,6 +515,38 @@ def test_mix_meets_targets(docs):
     assert rows_of(again, "doc_id", "size", "taken") == Counter((r.doc_id, r["size"], r.taken) for r in got)
 
 
+def test_draws_decide_the_mix(docs, monkeypatch):
+    """Another draw takes other words; a draw of one source takes from that one only."""
+    taken = lambda **more: {(r.doc_id, r["size"]): r.taken for r in mixing.mix(docs, block_words=8, **more).collect()}
+    first = taken(shard_slots=64)
+    assert taken(shard_slots=32) != first
+    one = lambda spark, shares, slots, shard, *_: shares.filter("sid = 1").select("sid", F.lit(shard).cast("long").alias("shard"), F.lit(slots).cast("long").alias("n"))
+    monkeypatch.setattr(mixing, "draws", one)
+    got = mixing.mix(docs, block_words=8, keep=("source",)).filter("taken > 0").select("source").distinct().collect()
+    assert len(got) == 1
+
+
+def test_shards_are_multinomial_draws(spark):
+    """A shard's counts have the mean and the variance of a multinomial draw, shards are independent, totals come near what is wanted."""
+    wanted = spark.createDataFrame([(0, 60_000.0), (1, 30_000.0), (2, 9_000.0), (3, 1_000.0)], "sid long, wanted double")
+    rows = mixing.shard_counts(spark, wanted, 100, 7).collect()
+    n = {(r.sid, r.shard): r.n for r in rows}
+    total = Counter()
+    for (sid, _), k in n.items():
+        total[sid] += k
+    for sid, w in enumerate((60_000, 30_000, 9_000, 1_000)):
+        assert abs(total[sid] - w) <= 25
+        p, shards = w / 100_000, range(750)  # the first round
+        counts = [n.get((sid, s), 0) for s in shards]
+        mean = sum(counts) / 750
+        variance = sum((c - mean) ** 2 for c in counts) / 749
+        assert abs(mean - 100 * p) < 4 * math.sqrt(100 * p * (1 - p) / 750)
+        assert 0.8 < variance / (100 * p * (1 - p)) < 1.25
+        ahead = sum((a - mean) * (b - mean) for a, b in zip(counts, counts[1:], strict=False)) / 749
+        assert abs(ahead) < 0.15 * variance
+    assert all(sum(n.get((sid, s), 0) for sid in range(4)) == 100 for s in range(750))
+
+
 def test_caps_are_shared_again(spark):
     rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate([("a", 10), ("b", 1000), ("c", 1000), ("d", 5), ("e", 300)])]
     got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4).collect()}

@@ -6,8 +6,9 @@ Each source's texts, in a fixed order, form one stream of words that is packed i
 transform of a hash of its shard and place. A source's n-th slot maps through a pseudorandom permutation of its
 block numbers (a new one for each pass over them), and blocks join their slots by number.
 
-A multinomial draw's totals vary: of s slots that a source should get it gets s plus or minus the square root of s. As sources shall come near
-their targets, draws beyond a source's s are given up and what a source lacks is added in a last shard; all other shards' counts stay as drawn.
+The draws decide how many slots a source gets. So that it comes near its target all the same, shards are drawn in rounds, three quarters of the slots that are left
+at a time: a round's shards draw by the shares of what the sources still lack after the rounds before. The rounds end with one of at most LAST_SLOTS slots, whose
+spread (some square root of the source's part of them) is what a source misses its target by. Only draws beyond ``cap`` passes over a source's blocks are given up.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share the total size;
 a target stops at ``cap`` times its source's size and the excess is shared again by weight.
@@ -32,6 +33,8 @@ from . import common as C
 BUCKETS, BUCKET_ROWS = 1024, 1 << 20
 #: Shards whose counts are summed together, and slots of a task that draws.
 SHARD_RUN, TASK_SLOTS = 1024, 1 << 20
+#: Slots of the last round.
+LAST_SLOTS = 64
 #: Steps of the unit interval that a draw tells apart.
 STEPS = 1 << 40
 #: The ten largest primes below 2**21. One that doesn't divide n gives a permutation of 0 .. n - 1 for n below 2**41.
@@ -75,27 +78,38 @@ def permuted(k: Column, n: Column, *key: Column) -> Column:
     return F.pmod(k * prime + F.pmod(F.xxhash64(F.lit("offset"), *key), n), n)
 
 
-def draws(spark: SparkSession, plan: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sid, shard, n): how many slots each shard gives each source of plan (sid, source_size, target); a source's last block may be short, so its slots count with its mean block."""
+def draws(spark: SparkSession, shares: DataFrame, slots: int, first_shard: int, shard_slots: int, seed: int) -> DataFrame:
+    """(sid, shard, n): how many of its slots each shard of a round gives each source of shares (sid, wanted); its n by source are a multinomial draw."""
     upto, every = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    wanted = F.col("target") * F.ceil(F.col("source_size") / block_words) / F.col("source_size")
-    cdf = plan.filter("target > 0").select("sid", wanted.alias("wanted"))
+    cdf = shares.filter("wanted > 0")
     cdf = cdf.select("sid", "wanted", F.sum("wanted").over(every).alias("all"), F.sum("wanted").over(upto).alias("upto"), F.max("sid").over(every).alias("last"), F.count("*").over(every).alias("sources"))
     edge = lambda c: F.floor(c / F.col("all") * STEPS)
-    width = F.ceil(F.lit(float(STEPS)) / F.col("sources"))
-    cdf = cdf.select("sid", F.ceil("all").alias("slots"), width.alias("width"), edge(F.col("upto") - F.col("wanted")).alias("low"), F.when(F.col("sid") == F.col("last"), STEPS).otherwise(edge(F.col("upto"))).alias("high"))
-    cdf = C.written(cdf.filter("high > low"), "cumulated")
-    whole = cdf.agg(F.max("slots").alias("slots"), F.max("width").alias("width")).first()
-    slots, width = whole["slots"] or 0, whole["width"] or 1
-    cells = C.written(cdf.select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell")), "cells")
-    tasks = max(C.partitions(spark), -(-slots // TASK_SLOTS))
-    drawn = spark.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.floor(F.col("id") / shard_slots), F.pmod("id", F.lit(shard_slots))), F.lit(STEPS)).alias("u"))
+    cdf = cdf.select("sid", F.ceil(F.lit(float(STEPS)) / F.col("sources")).alias("width"), edge(F.col("upto") - F.col("wanted")).alias("low"), F.when(F.col("sid") == F.col("last"), STEPS).otherwise(edge(F.col("upto"))).alias("high")).filter("high > low")
+    cells = C.written(cdf.select("sid", "low", "high", "width", F.explode(F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width")))).alias("cell")), "cells")
+    width = cells.agg(F.max("width")).first()[0] or 1
+    shard = F.floor(F.col("id") / shard_slots) + first_shard
+    drawn = spark.range(0, slots, 1, min(max(C.partitions(spark), -(-slots // TASK_SLOTS)), -(-slots // 4096))).select(shard.alias("shard"), F.pmod(F.xxhash64(F.lit(seed), shard, F.pmod("id", F.lit(shard_slots))), F.lit(STEPS)).alias("u"))
     drawn = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").filter("low <= u and u < high")
     return drawn.groupBy("sid", "shard").agg(F.count("*").alias("n"))
 
 
+def shard_counts(spark: SparkSession, wanted: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """(sid, shard, n) of all rounds; wanted: (sid, wanted), slots that each source should get."""
+    left, first, rounds = int(wanted.agg(F.ceil(F.sum("wanted"))).first()[0] or 0), 0, None
+    while left > 0:
+        slots = left if left <= LAST_SLOTS else -(-3 * left // 4)
+        lacking = wanted
+        if rounds is not None:
+            drew = rounds.groupBy("sid").agg(F.sum("n").alias("drew"))
+            lacking = wanted.join(drew, "sid", "left").select("sid", (F.col("wanted") - F.coalesce("drew", F.lit(0))).alias("wanted"))
+        drawn = C.written(draws(spark, lacking, slots, first, shard_slots, seed), "draws")
+        rounds = drawn if rounds is None else rounds.unionByName(drawn)
+        left, first = left - slots, first - (-slots // shard_slots)
+    return rounds if rounds is not None else wanted.select("sid", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("n")).limit(0)
+
+
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 1,
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, block_words: int = 32, shard_slots: int = 4096, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each document: id_col, size, source_size, target, taken (words of it in the mix, repeats counted), then the columns keep."""
@@ -118,17 +132,13 @@ def mix(
 
     # a source's slots are numbered through its shards: the sums of runs of shards, then the shards of a run
     run = F.floor(F.col("shard") / SHARD_RUN)
-    drawn = C.written(draws(docs.sparkSession, plan, block_words, shard_slots, seed).withColumn("run", run), "draws")
+    blocks = F.ceil(F.col("source_size") / block_words)
+    filled = C.written(plan.filter("source_size > 0").select("sid", blocks.alias("blocks"), F.floor(cap * blocks).alias("most"), (F.col("target") * blocks / F.col("source_size")).alias("wanted")), "wanted")
+    drawn = shard_counts(docs.sparkSession, filled.select("sid", "wanted"), shard_slots, seed).withColumn("run", run)
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = drawn.groupBy("sid", "run").agg(F.sum("n").alias("n")).select("sid", "run", before(Window.partitionBy("sid").orderBy("run")).alias("first"))
     numbered = drawn.select("sid", "shard", "run", "n", before(Window.partitionBy("sid", "run").orderBy("shard")).alias("inner")).join(runs, ["sid", "run"])
-    blocks = F.ceil(F.col("source_size") / block_words)
-    wanted = F.least(F.floor(cap * blocks), F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))
-    wanted = plan.filter("source_size > 0").select("sid", blocks.alias("blocks"), wanted.alias("wanted"))
-    numbered = numbered.join(wanted, "sid").withColumn("first", F.col("first") + F.col("inner")).withColumn("n", F.least(F.col("n"), F.col("wanted") - F.col("first"))).filter("n > 0").select("sid", "shard", "first", "n", "blocks")
-    drew = drawn.groupBy("sid").agg(F.sum("n").alias("drew"))
-    lacking = wanted.join(drew, "sid", "left").withColumn("first", F.coalesce("drew", F.lit(0)))
-    numbered = numbered.unionByName(lacking.filter("first < wanted").select("sid", F.lit(-1).cast("long").alias("shard"), "first", (F.col("wanted") - F.col("first")).alias("n"), "blocks"))
+    numbered = numbered.join(filled, "sid").withColumn("first", F.col("first") + F.col("inner")).withColumn("n", F.least(F.col("n"), F.col("most") - F.col("first"))).filter("n > 0").select("sid", "shard", "first", "n", "blocks")
     # deal the shards out before they grow to slots
     slots = numbered.repartition(C.partitions(docs.sparkSession), "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
