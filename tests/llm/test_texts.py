@@ -216,10 +216,10 @@ def test_steps_in_small_runs_equal_brute_force(rows, length, hot, chunk, monkeyp
         every = pa.concat_tables(tables)
         return [every.filter(pc.equal(every[column], k)) for k in range(count)]
 
-    flags = [suffix_dedup._shared(t) for t in dealt([suffix_dedup._phrases(length, parts)(b) for b in batches], "part", parts) if len(t)]
-    contexts = [suffix_dedup._contexts(length, parts)(b, f) for b, f in zip(batches, dealt(flags, "batch", n), strict=True)]
+    flags = [suffix_dedup._shared(t) for t in dealt([suffix_dedup._phrases(length, parts, 48)(b) for b in batches], "part", parts) if len(t)]
+    contexts = [suffix_dedup._contexts(length, parts, 48)(b, f) for b, f in zip(batches, dealt(flags, "batch", n), strict=True)]
     order = [suffix_dedup._order(length)(t) for t in dealt(contexts, "part", parts) if len(t)]
-    got = [suffix_dedup._remove(length, parts, False)(b, a) for b, a in zip(batches, dealt([*flags, *order], "batch", n), strict=True)]
+    got = [suffix_dedup._remove(length, parts, 48, False)(b, a) for b, a in zip(batches, dealt([*flags, *order], "batch", n), strict=True)]
     found = Counter((None if r["id"] == -(2**63) else r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in got for r in t.to_pylist())
     assert found == removed(rows, length)
 
@@ -479,6 +479,31 @@ def test_quality_edges(spark, docs, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def test_ranks_of_phrases_order_bytes():
+    """The parse's suffix array by ranks is the order of the bytes, with the bytes that neighbours share; phrases lie where triggers are."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for length in (16, 50, 100):
+        span = suffix_dedup.span_of(length)
+        for letters in (2, 5, 250):
+            rows = rng.integers(0, letters, (400, length)).astype(np.uint8)
+            rows[200:300] = rows[:100]
+            rows[250:300, length - 5 :] = 0
+            rows[390:] = 7
+            order, common = suffix_dedup.parse_order(rows, span)
+            plain = [rows[k].tobytes() for k in order]
+            assert plain == sorted(plain)
+            assert common[0] == -1 and all(c == next((k for k in range(length) if a[k] != b[k]), length) for a, b, c in zip(plain, plain[1:], common[1:], strict=False))
+    text = bytes(rng.integers(97, 107, 3000).astype(np.uint8))
+    parse = suffix_dedup.Parse(pa.table({"id": pa.array([1], pa.int64()), "text": pa.array([text.decode()])}), 50)
+    triggers = set(parse.at.tolist())
+    for at in parse.at.tolist():
+        if at + 50 <= len(text) - 100:
+            places = suffix_dedup.phrase_places(np.frombuffer(text[at : at + 50], np.uint8)[None, :], parse.width)[0]
+            assert all(at + k in triggers for k in places.tolist() if 0 <= k < 50 - parse.width - suffix_dedup.HASH_BYTES)
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 

@@ -4,18 +4,19 @@ Which bytes go: every byte of a string of ``length`` (50) bytes that also starts
 document with a smaller id. The method, made for Spark:
 
 1. *Parse.* A rolling hash (a polynomial over 8 bytes) gives each position a value; the smallest of
-   ``span`` neighbours, the first among equals, is a trigger. A phrase runs from a trigger to the 8 bytes of the next one, so phrases
-   tile the text with an overlap. Plain triggers (hash divisible by p) leave some strings without one; the smallest of
-   neighbours puts at least one whole phrase, the one at the string's first trigger, into every string of ``length`` bytes, and which phrase that is
-   depends on the string alone, so equal strings are cut alike wherever they stand.
-2. *Dictionary.* Batches send their distinct phrases to the phrase's partition, each with a bit
-   for whether two ids of the batch have it. A phrase of one document only cannot be
-   part of a repeat, so only those of two ids or two batches stay in the dictionary.
-3. *Order.* For these, a partition sorts the parse suffixes (the text from the trigger
-   on, to the depth that can matter) and the dictionary suffixes (the text between a string's
-   start and its trigger). Both suffix arrays with their longest common prefixes
-   give the corpus order of all strings: two strings are equal when their parse suffixes
-   share ``length - j`` bytes and their dictionary suffixes share ``j``. The least id of each
+   ``span`` neighbours, the first among equals, is a trigger. Plain triggers (hash divisible by p) leave some strings without one; the smallest of
+   neighbours gives every string of ``length`` bytes a first trigger that depends on the string alone, so equal strings are cut alike wherever they stand.
+   A phrase is the ``span + 8`` bytes from a trigger on. They decide where the next trigger is, so the phrases of a text tile it with overlaps, no phrase is the
+   beginning of another, and the whole first phrase lies in every string of ``length`` bytes with that trigger.
+2. *Dictionary.* Batches send what stands from a trigger to the next, hashed, to its partition, each with a bit
+   for whether two ids of the batch have it. What one document only has cannot be
+   part of a repeat, so only triggers of two ids or two batches stay. The hashes have as many bits as the input needs to keep chance meetings rare.
+3. *Order.* A partition gets what stands around its triggers, each context once from a batch. Its distinct phrases, sorted, are the dictionary; their places are
+   ranks. Each trigger's parse, the ranks of the phrases from it on, is sorted as a sequence of ranks: as no phrase begins another, that is the order of the
+   bytes, found without comparing them again. This is the parse's suffix array; how far neighbours agree follows from where their first unlike phrases
+   start and from how far these agree in the dictionary. The ends of the phrases before, from a string's start to its trigger, are the dictionary's suffixes, sorted from the
+   trigger backwards. The pair of a dictionary suffix's class and a parse suffix's class is a string's place in corpus
+   order: two strings are equal when their parse suffixes share ``length - j`` bytes and their dictionary suffixes share ``j``. The least id of each
    run of equal strings goes back to the batches.
 
 A phrase that more than HOT_BATCHES batches have is hot: its strings don't meet by the phrase but by more of what they contain, those
@@ -70,8 +71,8 @@ def span_of(length: int) -> int:
 class Parse:
     """Triggers of the texts of a batch that strings have: flat positions, phrase hashes and the strings each trigger is the first of."""
 
-    def __init__(self, table: pa.Table, length: int):
-        self.length, self.width = length, span_of(length)
+    def __init__(self, table: pa.Table, length: int, bits: int = 64):
+        self.length, self.width, self.bits = length, span_of(length), bits
         self.ids = C.numbers(table, "id").astype(np.int64)
         self.data, self.offsets = C.text_slices(table)
         self.flat = np.frombuffer(self.data, np.uint8)
@@ -109,8 +110,8 @@ class Parse:
         return doc + a, at + base, at - first, at - last, phrase
 
     def keys(self):
-        """Distinct phrases, sorted; whether several ids have each; the trigger's place among them."""
-        keys, back = np.unique(self.hash, return_inverse=True)
+        """Distinct hashes of phrases, of which the leading bits count; whether several ids have each; the trigger's place among them."""
+        keys, back = np.unique(self.hash >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits), return_inverse=True)
         low, high = np.full(len(keys), 2**63 - 1, np.int64), np.full(len(keys), C.NULL_ID, np.int64)
         np.minimum.at(low, back, self.ids[self.doc])
         np.maximum.at(high, back, self.ids[self.doc])
@@ -159,10 +160,15 @@ FLAGS = "batch int, kind int, part int, body binary"
 FLAG_ROWS = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
 
 
-def _phrases(length: int, n: int):
+def key_bits(batches: int) -> int:
+    """Bits of the hashes that batches send: some hundred times as many values as there can be phrases in all."""
+    return min(64, (batches * C.BATCH_BYTES).bit_length() + 6)
+
+
+def _phrases(length: int, n: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         batch = int(C.numbers(table, "batch")[0])
-        keys, several, _ = Parse(table, length).keys()
+        keys, several, _ = Parse(table, length, bits).keys()
         rows = [(batch, p, C.pack_sorted(keys[a:b]), C.pack(np.packbits(several[a:b]))) for p, a, b in C.deal(keys, n)]
         return C.as_table(rows, pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())]))
 
@@ -230,13 +236,13 @@ def _distinct(parse: Parse, chosen: np.ndarray, key: np.ndarray, far: np.ndarray
 CONTEXTS = "batch int, part int, body binary, low binary"
 
 
-def _contexts(length: int, n: int):
+def _contexts(length: int, n: int, bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("body", pa.binary()), ("low", pa.binary())])
         if not table.num_rows:
             return C.as_table([], schema)
         batch = int(C.numbers(table, "batch")[0])
-        parse, out, z = Parse(table, length), [], C._zstd().ZstdCompressor(level=3)
+        parse, out, z = Parse(table, length, bits), [], C._zstd().ZstdCompressor(level=3)
         for (deal, rows, first), _, (chosen, _, _), place in _records(parse, answers, n):
             low = np.full(len(first), 2**63 - 1, np.int64)
             np.minimum.at(low, place, parse.ids[parse.doc[chosen]])
@@ -246,8 +252,8 @@ def _contexts(length: int, n: int):
     return run
 
 
-def _suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of byte rows: the order, and for each place the bytes shared with the row before (-1 at the first)."""
+def _byte_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte rows, and for each place the bytes shared with the row before (-1 at the first)."""
     width = -(-rows.shape[1] // 8) * 8
     padded = np.zeros((len(rows), width), np.uint8)
     padded[:, : rows.shape[1]] = rows
@@ -258,8 +264,64 @@ def _suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     common = np.full(len(rows), -1)
     for k in range(1, len(rows), ROWS):
         here, before = order[k : k + ROWS], order[k - 1 : k + ROWS - 1][: len(rows) - k]
-        differs = rows[here] != rows[before]
-        common[k : k + ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+        common[k : k + ROWS] = _agreement(rows[here], rows[before])
+    return order, common
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the rows of a and b share from their start on."""
+    differs = a != b
+    return np.where(differs.any(axis=1), differs.argmax(axis=1), a.shape[1])
+
+
+def phrase_places(rows: np.ndarray, span: int) -> np.ndarray:
+    """Of byte rows that start at a trigger: where their phrases start, a column for each phrase, -1 behind the last. All phrases lie in the row; the last ends with it.
+
+    The next trigger is the first smaller value among the span - 1 places behind one, else the smallest of the span places behind it.
+    """
+    size = rows.shape[1]
+    hashes, width = rows.astype(np.uint64) + np.uint64(1), 1
+    while width < HASH_BYTES:  # of twice as many bytes
+        hashes = hashes[:, :-width] + hashes[:, width:] * np.uint64(pow(C.BASE, width, 1 << 64))
+        width *= 2
+    values = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
+    del hashes
+    last = size - span - HASH_BYTES
+    windows = np.lib.stride_tricks.sliding_window_view(values, span, axis=1)
+    alive, at, columns = np.arange(len(rows)), np.zeros(len(rows), np.int64), [np.zeros(len(rows), np.int16)]
+    while len(alive) and last:
+        behind = windows[alive, at + 1]
+        smaller = behind[:, :-1] < values[alive, at][:, None]
+        first = smaller.argmax(axis=1)
+        at = at + 1 + np.where(smaller[np.arange(len(alive)), first], first, behind.argmin(axis=1))
+        at = np.minimum(at, last)
+        columns.append(np.full(len(rows), -1, np.int16))
+        columns[-1][alive] = at
+        alive, at = alive[at < last], at[at < last]
+    return np.stack(columns, axis=1)
+
+
+def parse_order(rows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the parses of byte rows that start at a trigger: their order, and for each place the bytes shared with the row before (-1 at the first)."""
+    places, size = phrase_places(rows, span), span + HASH_BYTES
+    row, column = np.nonzero(places >= 0)
+    phrases = np.lib.stride_tricks.sliding_window_view(rows, size, axis=1)[row, places[row, column]]
+    phrase_order, phrase_common = _byte_order(phrases)
+    rank = np.empty(len(phrases), np.int32)
+    rank[phrase_order] = np.cumsum(phrase_common < size) - 1
+    dictionary = phrases[phrase_order[phrase_common < size]]
+    del phrases, phrase_order, phrase_common
+    ranks = np.full(places.shape, -1, np.int32)
+    ranks[row, column] = rank
+    order = np.lexsort(tuple(ranks[:, k] for k in range(ranks.shape[1] - 1, -1, -1)))
+    common = np.full(len(rows), -1)
+    for k in range(1, len(rows), ROWS):
+        here, before = order[k : k + ROWS], order[k - 1 : k + ROWS - 1][: len(rows) - k]
+        unlike = _agreement(ranks[here], ranks[before])  # phrases that both start with
+        some = np.flatnonzero(unlike < ranks.shape[1])
+        shared = np.full(len(here), rows.shape[1])
+        shared[some] = places[here[some], unlike[some]] + _agreement(dictionary[ranks[here[some], unlike[some]]], dictionary[ranks[before[some], unlike[some]]])
+        common[k : k + ROWS] = shared
     return order, common
 
 
@@ -291,9 +353,9 @@ def _least(rows: np.ndarray, low: np.ndarray, length: int, none: int) -> np.ndar
     """least_ids of contexts that are ordered at once; none stands where a context has no string yet."""
     span = span_of(length)
     left = span - 1
-    dictionary, parse = rows[:, :left][:, ::-1], rows[:, left : left + length]
-    parse_order, parse_common = _suffix_order(parse)
-    left_order, left_common = _suffix_order(dictionary)
+    suffixes, parses = rows[:, :left][:, ::-1], rows[:, left : left + length]
+    order, common = parse_order(parses, span)
+    left_order, left_common = _byte_order(suffixes)
     far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
     out = np.full((len(rows), span), none, np.int32)
     for j in range(span):
@@ -302,7 +364,7 @@ def _least(rows: np.ndarray, low: np.ndarray, length: int, none: int) -> np.ndar
             out[:, j] = out[:, j - 1]  # where the distance isn't used
         if not len(mine):
             continue
-        key = (_classes(parse_order, parse_common, length - j)[mine] << 31) | _classes(left_order, left_common, j)[mine]
+        key = (_classes(order, common, length - j)[mine] << 31) | _classes(left_order, left_common, j)[mine]
         by = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
         least = np.minimum.reduceat(low[mine][by], starts)
@@ -336,12 +398,12 @@ def _order(length: int):
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _remove(length: int, n: int, with_text: bool):
+def _remove(length: int, n: int, bits: int, with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
         if not table.num_rows:
             return C.as_table([], schema) if "more" not in table.column_names else C.as_table([], schema).append_column("more", table.column("more"))
-        parse = Parse(table, length)
+        parse = Parse(table, length, bits)
         span = parse.width
         said = {p: b for k, p, b in zip(C.numbers(answers, "kind"), C.numbers(answers, "part"), answers.column("body").to_pylist(), strict=True) if k == 2}
         edge = np.zeros(len(parse.flat) + 1, np.int32)  # +1 where a removed string starts, -1 behind its end
@@ -375,13 +437,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ke
         raise ValueError(f"length must be from {2 * HASH_BYTES} to 199")
     spark = docs.sparkSession
     n = C.batch_count(docs, text_col)
-    parts = C.key_partitions(spark, n, 4)
+    parts, bits = C.key_partitions(spark, n, 4), 64
     batches = C.in_batches(docs, n, id_col, text_col, **({"more": F.struct(*keep)} if keep else {}))
-    phrases = batches.groupBy("batch").applyInArrow(_phrases(length, parts), REQUEST)
+    phrases = batches.groupBy("batch").applyInArrow(_phrases(length, parts, bits), REQUEST)
     flags = phrases.groupBy("part").applyInArrow(_shared, FLAGS)
-    contexts = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_contexts(length, parts), CONTEXTS)
+    contexts = batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_contexts(length, parts, bits), CONTEXTS)
     order = contexts.groupBy("part").applyInArrow(_order(length), FLAGS)
     answers = flags.unionByName(order)
-    result = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remove(length, parts, with_text), RESULT + (f", more {batches.schema['more'].dataType.simpleString()}" if keep else ""))
+    result = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remove(length, parts, bits, with_text), RESULT + (f", more {batches.schema['more'].dataType.simpleString()}" if keep else ""))
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
     return result.select(C.null_id("id", id_col), *columns, *(F.col(f"more.{c}").alias(c) for c in keep))
