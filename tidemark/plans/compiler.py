@@ -101,6 +101,10 @@ class _Compiler:
         self.layers: list[dict[str, Column]] = []
         self.joins: list[tuple[str, Node]] = []
 
+    def body(self, op: L.Operator, node: Call, args: list):
+        """What a call becomes in its layer."""
+        return op.body(self.panel.context, *args)
+
     def column(self, node: Node) -> tuple[object, int]:
         """The node as a column (or a plain value for a literal) and the layer that it can be computed in."""
         if isinstance(node, Literal):
@@ -138,7 +142,7 @@ class _Compiler:
             args = [self.column(a) for a in node.args]
             layer = max((k for _, k in args), default=0)
             try:
-                out = op.body(self.panel.context, *(x for x, _ in args))
+                out = self.body(op, node, [x for x, _ in args])
             except (TypeError, ValueError) as e:
                 raise ExpressionError(f"{node}: {e}") from None
             if op.window:
@@ -198,6 +202,11 @@ def features(panel: Panel, fields: Sequence[str | Node] | Mapping[str, str | Nod
     for layer in c.layers:
         bars = bars.select("*", *(v.alias(k) for k, v in layer.items()))
     out = bars.select(*panel.keys, *((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, (v, _) in outputs.items()))
+    return cut(out, ctx, list(named), start, end, universe, drop_empty)
+
+
+def cut(out: DataFrame, ctx: L.Context, names: list[str], start=None, end=None, universe: DataFrame | None = None, drop_empty: bool = False) -> DataFrame:
+    """The asked range and members of a field list's rows."""
     if start is not None:
         out = out.filter(F.col(ctx.time) >= F.lit(start))
     if end is not None:
@@ -205,7 +214,7 @@ def features(panel: Panel, fields: Sequence[str | Node] | Mapping[str, str | Nod
     if universe is not None:
         spans = universe.select(F.col("instrument").alias("_i"), F.col("start").alias("_s"), F.col("end").alias("_e"))
         out = out.join(spans, (F.col(ctx.instrument) == F.col("_i")) & (F.col(ctx.time) >= F.col("_s")) & (F.col(ctx.time) <= F.col("_e")), "left_semi")
-    return out.dropna("all", subset=list(named)) if drop_empty else out
+    return out.dropna("all", subset=names) if drop_empty else out
 
 
 def _reached(panel: Panel, bars: DataFrame, trees: list[Node], start, end) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import analytics, backtest, execution, feature_sets, filters, health, loaders, portfolio, processors, resample, riskmodels
+from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.sources import panels
 from tidemark.streaming import bars as streaming
@@ -589,5 +590,5 @@ def suppliers(spark: SparkSession, sf: str) -> Panel:
 
 @query("supply_factors", f"WITH {SUPPLY} SELECT instrument, datetime, {', '.join(f'round({s} + {OFF_TIES}, 4) AS {n}' for n, (_, s) in FACTORS.items())} FROM p WINDOW s AS (PARTITION BY instrument ORDER BY datetime), {', '.join(f'w{n} AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)' for n in (5, 20, 60))}")
 def supply_factors(spark, sf):
-    out = features(suppliers(spark, sf), {n: e for n, (e, _) in FACTORS.items()})
+    out = chunked.features(suppliers(spark, sf), {n: e for n, (e, _) in FACTORS.items()})
     return out.select("instrument", "datetime", *(F.round(F.col(n) + OFF_TIES, 4).alias(n) for n in FACTORS))
