@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ke
         raise ValueError(f"length must be from {2 * HASH_BYTES} to 199")
     spark = docs.sparkSession
     n = C.batch_count(docs, text_col)
-    parts, bits = C.key_partitions(spark, n, 4), 64
+    parts, bits = C.key_partitions(spark, n, 4), key_bits(n)
     batches = C.in_batches(docs, n, id_col, text_col, **({"more": F.struct(*keep)} if keep else {}))
     phrases = batches.groupBy("batch").applyInArrow(_phrases(length, parts, bits), REQUEST)
     flags = phrases.groupBy("part").applyInArrow(_shared, FLAGS)
