@@ -7,11 +7,14 @@ aggregate job and keeps its numbers; ``apply`` is lazy.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import SMALL, median_and_deviation
+
 EPS = 1e-12
 #: Fixed value: makes a median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
@@ -118,6 +121,12 @@ class FillWithDateMean(Processor):
         return F.coalesce(F.col(name), F.avg(name).over(by_date()))
 
 
+def stacked(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, column, value) of the known values of the named columns."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in names))
+    return df.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.column", "x.value").filter(F.col("value").isNotNull())
+
+
 @dataclass
 class Fitted(Processor):
     start: object = None
@@ -159,15 +168,14 @@ class ZScore(Fitted):
 
 @dataclass
 class RobustZScore(Fitted):
-    """By median and median absolute deviation; clipped to -3 .. 3."""
+    """By median and median absolute deviation, both exact; clipped to -3 .. 3. Fitting closes in on order statistics, so no task holds a column."""
 
     clip: bool = True
 
     def fit(self, df, groups):
-        names, df = self.names(groups), self.slice(df)
-        mid = self.collect(df, names, lambda c: F.percentile(c, F.lit(0.5)))
-        row = df.agg(*(F.percentile(F.abs(F.col(c) - F.lit(mid[c][0])), F.lit(0.5)).alias(c) for c in names)).first()
-        self.numbers = {c: (mid[c][0], row[c]) for c in names}
+        names = self.names(groups)
+        found = {r["column"]: (r["median"], r["mad"]) for r in median_and_deviation(stacked(self.slice(df), [], names), ["column"]).collect()}  # a row for each column
+        self.numbers = {c: found.get(c, (None, None)) for c in names}
         return self
 
     def change(self, name):
@@ -193,6 +201,82 @@ class DateZScore(Processor):
         return df.select(*((F.when(z[c].isNotNull(), F.greatest(F.least(z[c], F.lit(3.0)), F.lit(-3.0))).alias(c) if c in names else F.col(c)) for c in df.columns if not c.endswith("|d")))
 
 
+#: Which columns of the 158 are normalised how, in this order; a column that several patterns match goes through each in turn.
+SECTIONS = [
+    (r"^KLEN|^KLOW|^KUP", "x ** 0.25"),
+    (r"^KLOW2|^KUP2", "x ** 0.5"),
+    (r"^KMID|^KSFT|^OPEN|^HIGH(?!0$)|^LOW(?!0$)|^CLOSE|^VWAP|^ROC|^MA|^BETA|^RESI|^QTLU|^QTLD|^RSV|^SUMP|^SUMN|^SUMD|^VSUMP|^VSUMN|^VSUMD", "x"),
+    (r"^STD|^VOLUME|^VMA|^VSTD", "log(x)"),
+    (r"^RSQR", "x or 0"),
+    (r"^MAX|^HIGH0", "(x - 1) ** 0.5"),
+    (r"^MIN|^LOW0", "(1 - x) ** 0.5"),
+    (r"^CORR|^CORD", "exp(x)"),
+    (r"^WVMA", "log(1 + x)"),
+]
+SHAPES = {
+    "x": lambda x: x,
+    "x ** 0.25": lambda x: F.when(x >= 0, F.pow(x, F.lit(0.25))),
+    "x ** 0.5": lambda x: F.when(x >= 0, F.sqrt(x)),
+    "log(x)": lambda x: F.when(x > 0, F.ln(x)),
+    "x or 0": lambda x: F.coalesce(x, F.lit(0.0)),
+    "(x - 1) ** 0.5": lambda x: F.when(x >= 1, F.sqrt(x - 1)),
+    "(1 - x) ** 0.5": lambda x: F.when(x <= 1, F.sqrt(1 - x)),
+    "exp(x)": F.exp,
+    "log(1 + x)": lambda x: F.when(x > -1, F.log1p(x)),
+}
+
+
+@dataclass
+class Section(Processor):
+    """Normalises the technical feature set across each date: columns are shaped by SECTIONS, then measured by median and median absolute deviation; labels by mean and sample deviation.
+
+    With ``shrink`` values beyond 3 are drawn in to 3 .. 3.5 by their share of the date's largest, likewise below -3; with ``clip`` they are cut; with ``fill`` missing ones become 0. Where the shape isn't defined (roots of
+    negative numbers, logarithms of 0 and less) a value is missing. Statistics of all columns come from one stack of (date, column, value) rows, by partial counts, and go back as one row a date.
+    """
+
+    shrink: bool = True
+    clip: bool = False
+    fill: bool = True
+    clip_label: bool = False
+    fill_label: bool = True
+
+    def apply(self, df, groups):
+        names = self.names(groups)
+        steps = {c: [shape for pattern, shape in SECTIONS if re.search(pattern, c)] for c in names if not c.startswith("LABEL")}
+        for turn in range(max(map(len, steps.values()), default=0)):
+            df = self._normalised(df, {c: s[turn] for c, s in steps.items() if len(s) > turn})
+        return self._labels(df, [c for c in names if c.startswith("LABEL")])
+
+    def _normalised(self, df: DataFrame, shapes: dict[str, str]) -> DataFrame:
+        shaped = df.select(*(SHAPES[shapes[c]](F.col(f"`{c}`").cast("double")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
+        cells = stacked(shaped, ["datetime"], list(shapes))
+        ends = cells.groupBy("datetime", "column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        found = ends.join(median_and_deviation(cells, ["datetime", "column"]), ["datetime", "column"])
+        entry = F.struct("column", F.struct("median", (F.col("mad") * MAD_SCALE).alias("scale"), "low", "high").alias("s"))
+        stats = found.groupBy(F.col("datetime").alias("_d")).agg(F.map_from_entries(F.collect_list(entry)).alias("_s"))  # as many as there are columns
+        rows = shaped.join(F.broadcast(stats) if stats.count() <= SMALL // max(1, len(shapes)) else stats, F.col("datetime") == F.col("_d"), "left")
+        return rows.select(*(self._measured(c).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
+
+    def _measured(self, name: str) -> Column:
+        s = F.col("_s")[name]
+        measured = lambda x: F.try_divide(x - s["median"], s["scale"])
+        z = measured(F.col(f"`{name}`"))
+        if self.clip:
+            z = F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)))
+        if self.shrink:
+            top, bottom = measured(s["high"]), measured(s["low"])
+            z = F.when(z > 3, 3 + F.try_divide(z - 3, top - 3) * 0.5).when(z < -3, -3 - F.try_divide(z + 3, bottom + 3) * 0.5).otherwise(z)
+        return F.coalesce(z, F.lit(0.0)) if self.fill else z
+
+    def _labels(self, df: DataFrame, names: list[str]) -> DataFrame:
+        if not names:
+            return df
+        z = {c: F.try_divide(F.col(c) - F.avg(c).over(by_date()), F.stddev_samp(c).over(by_date())) for c in names}
+        if self.clip_label:
+            z = {c: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(3.0)), F.lit(-3.0))) for c, x in z.items()}
+        return df.select(*((F.coalesce(z[c], F.lit(0.0)) if self.fill_label else z[c]).alias(c) if c in z else F.col(f"`{c}`") for c in df.columns))
+
+
 @dataclass
 class DateRank(Processor):
     """(percent rank with ties averaged - 0.5) * 3.46 across a date."""
