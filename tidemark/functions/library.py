@@ -149,6 +149,10 @@ for _name, _f in {
     register(_name, 2)(_f)
 
 
+#: By bits, for trees of whole numbers; a missing value gives a missing one, a boolean counts as 0 or 1.
+BITWISE = {"And": lambda a, b: a.bitwiseAND(b), "Or": lambda a, b: a.bitwiseOR(b), "Not": lambda a: F.bitwise_not(a)}
+
+
 @register("If", 3)
 def _if(c, cond, a, b):
     cond = num(cond)

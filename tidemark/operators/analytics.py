@@ -21,16 +21,32 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
-def average_rank(name: str, by: str = "datetime") -> Column:
-    over = Window.partitionBy(by)
-    return F.when(F.col(name).isNotNull(), F.rank().over(over.orderBy(F.col(name).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(by, name)) - 1) / 2)
+def average_rank(name: str, *by: str) -> Column:
+    keys = by or ("datetime",)
+    over = Window.partitionBy(*keys)
+    return F.when(F.col(name).isNotNull(), F.rank().over(over.orderBy(F.col(name).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, name)) - 1) / 2)
 
 
-def information_coefficient(rows: DataFrame) -> DataFrame:
-    """datetime, ic, rank_ic of rows with score and label."""
+def information_coefficient(rows: DataFrame, keys: tuple[str, ...] = ("datetime",)) -> DataFrame:
+    """keys, ic, rank_ic of rows with score and label."""
     full = rows.filter("score is not null and label is not null")
-    ranked = full.select("*", average_rank("score").alias("rs"), average_rank("label").alias("rl"))
-    return ranked.groupBy("datetime").agg(correlation("score", "label").alias("ic"), correlation("rs", "rl").alias("rank_ic"))
+    ranked = full.select("*", average_rank("score", *keys).alias("rs"), average_rank("label", *keys).alias("rl"))
+    return ranked.groupBy(*keys).agg(correlation("score", "label").alias("ic"), correlation("rs", "rl").alias("rank_ic"))
+
+
+def long(rows: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
+    """(key, instrument, datetime, value): a row for each of the named columns."""
+    cells = F.array(*(F.struct(F.lit(n).alias(key), F.col(n).cast("double").alias(value)) for n in names))
+    return rows.select("instrument", "datetime", F.explode(cells).alias("x")).select(f"x.{key}", "instrument", "datetime", f"x.{value}")
+
+
+def all_ic(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """model, label_name, datetime, ic, rank_ic for every model (model, instrument, datetime, score) and every label (label_name, instrument, datetime, label), in one join and one exchange by model, label and date.
+
+    A date's pair counts where both are known, so models and labels with gaps don't take rows from each other.
+    """
+    full = scores.filter("score is not null").join(labels.filter("label is not null"), ["instrument", "datetime"])
+    return information_coefficient(full, ("model", "label_name", "datetime"))
 
 
 def monthly_ic(rows: DataFrame) -> DataFrame:

@@ -18,21 +18,25 @@ def round_lots(amount: Column, unit: float, factor: Column | None = None) -> Col
     return F.floor((amount * f + 0.1) / unit) * unit / f
 
 
-def volume_limited(orders: DataFrame, share: float, by: str = "current") -> DataFrame:
-    """Adds deal_amount: at most a share of the bar's volume (current), or of the volume so far less what was dealt (cum).
+def volume_limited(orders: DataFrame, share: float, by: str = "current", place: str = "order_id", limit: str | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """Adds deal_amount: at most a share of the bar's volume (current), or of the volume so far less what was dealt of the instrument (cum).
 
-    orders: order_id, instrument, datetime, amount, volume; one row for each order and bar. A bar without volume deals nothing.
+    orders: order_id, instrument, datetime, amount, volume; one row for each order and bar. A bar's orders deal one after the other, by the column place. The volume so far is that of the bars with orders;
+    limit names a column of the limit so far instead, which must not fall. others: columns of further limits of single orders; the least of all holds. A bar without volume deals nothing.
     """
+    amount = F.greatest(F.least(F.coalesce("amount", F.lit(0.0)), *(F.coalesce(c, F.lit(0.0)) for c in others)) if others else F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
     if by == "current":
-        return orders.withColumn("deal_amount", F.greatest(F.least("amount", F.coalesce("volume", F.lit(0.0)) * share), F.lit(0.0)))
-    w = Window.partitionBy("order_id").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    # dealt[t] = least(dealt[t-1] + amount[t], limit[t]), where the limit never falls: so it is the least, over all bars k up to t and the
+        return orders.withColumn("deal_amount", F.greatest(F.least(amount, F.coalesce("volume", F.lit(0.0)) * share), F.lit(0.0)))
+    turn = Window.partitionBy("instrument").orderBy("datetime", place)
+    w, bars = turn.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("instrument").orderBy("datetime").rangeBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy("instrument", "datetime").orderBy(place)) == 1  # a bar's volume counts once
+    rows = orders.withColumn("_volume", F.when(first, F.coalesce("volume", F.lit(0.0)) * share).otherwise(0.0))
+    # dealt[t] = least(dealt[t-1] + amount[t], limit[t]), where the limit never falls: so it is the least, over all turns k up to t and the
     # start, of limit[k] + wanted[t] - wanted[k]
-    amount = F.greatest(F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
-    rows = orders.withColumn("_wanted", F.sum(amount).over(w)).withColumn("_limit", F.sum(F.coalesce("volume", F.lit(0.0)) * share).over(w))
+    rows = rows.withColumn("_wanted", F.sum(amount).over(w)).withColumn("_limit", F.coalesce(F.col(limit), F.lit(0.0)) if limit else F.sum("_volume").over(bars))
     rows = rows.withColumn("_done", F.col("_wanted") + F.least(F.min(F.col("_limit") - F.col("_wanted")).over(w), F.lit(0.0)))
-    before = F.coalesce(F.lag("_done").over(Window.partitionBy("order_id").orderBy("datetime")), F.lit(0.0))
-    return rows.withColumn("deal_amount", F.greatest(F.col("_done") - before, F.lit(0.0))).drop("_wanted", "_limit", "_done")
+    before = F.coalesce(F.lag("_done").over(turn), F.lit(0.0))
+    return rows.withColumn("deal_amount", F.greatest(F.col("_done") - before, F.lit(0.0))).drop("_wanted", "_limit", "_done", "_volume")
 
 
 def order_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import SMALL, median_and_deviation
+from tidemark.sources.working import cut
 
 EPS = 1e-12
 #: Fixed value: makes a median absolute deviation comparable with a standard deviation.
@@ -249,11 +250,11 @@ class Section(Processor):
 
     def _normalised(self, df: DataFrame, shapes: dict[str, str]) -> DataFrame:
         shaped = df.select(*(SHAPES[shapes[c]](F.col(f"`{c}`").cast("double")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
-        cells = stacked(shaped, ["datetime"], list(shapes))
+        cells = cut(stacked(shaped, ["datetime"], list(shapes)))
         ends = cells.groupBy("datetime", "column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
         found = ends.join(median_and_deviation(cells, ["datetime", "column"]), ["datetime", "column"])
         entry = F.struct("column", F.struct("median", (F.col("mad") * MAD_SCALE).alias("scale"), "low", "high").alias("s"))
-        stats = found.groupBy(F.col("datetime").alias("_d")).agg(F.map_from_entries(F.collect_list(entry)).alias("_s"))  # as many as there are columns
+        stats = cut(found.groupBy(F.col("datetime").alias("_d")).agg(F.map_from_entries(F.collect_list(entry)).alias("_s")))  # as many as there are columns
         rows = shaped.join(F.broadcast(stats) if stats.count() <= SMALL // max(1, len(shapes)) else stats, F.col("datetime") == F.col("_d"), "left")
         return rows.select(*(self._measured(c).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
 
@@ -362,12 +363,46 @@ class Handler:
         return df.select("instrument", "datetime", *groups[group]) if group else df
 
 
-def sequences(df: DataFrame, columns: list[str], steps: int, start=None, end=None) -> DataFrame:
-    """(instrument, datetime, steps): the last rows of each instrument, oldest first, filled with NULL on the left."""
+FILLS = ("none", "ffill", "ffill+bfill")
+
+
+def sequences(df: DataFrame, columns: list[str], steps: int, start=None, end=None, fill: str = "none") -> DataFrame:
+    """(instrument, datetime, steps): the last rows of each instrument, oldest first, filled with NULL on the left.
+
+    fill: what stands for a row that has none of its columns, and for those before the first: NULLs (none), the row before it in the sequence (ffill), or, where there's none, the one after it (ffill+bfill). Rows are carried
+    whole: a row with some of its columns is left as it is.
+    """
+    if fill not in FILLS:
+        raise ValueError(f"fill must be one of {FILLS}")
     w = Window.partitionBy("instrument").orderBy("datetime").rowsBetween(1 - steps, 0)
-    rows = F.collect_list(F.array(*(F.col(c).cast("double") for c in columns))).over(w)
+    values = F.array(*(F.col(c).cast("double") for c in columns))
     gap = F.array(*(F.lit(None).cast("double") for _ in columns))
-    out = df.select("instrument", "datetime", F.concat(F.array_repeat(gap, F.lit(steps) - F.size(rows)), rows).alias("steps"))
+    if fill == "none":
+        rows = F.collect_list(values).over(w)
+        steps_ = F.concat(F.array_repeat(gap, F.lit(steps) - F.size(rows)), rows)
+    else:
+        known = F.when(F.coalesce(*(F.col(c).cast("double") for c in columns)).isNotNull(), values)
+        held = F.transform(F.collect_list(F.struct(known.alias("v"))).over(w), lambda e: e["v"])
+        none = F.lit(None).cast("array<double>")
+        rows = _carried(F.concat(F.array_repeat(none, F.lit(steps) - F.size(held)), held))
+        rows = F.reverse(_carried(F.reverse(rows))) if fill == "ffill+bfill" else rows
+        steps_ = F.transform(rows, lambda e: F.coalesce(e, gap))
+    out = df.select("instrument", "datetime", steps_.alias("steps"))
     if start is not None:
         out = out.filter(F.col("datetime") >= F.lit(start))
     return out.filter(F.col("datetime") <= F.lit(end)) if end is not None else out
+
+
+def _carried(values: Column) -> Column:
+    """The array with missing elements replaced by the one before: a fold that carries the last element."""
+    empty = F.array().cast("array<array<double>>")
+    return F.aggregate(values, empty, lambda done, e: F.concat(done, F.array(F.coalesce(e, F.when(F.size(done) > 0, F.element_at(done, -1))))))
+
+
+def day_batches(df: DataFrame, columns: list[str], slots: int | None = None) -> DataFrame:
+    """(datetime, slot, instrument, values): the rows of each day as a batch, in order of instruments. slots: a memory of so many places that an instrument keeps for good, its number modulo slots; else its place in the day."""
+    values = F.array(*(F.col(c).cast("double") for c in columns)).alias("values")
+    if slots is None:
+        return df.select("datetime", (F.row_number().over(by_date().orderBy("instrument")) - 1).alias("slot"), "instrument", values)
+    numbers = df.select("instrument").distinct().select("instrument", ((F.row_number().over(Window.orderBy("instrument")) - 1) % slots).alias("slot"))  # over the list of names
+    return df.join(numbers, "instrument").select("datetime", "slot", "instrument", values)

@@ -99,14 +99,15 @@ def quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
 
 def median_and_deviation(rows: DataFrame, keys: Sequence[str], **more) -> DataFrame:
-    """(keys, median, mad): the median and the median distance from it, of each group of rows (keys, value)."""
-    middle = quantiles(rows, keys, [0.5], **more).select(*(F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)), F.col("value").alias("median"))
+    """(keys, median, mad): the median and the median distance from it, of each group of rows (keys, value). The rows are written once, as they are read some ten times."""
+    rows = cut(rows.select(*keys, "value"))
+    middle = cut(quantiles(rows, keys, [0.5], **more).select(*(F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)), F.col("value").alias("median")))
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_m{i}"))
     small = F.broadcast(middle) if middle.count() <= SMALL else middle
     away = rows.join(small, cond).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
-    mad = quantiles(away, keys, [0.5], **more).select(*keys, F.col("value").alias("mad"))
+    mad = quantiles(cut(away), keys, [0.5], **more).select(*keys, F.col("value").alias("mad"))
     return mad.join(middle, cond).select(*keys, "median", "mad")
 
 
@@ -115,8 +116,8 @@ def percentile_bins(values: DataFrame, benchmark: DataFrame, n: int, **more) ->
 
     A bin starts at its lower quantile; the lowest and the highest are open. Missing values and dates without a benchmark have no bin.
     """
-    edges = quantiles(benchmark.select("datetime", "value"), ["datetime"], [k / n for k in range(1, n)], **more)
-    edges = edges.groupBy("datetime").agg(F.array_sort(F.collect_list("value")).alias("edges"))
+    edges = quantiles(cut(benchmark.select("datetime", "value")), ["datetime"], [k / n for k in range(1, n)], **more)
+    edges = cut(edges.groupBy("datetime").agg(F.array_sort(F.collect_list("value")).alias("edges")))
     small = F.broadcast(edges) if edges.count() <= SMALL else edges
     reached = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     return values.join(small, "datetime", "left").select("instrument", "datetime", "value", F.when(F.col("value").isNotNull() & F.col("edges").isNotNull(), (n - reached).cast("int")).alias("bin"))

@@ -103,8 +103,18 @@ class _Compiler:
 
     def body(self, op: L.Operator, node: Call, args: list):
         """What a call becomes in its layer."""
+        if op.name in L.BITWISE and any(map(self.integral, node.args)):
+            return L.BITWISE[op.name](*((a if isinstance(a, Column) else F.lit(a)).cast("long") for a in args))
         return op.body(self.panel.context, *args)
 
+    def integral(self, node: Node) -> bool:
+        """Whether a tree's values are whole numbers by type, so that And, Or and Not go by bits."""
+        if isinstance(node, Literal):
+            return isinstance(node.value, int) and not isinstance(node.value, bool)
+        if isinstance(node, Field):
+            return node.name in self.panel.fields and self.panel.bars.schema[node.name].dataType.typeName() in ("byte", "short", "integer", "long")
+        return isinstance(node, Call) and node.op in L.BITWISE and any(map(self.integral, node.args))
+
     def column(self, node: Node) -> tuple[object, int]:
         """The node as a column (or a plain value for a literal) and the layer that it can be computed in."""
         if isinstance(node, Literal):

@@ -592,3 +592,6 @@ def suppliers(spark: SparkSession, sf: str) -> Panel:
 def supply_factors(spark, sf):
     out = chunked.features(suppliers(spark, sf), {n: e for n, (e, _) in FACTORS.items()})
     return out.select("instrument", "datetime", *(F.round(F.col(n) + OFF_TIES, 4).alias(n) for n in FACTORS))
+
+
+from tidemark import supply_queries  # noqa: E402, F401 - registers more
