@@ -88,13 +88,44 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("instr
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def normalised(bars: DataFrame) -> DataFrame:
-    """First row of each (instrument, datetime), densified; values of bars without volume are missing; change of the last known close."""
-    one = bars.withColumn("k", F.row_number().over(Window.partitionBy("instrument", "datetime").orderBy(*(c for c in bars.columns if c not in ("instrument", "datetime"))))).filter("k = 1").drop("k")
+#: Closes that rise by this range of ratios less 1 are taken as quoted in hundredths; these prices are then divided by 100.
+GLITCH = (89.0, 111.0)
+QUOTED = ("open", "high", "low", "close", "adjclose")
+
+
+def hundredfold(bars: DataFrame) -> DataFrame:
+    """bars with _times: how often each bar's prices were multiplied by 100 by mistake.
+
+    The rule in words: divide every bar by 100 that stands some hundred times above the close before it, and again, until none does. Let e be a bar's divisions and r its ratio to the known close before; the
+    bar is divided again exactly when e less the e before it is d, where r / 100 ** d lies in the band, and one d at most does. With k = -d that settles at e = max(0, e before + 1 - k) for k >= 0, and at 0
+    for any other ratio. Such steps compose, so all bars follow from running sums: e is the sum of the steps since the last break less its least value so far.
+    """
+    w = Window.partitionBy("instrument").orderBy("datetime")
+    known = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = bars.withColumn("_r", F.try_divide(F.col("close"), known))
+    rows = rows.withColumn("_k", F.when(F.col("_r") > 0, F.round(1 - F.log10("_r") / 2)))
+    fits = (F.col("_r") * F.pow(F.lit(100.0), F.col("_k")) - 1).between(*GLITCH) & (F.col("_k") >= 0)
+    step = F.when(F.col("close").isNull(), F.lit(0.0)).when(F.coalesce(fits, F.lit(False)), 1 - F.col("_k"))  # NULL breaks the chain; a bar without a close is as the one before
+    rows = rows.withColumn("_step", step).withColumn("_chain", F.sum(F.col("_step").isNull().cast("int")).over(w))
+    upto = Window.partitionBy("instrument", "_chain").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(F.coalesce("_step", F.lit(0.0))).over(upto))
+    return rows.withColumn("_times", F.col("_sum") - F.least(F.min("_sum").over(upto), F.lit(0.0))).drop("_r", "_k", "_step", "_chain", "_sum")
+
+
+def normalised(bars: DataFrame, order: str | None = None, repair: bool = True) -> DataFrame:
+    """First row of each (instrument, datetime), densified; values of bars without volume are missing; prices quoted in hundredths repaired; change of the last known close.
+
+    order: a column of the rows' place in their source, by which the first is chosen; without it the smallest row is.
+    """
+    by = [order] if order else [c for c in bars.columns if c not in ("instrument", "datetime")]
+    one = bars.withColumn("k", F.row_number().over(Window.partitionBy("instrument", "datetime").orderBy(*by))).filter("k = 1").drop("k", *([order] if order else []))
     full = dense(one)
     w = Window.partitionBy("instrument").orderBy("datetime")
     dead = F.col("volume").isNull() | (F.col("volume") <= 0)
     full = full.select("instrument", "datetime", "cal_idx", *(F.when(~dead, F.col(c)).alias(c) for c in full.columns if c not in ("instrument", "datetime", "cal_idx")))
+    if repair:
+        names = full.columns
+        full = hundredfold(full).select(*((F.col(c) / F.pow(F.lit(100.0), F.col("_times"))).alias(c) if c in QUOTED else F.col(c) for c in names))
     full = full.withColumn("known", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return full.withColumn("change", F.try_divide(F.col("known"), F.lag("known").over(w)) - 1).drop("known")
 

@@ -9,7 +9,7 @@ from tidemark.operators import analytics, execution, feature_sets, gram, holding
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
-from tidemark.sources import sessions
+from tidemark.sources import panels, sessions
 
 # --- covariances -------------------------------------------------------------------------------------------------
 
@@ -295,3 +295,31 @@ def bitwise(spark, sf):
 def day_batches(spark, sf):
     out = processors.day_batches(scored(spark, sf), ["score"])
     return out.select("datetime", F.col("slot").cast("long").alias("slot"), "instrument", F.round(F.col("values")[0], 6).alias("value"))
+
+
+# --- vendor data: prices of some days are quoted in hundredths ----------------------------------------------------
+
+VENDOR = SUPPLY + """, gl AS (SELECT instrument, datetime, cal_idx, close * CASE WHEN cal_idx % 41 IN (7, 8, 9, 10) THEN 100 ELSE 1 END AS close, high * CASE WHEN cal_idx % 41 IN (7, 8, 9, 10) THEN 100 ELSE 1 END AS high, CASE WHEN cal_idx % 13 = 5 THEN 0 ELSE volume END AS volume FROM p),
+li AS (SELECT instrument, datetime, cal_idx, CASE WHEN volume > 0 THEN close END AS close, CASE WHEN volume > 0 THEN high END AS high, CASE WHEN volume > 0 THEN volume END AS volume FROM gl),
+ra AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY cal_idx) AS i, close / last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM li),
+sk AS (SELECT *, round(1 - log10(r) / 2) AS k FROM ra)"""
+VENDOR_STEPS = "e AS (SELECT instrument, i, 0::DOUBLE AS e FROM sk WHERE i = 1 UNION ALL SELECT sk.instrument, sk.i, CASE WHEN sk.close IS NULL THEN e.e WHEN k >= 0 AND r * pow(100, k) - 1 BETWEEN 89 AND 111 THEN greatest(0, e.e + 1 - k) ELSE 0 END FROM e JOIN sk ON sk.instrument = e.instrument AND sk.i = e.i + 1)"
+
+
+def vendor(spark, sf) -> DataFrame:
+    bars = suppliers(spark, sf).bars
+    times = F.when((F.col("cal_idx") % 41).between(7, 10), 100).otherwise(1)
+    return bars.select("instrument", "datetime", (F.col("close") * times).alias("close"), (F.col("high") * times).alias("high"), F.when(F.col("cal_idx") % 13 == 5, 0.0).otherwise(F.col("volume")).alias("volume"))
+
+
+@query("vendor_normalised", f"WITH RECURSIVE {VENDOR.strip()}, {VENDOR_STEPS}, f AS (SELECT sk.instrument, datetime, close / pow(100, e) AS close, high / pow(100, e) AS high, volume FROM sk JOIN e USING (instrument, i)), kn AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime) AS known FROM f) SELECT instrument, datetime, round(close + {OFF_TIES}, 4) AS close, round(high + {OFF_TIES}, 4) AS high, volume, round(known / lag(known) OVER (PARTITION BY instrument ORDER BY datetime) - 1 + {OFF_TIES}, 6) AS change FROM kn")
+def vendor_normalised(spark, sf):
+    out = panels.normalised(vendor(spark, sf))
+    return out.select("instrument", "datetime", F.round(F.col("close") + OFF_TIES, 4).alias("close"), F.round(F.col("high") + OFF_TIES, 4).alias("high"), "volume", F.round(F.col("change") + OFF_TIES, 6).alias("change"))
+
+
+@query("vendor_adjusted", f"WITH {SUPPLY}, a AS (SELECT *, close / (1 + (cal_idx // 100) % 3) AS adjclose FROM p), b AS (SELECT *, last_value(adjclose / close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime) AS f FROM a), c AS (SELECT instrument, datetime, close * f AS close, high * f AS high, low * f AS low, f, volume / f AS volume, first_value(close * f IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS one FROM b) SELECT instrument, datetime, {', '.join(f'round({e} + {OFF_TIES}, 6) AS {n}' for n, e in (('close', 'close / one'), ('high', 'high / one'), ('low', 'low / one'), ('factor', 'f / one')))}, round(volume * one + {OFF_TIES}, 2) AS volume FROM c")
+def vendor_adjusted(spark, sf):
+    bars = suppliers(spark, sf).bars
+    out = panels.adjusted(bars.withColumn("adjclose", F.col("close") / (1 + F.floor(F.col("cal_idx") / 100) % 3)))
+    return out.select("instrument", "datetime", *(F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("close", "high", "low", "factor")), F.round(F.col("volume") + OFF_TIES, 2).alias("volume"))
