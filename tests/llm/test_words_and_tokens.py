@@ -225,6 +225,16 @@ def test_alignment_equals_brute_force(framed, rows, more, monkeypatch):
     assert rows_of(alignment.align(framed(own), **more), *names) == brute_alignment(own)
 
 
+@needs_vocabularies
+def test_both_encoders_of_a_file_agree():
+    """On each token's own text, and on all code points between letters, digits, signs and spaces (every 97th here, all of them once by hand)."""
+    a, b = (open(p, "rb").read() for p in (alignment.DEFAULT_BYTES, alignment.DEFAULT_PIECES))
+    fast, slow = alignment.Pair(a, b), alignment.Pair(a, b, fast=False)
+    assert fast.a_bytes == slow.a_bytes[: len(fast.a_bytes)]
+    texts = [t.decode() for t in fast.a_bytes if t.isascii()] + [f"a{c}b 1{c}2 !{c}? {c} {c}{c}\n" for c in map(chr, [*range(0, 0xD800, 97), *range(0xE000, 0x110000, 997)])]
+    assert all(np.array_equal(x, y) for x, y in zip(fast._ids(texts), slow._ids(texts), strict=True))
+
+
 def test_wide_groups_are_reduced(monkeypatch):
     """Groups over WIDE give the same pairs and times as one link after the other."""
     rng = np.random.default_rng(4)
