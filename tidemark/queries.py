@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import analytics, backtest, execution, feature_sets, filters, health, loaders, portfolio, processors, resample, riskmodels
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
-from tidemark.sources import panels
+from tidemark.sources import panels, working
 from tidemark.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,12 +453,9 @@ def pit_fixed_period(spark, sf):
 @query("bars_streaming", f"WITH {TYPE} SELECT instrument, datetime, round(open, 6) AS open, round(close, 6) AS close, high, low, volume, round(vwap, 6) AS vwap FROM raw WHERE datetime < (SELECT max(CAST(ts AS TIMESTAMP) - INTERVAL 1 HOUR) FROM events)::DATE")
 def bars_streaming(spark, sf):
     """The finished days of a stream; the last one stays open behind the watermark."""
-    import uuid
-
     table = spark.read.parquet(f"{sf}/events.parquet")
     ticks = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = working.fresh_path(spark, "stream")
     streaming.run_available(streaming.stream_bars(ticks, "event_type", "ts", "value"), path)
     return rounded(spark.read.parquet(f"{path}/data").withColumn("datetime", F.to_date("datetime")))
 

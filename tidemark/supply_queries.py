@@ -9,7 +9,7 @@ from tidemark.operators import analytics, execution, feature_sets, gram, holding
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
-from tidemark.sources import panels, sessions
+from tidemark.sources import feature_store, panels, sessions, working
 
 # --- covariances -------------------------------------------------------------------------------------------------
 
@@ -323,3 +323,17 @@ def vendor_adjusted(spark, sf):
     bars = suppliers(spark, sf).bars
     out = panels.adjusted(bars.withColumn("adjclose", F.col("close") / (1 + F.floor(F.col("cal_idx") / 100) % 3)))
     return out.select("instrument", "datetime", *(F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("close", "high", "low", "factor")), F.round(F.col("volume") + OFF_TIES, 2).alias("volume"))
+
+
+# --- stored features, written up to a day and brought up to date ---------------------------------------------------
+
+
+@query("updated_store", f"WITH {USER} SELECT instrument, datetime, round(avg(close) OVER w5, 6) AS mean, round(lead(close, 2) OVER s - close, 6) AS next FROM p WINDOW s AS (PARTITION BY instrument ORDER BY datetime), w5 AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def updated_store(spark, sf):
+    """Features of the bars up to the 20th of the month, then those of all bars merged in, equal those of all bars."""
+    fields = {"mean": "Mean($close, 5)", "next": "Ref($close, -2) - $close"}
+    path, p = working.fresh_path(spark, "features"), users(spark, sf)
+    known = p.bars.filter(F.col("close").isNotNull()).drop("cal_idx")
+    feature_store.create(panels.panel(known.filter("datetime <= '2024-01-20'")), fields, path)
+    feature_store.update(path, p, fields)
+    return rounded(feature_store.read(spark, path).drop("part"))
