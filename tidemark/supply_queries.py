@@ -9,7 +9,7 @@ from tidemark.operators import analytics, execution, feature_sets, gram, holding
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
-from tidemark.sources import feature_store, panels, sessions, working
+from tidemark.sources import bin_store, feature_store, panels, sessions, working
 
 # --- covariances -------------------------------------------------------------------------------------------------
 
@@ -337,3 +337,18 @@ def updated_store(spark, sf):
     feature_store.create(panels.panel(known.filter("datetime <= '2024-01-20'")), fields, path)
     feature_store.update(path, p, fields)
     return rounded(feature_store.read(spark, path).drop("part"))
+
+
+# --- binary field files, written and read by the data source -------------------------------------------------------
+
+
+@query("bin_round_trip", f"WITH {SUPPLY}, f AS (SELECT instrument, 'close' AS field, cal_idx, CAST(CAST(close AS FLOAT) AS DOUBLE) AS value FROM p UNION ALL SELECT instrument, 'volume', cal_idx, volume FROM p) SELECT instrument, field, cal_idx, round(value + {OFF_TIES}, 2) AS value FROM f WHERE cal_idx BETWEEN 100 AND 900 AND (field = 'volume' OR instrument LIKE '%1')")
+def bin_round_trip(spark, sf):
+    """Written in two steps, the second behind the first; read by field and range."""
+    p, path = suppliers(spark, sf).bars, working.fresh_path(spark, "bins")
+    rows = p.select("instrument", "cal_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in ("close", "volume")))).alias("x")).select("instrument", "x.field", "cal_idx", "x.value")
+    bin_store.save(rows.filter("cal_idx < 500"), path)
+    bin_store.save(rows.filter("cal_idx >= 500"), path)
+    table = bin_store.load(spark, path).filter("cal_idx between 100 and 900")
+    out = table.filter("field = 'volume'").unionByName(table.filter("field = 'close' and instrument like '%1'"))
+    return out.withColumn("value", F.round(F.col("value") + OFF_TIES, 2))
