@@ -3,7 +3,8 @@
 One file holds one field of one instrument, ``<instrument>/<field>.<freq>.bin``: little-endian 32-bit floats, the first the calendar place of the second. A row is (instrument, field, cal_idx, value); missing
 values are NaN in the file and NULL in the table.
 
-Reading plans one partition for some BATCH files. Filters on instrument and field choose files before any is opened, a range of cal_idx is read by its offset, so only these bytes are touched.
+Reading plans one partition for some BATCH files. What is asked of instruments and fields chooses files before any is opened, a range of cal_idx is read by its offset, so only these bytes are touched. It is asked by options (``load``'s
+arguments), or with ``push`` by the query's own filters, which the format ``panelbin-pushed`` takes. Spark keeps one set of pushed filters for each load, so a frame loaded with ``push`` may stand in a plan once; load it again for a second use.
 Writing takes rows of whole files (``save`` deals them out) in one of three modes: ``overwrite`` makes the file new, ``append`` adds what lies behind its end, with a gap of missing values where bars are left out, and ``rewrite`` also puts values in the place
 of stored ones, before its start too. Tasks write beside the files; the files take their names when all tasks are done, and go if one fails.
 """
@@ -11,8 +12,9 @@ of stored ones, before its start too. Tasks write beside the files; the files ta
 from __future__ import annotations
 
 import fnmatch
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,31 +53,11 @@ class Files(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, folder: str, freq: str):
-        self.folder, self.freq = folder, freq
-        self.instruments: set[str] | None = None
-        self.fields: set[str] | None = None
-        self.low: int | None = None
-        self.high: int | None = None
-
-    def pushFilters(self, filters: list[Filter]):
-        """Takes equality and lists on instrument and field, and bounds on cal_idx; returns the filters that stay with Spark."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name in ("instrument", "field") and isinstance(f, (EqualTo, In)):
-                chosen = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                key = f"{name}s"
-                setattr(self, key, chosen if getattr(self, key) is None else getattr(self, key) & chosen)
-            elif name == "cal_idx" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                least = f.value + isinstance(f, GreaterThan)
-                self.low = least if self.low is None else max(self.low, least)
-            elif name == "cal_idx" and isinstance(f, (LessThan, LessThanOrEqual)):
-                most = f.value - isinstance(f, LessThan)
-                self.high = most if self.high is None else min(self.high, most)
-            elif name == "cal_idx" and isinstance(f, EqualTo):
-                self.low, self.high = max(f.value, self.low if self.low is not None else f.value), min(f.value, self.high if self.high is not None else f.value)
-            else:
-                yield f
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.freq = options["path"], options.get("freq", "day")
+        listed = lambda k: set(json.loads(options[k])) if k in options else None
+        self.instruments, self.fields = listed("instruments"), listed("fields")
+        self.low, self.high = (int(options[k]) if k in options else None for k in ("low", "high"))
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -101,6 +83,29 @@ class Reader(DataSourceReader):
             yield pa.record_batch([pa.array([instrument] * n), pa.array([field] * n), pa.array(np.arange(start, start + n, dtype=np.int64)), pa.array(x, mask=np.isnan(x))], schema=ARROW)
 
 
+class PushedReader(Reader):
+    """Also takes filters of the query."""
+
+    def pushFilters(self, filters: list[Filter]):
+        """Takes equality and lists on instrument and field, and bounds on cal_idx; returns the filters that stay with Spark."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in ("instrument", "field") and isinstance(f, (EqualTo, In)):
+                chosen = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                key = f"{name}s"
+                setattr(self, key, chosen if getattr(self, key) is None else getattr(self, key) & chosen)
+            elif name == "cal_idx" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                least = f.value + isinstance(f, GreaterThan)
+                self.low = least if self.low is None else max(self.low, least)
+            elif name == "cal_idx" and isinstance(f, (LessThan, LessThanOrEqual)):
+                most = f.value - isinstance(f, LessThan)
+                self.high = most if self.high is None else min(self.high, most)
+            elif name == "cal_idx" and isinstance(f, EqualTo):
+                self.low, self.high = max(f.value, self.low if self.low is not None else f.value), min(f.value, self.high if self.high is not None else f.value)
+            else:
+                yield f
+
+
 def ranged(system, path: str, low: int | None = None, high: int | None = None) -> tuple[int, np.ndarray]:
     """The place of the first value and the values of a file, cut to low .. high without reading the rest."""
     with system.open_input_file(path) as f:
@@ -198,7 +203,7 @@ class BinStore(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], self.options.get("freq", "day"))
+        return Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> Writer:
         mode = self.options.get("how", "overwrite" if overwrite else "append")
@@ -207,15 +212,32 @@ class BinStore(DataSource):
         return Writer(self.options["path"], self.options.get("freq", "day"), mode)
 
 
+class PushedBinStore(BinStore):
+    """The same files; filters are pushed into the reader."""
+
+    @classmethod
+    def name(cls) -> str:
+        return f"{FORMAT}-pushed"
+
+    def reader(self, schema) -> Reader:
+        return PushedReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session, and lets Spark push filters into it."""
+    """Makes the formats known to the session, and lets Spark push filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinStore)
+    spark.dataSource.register(PushedBinStore)
 
 
-def load(spark: SparkSession, folder: str, freq: str = "day") -> DataFrame:
+def load(spark: SparkSession, folder: str, freq: str = "day", instruments: Sequence[str] | None = None, fields: Sequence[str] | None = None, low: int | None = None, high: int | None = None, push: bool = False) -> DataFrame:
+    """The files of the instruments and fields, from low to high (all where None). push: the query's filters choose too, once."""
     register(spark)
-    return spark.read.format(FORMAT).option("freq", freq).load(folder)
+    asked = {"instruments": json.dumps(list(instruments)) if instruments is not None else None, "fields": json.dumps(list(fields)) if fields is not None else None, "low": low, "high": high}
+    reader = spark.read.format(PushedBinStore.name() if push else FORMAT).option("freq", freq)
+    for k, v in asked.items():
+        reader = reader if v is None else reader.option(k, v)
+    return reader.load(folder)
 
 
 def save(values: DataFrame, folder: str, how: str = "append", freq: str = "day") -> None:

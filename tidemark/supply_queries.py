@@ -349,6 +349,5 @@ def bin_round_trip(spark, sf):
     rows = p.select("instrument", "cal_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in ("close", "volume")))).alias("x")).select("instrument", "x.field", "cal_idx", "x.value")
     bin_store.save(rows.filter("cal_idx < 500"), path)
     bin_store.save(rows.filter("cal_idx >= 500"), path)
-    table = bin_store.load(spark, path).filter("cal_idx between 100 and 900")
-    out = table.filter("field = 'volume'").unionByName(table.filter("field = 'close' and instrument like '%1'"))
+    out = bin_store.load(spark, path, fields=["volume"], low=100, high=900).unionByName(bin_store.load(spark, path, push=True).filter("field = 'close' and instrument like '%1' and cal_idx between 100 and 900"))
     return out.withColumn("value", F.round(F.col("value") + OFF_TIES, 2))
