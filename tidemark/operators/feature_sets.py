@@ -20,7 +20,7 @@ def lags(fields: tuple[str, ...] = ("close", "open", "high", "low", "vwap"), ste
 
 
 def candle() -> dict[str, str]:
-    """Shape of a bar: body, range and shadows."""
+    """Shape of a bar: body, range and shadows. Fixed values, as in ``families``."""
     span = f"($high - $low + {TINY})"
     top, bottom = "Greater($open, $close)", "Less($open, $close)"
     return {
@@ -36,7 +36,7 @@ def _moves(x: str) -> tuple[str, str, str]:
 
 
 def families() -> dict[str, callable]:
-    """Name -> expression for a window of d bars."""
+    """Name -> expression for a window of d bars. Names and formulas of a published feature set, which users' models expect as they are."""
     up, down, size = _moves("$close")
     v_up, v_down, v_size = _moves("$volume")
     swing = "Abs($close / Ref($close, 1) - 1) * $volume"

@@ -184,7 +184,7 @@ def mask(spark, sf):
 @query("technical_features", None)
 def technical_features(spark, sf):
     """The flagship: 158 columns over the users' panel."""
-    return features(users(spark, sf), feature_sets.technical())
+    return chunked.features(users(spark, sf), feature_sets.technical())
 
 
 _LAGS = ", ".join(
@@ -195,7 +195,7 @@ _LAGS = ", ".join(
 @query("lagged_features", f"WITH {USER} SELECT instrument, datetime, {_LAGS} FROM p WINDOW s AS (PARTITION BY instrument ORDER BY datetime)")
 def lagged_features(spark, sf):
     """360 columns over the users' panel."""
-    return rounded(features(users(spark, sf), feature_sets.lags()))
+    return rounded(chunked.features(users(spark, sf), feature_sets.lags()))
 
 
 _F = {"KMID": "(close - open) / open", "KUP": "(high - greatest(open, close)) / open", "KSFT": "(2 * close - high - low) / open", "ROC5": "lag(close, 5) OVER s / close", "MA5": "avg(close) OVER w5 / close", "STD5": "stddev_samp(close) OVER w5 / close", "BETA5": "CASE WHEN count(close) OVER w5 >= 2 THEN regr_slope(close, cal_idx) OVER w5 / close END", "MAX5": "max(high) OVER w5 / close", "QTLU5": "quantile_cont(close, 0.8) OVER w5 / close", "RSV5": "(close - min(low) OVER w5) / (max(high) OVER w5 - min(low) OVER w5 + 1e-12)", "VMA5": "avg(volume) OVER w5 / (volume + 1e-12)", "VSTD5": "stddev_samp(volume) OVER w5 / (volume + 1e-12)", "LABEL0": "lead(close, 2) OVER s / lead(close, 1) OVER s - 1"}
