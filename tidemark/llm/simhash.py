@@ -43,8 +43,8 @@ LEAF = 64
 SETTLED = 8
 #: Neighbours in sorted order that are compared first.
 NEIGHBOURS = 8
-#: Shingles from which on the share of differing bits follows the angle between two sets; smaller sets have too many ties.
-LARGE = 32
+#: A set's odd sketch has so many words of 64 bits.
+SKETCH = 16
 #: So many keys of two longs (16 MB) may be broadcast.
 SMALL = 1_000_000
 U1 = np.uint64(1)
@@ -353,9 +353,20 @@ def set_hash(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return C.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
+def odd_sketch(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each run's set of hashes the bits that an odd number of its members has, by the leading bits of the hash.
+
+    The sketches of two sets differ in the bits that an odd number of the members that only one has falls on, so in no more bits than there are such members.
+    """
+    bits = 64 * SKETCH
+    at = (np.repeat(np.arange(len(sizes)), sizes) * bits) + (C.mix(h) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sizes) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64).reshape(-1, SKETCH)
+
+
 def _hashed(rows: DataFrame, shingle_words: int, prints: int) -> DataFrame:
-    """(id, body, node, n, fps) of rows (id, body, text): node is a hash of the set of the row's n shingles, fps its fingerprints from independent hashes."""
-    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64()))])
+    """(id, body, node, n, fps, sketch) of rows (id, body, text): node is a hash of the set of the row's n shingles, fps its fingerprints from independent hashes."""
+    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(tables):
         for batch in tables:
@@ -365,9 +376,9 @@ def _hashed(rows: DataFrame, shingle_words: int, prints: int) -> DataFrame:
                 h, sizes = shingle_hashes(data, offsets[a : b + 1], shingle_words, True)
                 fps = np.stack([majority(h if not k else C.mix(h + np.uint64((k * C.BASE) & C.M64)), sizes) for k in range(prints)], axis=1)
                 own = [pa.array(C.numbers(table, c)[a:b]) for c in ("id", "body")]
-                yield pa.record_batch([*own, pa.array(set_hash(h, sizes)), pa.array(sizes.astype(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], schema=schema)
+                yield pa.record_batch([*own, pa.array(set_hash(h, sizes)), pa.array(sizes.astype(np.int64)), *(pa.array(list(x), pa.list_(pa.int64())) for x in (fps.view(np.int64), odd_sketch(h, sizes)))], schema=schema)
 
-    return rows.mapInArrow(run, "id long, body long, node long, n long, fps array<long>")
+    return rows.mapInArrow(run, "id long, body long, node long, n long, fps array<long>, sketch array<long>")
 
 
 def _sets(rows: DataFrame, need: DataFrame, shingle_words: int) -> DataFrame:
@@ -398,22 +409,13 @@ def _expanded(i: np.ndarray, j: np.ndarray, first: np.ndarray, stop: np.ndarray)
             yield _product(first[i[p]], stop[i[p]], first[j[p]], stop[j[p]])
 
 
-def differing(similarity: float, prints: int) -> float:
-    """So many bits of prints fingerprints two sets of this Jaccard similarity differ in at most, four standard deviations above the mean.
-
-    A bit differs with a probability of angle / pi; of sets with one similarity those of equal sizes have the widest angle.
-    """
-    p, n = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 64 * prints
-    return n * p + 4 * math.sqrt(n * p * (1 - p))
-
-
-def _candidates(budget: int, mode: str, similarity: float, prints: int):
+def _candidates(budget: int, mode: str, similarity: float):
     """Candidate pairs (u, v) of a task. nearest: for each entry its linked one with the smallest node; every: all.
 
-    Left out are pairs within a component, pairs that a trie before this one of the same fingerprint finds, pairs whose sizes rule the similarity out, and, if both
-    sets have at least LARGE shingles, pairs that differ in more bits of all fingerprints than the similarity allows for.
+    Left out are pairs within a component, pairs that a trie before this one of the same fingerprint finds, and pairs that can't be similar enough: by their sizes, or as
+    their sketches differ in more bits than sets of these sizes and this similarity have members of their own. Neither ever leaves out a pair that is similar enough.
     """
-    most, lead, names = differing(similarity, prints), budget // QUARTERS, [f"f{k}" for k in range(prints)]
+    lead, names, apart = budget // QUARTERS, [f"s{k}" for k in range(SKETCH)], (1 - similarity) / (1 + similarity)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -426,7 +428,7 @@ def _candidates(budget: int, mode: str, similarity: float, prints: int):
         moved = [0, len(sides[0][0])]
         first = np.concatenate([r[1] + m for r, m in zip(runs, moved, strict=False)])
         stop = np.concatenate([np.append(r[1][1:], len(s[0])) + m for r, s, m in zip(runs, sides, moved, strict=False)])
-        node, comp, n, *every = (np.concatenate([s[c] for s in sides]) for c in range(1, 4 + prints))
+        node, comp, n, *every = (np.concatenate([s[c] for s in sides]) for c in range(1, 4 + SKETCH))
         quarter = int(C.numbers(table, "trie")[0]) % QUARTERS
         a, b = runs[0][0], runs[1][0] if len(runs) > 1 else None
         best = np.full(len(node), np.iinfo(np.int64).max)
@@ -436,7 +438,7 @@ def _candidates(budget: int, mode: str, similarity: float, prints: int):
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[ok], j[ok]
             bits = sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in every)
-            ok = (bits <= most) | (np.minimum(n[i], n[j]) < LARGE)
+            ok = bits <= (n[i] + n[j]) * apart + 1e-9
             i, j = i[ok], j[ok]
             if mode == "nearest":
                 np.minimum.at(best, i, node[j])
@@ -480,13 +482,13 @@ def _connected(classes: DataFrame, count: int, max_bits: int) -> DataFrame:
     return C.written(tops.unionByName(tops.select(F.col("top").alias("node"), "top").distinct()), "connected")
 
 
-def _pairs(classes: DataFrame, prints: int, max_bits: int, mode: str, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (u, v), u < v, of classes (node, comp, n, fps)."""
+def _pairs(classes: DataFrame, max_bits: int, mode: str, similarity: float) -> DataFrame:
+    """Distinct candidate pairs (u, v), u < v, of classes (node, comp, n, fps, sketch)."""
     # of a component's classes with one fingerprint one stands for all
-    every = {f"f{k}": F.col("fps")[k] for k in range(prints)}
+    every = {f"s{k}": F.col("sketch")[k] for k in range(SKETCH)}
     entries = classes.select("node", "comp", "n", *(v.alias(c) for c, v in every.items()), F.posexplode("fps").alias("k", "fp")).groupBy("k", "fp", "comp").agg(F.min(F.struct("node", "n", *every)).alias("least"))
     entries = entries.select("k", "fp", "comp", "least.*")
-    found = blocks(entries, classes.count(), max_bits, ["node", "comp", "n", *every]).groupBy("trie", "x", "y").applyInArrow(_candidates(max_bits, mode, similarity, prints), "u long, v long")
+    found = blocks(entries, classes.count(), max_bits, ["node", "comp", "n", *every]).groupBy("trie", "x", "y").applyInArrow(_candidates(max_bits, mode, similarity), "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
@@ -511,11 +513,11 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, p
     Fingerprints only propose pairs; a pair links if the Jaccard similarity of its sets of shingles, counted exactly, is at least ``similarity``. Texts with one
     set of shingles are one class; all texts without words are. Classes are first held against one class of what fingerprints connect, then against the first
     class proposed of another component, and last all pairs proposed between components are counted. So a group of copies costs as many pairs as
-    it has members; only texts that fingerprints link though they are less similar cost a pair each.
+    it has members; of pairs that fingerprints link though they are less similar, only those cost a pair that sizes and sketches can't tell from similar ones.
     """
     rows = _rows(docs, id_col, text_col)
     hashed = C.written(_hashed(rows, shingle_words, prints), "hashed")
-    classes = C.written(hashed.groupBy("node").agg(F.min(F.struct("id", "body")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")), "classes")
+    classes = C.written(hashed.groupBy("node").agg(F.min(F.struct("id", "body")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "classes")
     labelled, links, tried = classes.withColumn("comp", F.col("node")), None, None
     connected = _connected(classes, classes.count(), max_bits)
     for mode in ("top", "nearest", "every"):
@@ -530,7 +532,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, max_bits: int = 7, p
             inside = C.written(inside.join(open_, "top", "left_semi"), "open")
             if inside.isEmpty():
                 break
-            pairs = _pairs(inside, prints, max_bits, mode, similarity)
+            pairs = _pairs(inside, max_bits, mode, similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = C.written(pairs, "pairs")
