@@ -10,6 +10,7 @@ from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
 from tidemark.sources import bin_store, feature_store, panels, sessions, working
+from tidemark.streaming import features as stateful
 
 # --- covariances -------------------------------------------------------------------------------------------------
 
@@ -351,3 +352,21 @@ def bin_round_trip(spark, sf):
     bin_store.save(rows.filter("cal_idx >= 500"), path)
     out = bin_store.load(spark, path, fields=["volume"], low=100, high=900).unionByName(bin_store.load(spark, path, push=True).filter("field = 'close' and instrument like '%1' and cal_idx between 100 and 900"))
     return out.withColumn("value", F.round(F.col("value") + OFF_TIES, 2))
+
+
+# --- a stream of bars with its last bars as state ------------------------------------------------------------------
+
+
+@query("stream_features", "WITH raw AS (SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, avg(value) AS value FROM events GROUP BY 1, 2), f AS (SELECT instrument, datetime, avg(value) OVER w AS mean, median(value) OVER w AS med, lag(value, 2) OVER s AS before FROM raw WINDOW s AS (PARTITION BY instrument ORDER BY datetime), w AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT instrument, datetime, round(mean, 6) AS mean, round(med, 6) AS med, round(before, 6) AS before FROM f WHERE datetime <= (SELECT max(datetime) - 1 FROM raw)")
+def stream_features(spark, sf):
+    """Each user's daily means in two files, the second read after a restart; the last day stays behind the watermark."""
+    events, path = spark.read.parquet(f"{sf}/events.parquet"), working.fresh_path(spark, "stream")
+    bars = events.groupBy(F.col("user_id").cast("string").alias("instrument"), F.date_trunc("day", "ts").alias("datetime")).agg(F.avg("value").alias("value"))
+    asked = (stateful.Feature("mean", "mean", 5), stateful.Feature("med", "med", 5), stateful.Feature("before", "ref", 2))
+    days = bars.select("datetime").distinct().select("datetime", F.ntile(2).over(Window.orderBy("datetime")).alias("half"))  # over the calendar
+    for half in (1, 2):
+        bars.join(F.broadcast(days.filter(F.col("half") == half)), "datetime").select("instrument", "datetime", "value").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("instrument string, datetime timestamp, value double").parquet(f"{path}/in")
+        stateful.run_available(stateful.stream_features(stream, asked, "1 day"), f"{path}/out")
+    out = spark.read.parquet(f"{path}/out/data")
+    return rounded(out.withColumn("datetime", F.to_date("datetime")))
