@@ -8,7 +8,9 @@ a strategy can hold has been among them.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,19 @@ def candidates(scores: DataFrame, bars: DataFrame, strategies: list[TopkDropout]
     return quoted.join(F.broadcast(settings), F.col("best") <= 2 * F.col("k") + F.col("n_drop")).drop("score")
 
 
+def replaced(order: list[str], held: dict[str, float], signals: int, k: int, n_drop: int) -> tuple[list[str], list[str]]:
+    """Which held names go, best first, and the rivals for their places and the free ones, best first.
+
+    order: all names best first, of which the first ``signals`` can be bought. Rivals are as many of the best names that aren't held as could get in. A held name goes if fewer than n_drop of the held names and
+    the rivals stand behind it: counted by places, no list of both is made.
+    """
+    free = max(0, k - len(held))
+    rivals = list(islice((p for p, name in enumerate(order[:signals]) if name not in held), n_drop + free if len(held) <= k else max(0, n_drop + k - len(held))))
+    mine = [p for p, name in enumerate(order) if name in held]
+    behind = {p: len(mine) - 1 - i + len(rivals) - bisect_left(rivals, p) for i, p in enumerate(mine)}
+    return [order[p] for p in mine if behind[p] < n_drop], [order[p] for p in rivals]
+
+
 def fold(key, rows):
     """One strategy's metrics, bar by bar. Without a price a name can't be traded and keeps its last value."""
     import pandas as pd
@@ -55,19 +70,17 @@ def fold(key, rows):
         signal = {i: x for i, x in zip(bar.instrument, bar.signal, strict=True) if x == x and x is not None}
         ranked = sorted(signal, key=lambda i: (-signal[i], i))
         traded = cost = 0.0
+        wanted = len(held)
         if ranked:
-            own = sorted(held, key=lambda i: (-signal.get(i, -math.inf), i))
-            fresh = [i for i in ranked if i not in held][: int(s.n_drop) + int(s.k) - len(own)]
-            both = sorted(own + fresh, key=lambda i: (-signal.get(i, -math.inf), i))
-            worst = set(both[len(both) - int(s.n_drop) :]) if s.n_drop else set()
-            sell = [i for i in own if i in worst]
+            order = [*ranked, *sorted(i for i in held if i not in signal)]  # names without a signal come last
+            sell, rivals = replaced(order, held, len(ranked), int(s.k), int(s.n_drop))
             for i in sell:
                 if i in price:
                     worth = held.pop(i) * price[i]
                     fee = max(worth * s.close_cost, s.min_cost) if worth else 0.0
                     cash += worth - fee
                     traded, cost = traded + worth, cost + fee
-            buy = [i for i in fresh[: len(sell) + int(s.k) - len(own)] if i in price]
+            buy = [i for i in rivals[: max(0, int(s.k) - wanted + len(sell))] if i in price]
             budget = cash * s.risk_degree / len(buy) if buy else 0.0
             for i in buy:
                 amount = budget / (price[i] * (1 + s.open_cost))
