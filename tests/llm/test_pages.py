@@ -176,7 +176,7 @@ def test_warc_without_rows(pages):
 
 def test_registry():
     names = list(queries.queries())
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages(spark, docs):
@@ -207,5 +207,11 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     assert sum(r.doc_id is None for r in once) == docs.filter("doc_id is null").count()
     cut = pipeline.substring_stage(spark, rows, sf)
     assert cut.columns == pipeline.COLUMNS and cut.count() == docs.count()
+    clean = pipeline.decontamination_stage(spark, rows, sf)
+    assert clean.columns == pipeline.COLUMNS and clean.count() == docs.count()  # nothing here is of the benchmark, null and empty texts and null ids included
+    judged = pipeline.quality_stage(spark, rows.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(pipeline.COLUMNS)), sf)
+    assert judged.columns == pipeline.COLUMNS and 0 < judged.count() <= docs.count() + spark.read.parquet(f"{sf}/documents.parquet").count()
+    mixed = pipeline.mixing_stage(spark, rows, sf)
+    assert mixed.count() == docs.count() and mixed.filter("taken > 3 * size or taken < 0").count() == 0
     for _, stage in pipeline.STAGES:
         assert stage(spark, rows.limit(0), sf).count() == 0
