@@ -256,3 +256,30 @@ def test_wide_groups_are_reduced(monkeypatch):
 @needs_vocabularies
 def test_alignment_of_nothing(nothing):
     assert alignment.align(nothing).collect() == []
+
+
+# --- texts of some MB -------------------------------------------------------------------------------------------
+
+
+@needs_vocabularies
+def test_texts_of_some_megabytes(framed):
+    """Whole texts count: copies of two MB, one run without a space, one without an ASCII letter."""
+    from tidemark.llm import suffix_dedup, token_counts
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(330_000))
+    rows = [(1, long), (2, long.replace(" ", "\n", 9)), (3, "x" * 1_000_000), (4, "日本語" * 100_000), (5, long[-400_000:])]
+    docs = framed(rows)
+    assert len(long) > 2_000_000
+    kept = {r.doc_id: (r.keep_id, r.kept, r.text_sha256) for r in exact_dedup.groups(docs, table_bytes=1 << 20).collect()}
+    assert {i: k[:2] for i, k in kept.items()} == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True)}
+    assert all(kept[i][2] == hashlib.sha256(plain(t).encode()).hexdigest() for i, t in rows)
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, with_text=False).collect()}
+    assert cut[1][1] == cut[3][1] == cut[4][1] == 0 and cut[5] == (400_000, 400_000, 1) and cut[2][2] >= 1 and len(long) - 9 * 120 < cut[2][1] < len(long)
+    words = {r.word: r.n for r in spelling.variants(docs).collect()}
+    assert words == {w: n for w, n in words_of(rows).items()}
+    aligned, counted = ({r.doc_id: r for r in f.collect()} for f in (alignment.align(docs), token_counts.count(docs, token_counts.DEFAULT_RANKS)))
+    for i, t in rows:
+        assert aligned[i].n_a > 0 and aligned[i].n_links >= aligned[i].n_groups > 0 and aligned[i].n_a <= len(t.encode()) + 1
+        assert counted[i].n_bytes == len(t.encode()) and abs(counted[i].n_tokens - aligned[i].n_a) <= 2  # the leading space
