@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics, execution, feature_sets, gram, holdings, portfolio, processors, quantiles
+from tidemark.operators import analytics, execution, feature_sets, gram, holdings, portfolio, processors, quantiles, resample
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
@@ -370,3 +370,19 @@ def stream_features(spark, sf):
         stateful.run_available(stateful.stream_features(stream, asked, "1 day"), f"{path}/out")
     out = spark.read.parquet(f"{path}/out/data")
     return rounded(out.withColumn("datetime", F.to_date("datetime")))
+
+
+# --- aggregates of users' own in resampling ------------------------------------------------------------------------
+
+
+@resample.register("range_share")
+def _range_share(x, t, low):
+    """The last value's place between the bin's least low and greatest value."""
+    return F.try_divide(F.max_by(x, F.when(x.isNotNull(), t)) - F.min(low), F.max(x) - F.min(low))
+
+
+@query("resample_own", f"WITH {USER}, b AS (SELECT instrument, time_bucket(INTERVAL 7 DAY, datetime, DATE '1970-01-01') AS datetime, sum(close * volume) / nullif(sum(volume) FILTER (close IS NOT NULL), 0) AS price, (arg_max(close, datetime) FILTER (close IS NOT NULL) - min(low)) / nullif(max(close) - min(low), 0) AS place FROM p GROUP BY 1, 2) SELECT instrument, datetime::DATE AS datetime, round(price, 6) AS price, round(place, 6) AS place FROM b")
+def resample_own(spark, sf):
+    """Weekly volume-weighted prices, and a registered aggregate over two fields."""
+    out = resample.resample(users(spark, sf), {"price": ("$close", "wmean", "$volume"), "place": ("$close", "range_share", "$low")}, "7d")
+    return rounded(out.withColumn("datetime", F.to_date("datetime")))
