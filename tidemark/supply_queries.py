@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics, execution, feature_sets, gram, holdings, portfolio, processors, quantiles, resample
+from tidemark.operators import analytics, execution, feature_sets, gram, holdings, intraday, portfolio, processors, quantiles, resample
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
@@ -248,6 +248,25 @@ def session_slots(spark, sf):
     return rounded(out.select("instrument", "datetime", "slot", "same_slot", "last_hour"))
 
 
+@query("intraday_set", f"""WITH {HOURS}, f AS (SELECT *, last_value(close IGNORE NULLS) OVER s AS filled, avg(volume) OVER (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 269 PRECEDING AND CURRENT ROW) AS mean, lag(close, 9) OVER s AS close_1, lag(volume, 9) OVER s AS volume_1, row_number() OVER s AS place FROM t WINDOW s AS (PARTITION BY instrument ORDER BY cal_idx)),
+r AS (SELECT f.instrument, f.datetime, f.cal_idx, f.place, f.close / nullif(b2.filled, 0) AS r0, f.close_1 / nullif(b1.filled, 0) AS r1, coalesce(f.volume / nullif(b1.mean, 0), 0) AS v0, coalesce(f.volume_1 / nullif(b1.mean, 0), 0) AS v1
+FROM f LEFT JOIN f b1 ON b1.instrument = f.instrument AND b1.day_idx = f.day_idx - 1 AND b1.slot = 8 LEFT JOIN f b2 ON b2.instrument = f.instrument AND b2.day_idx = f.day_idx - 2 AND b2.slot = 8),
+o AS (SELECT instrument, datetime, place, last_value(r0 IGNORE NULLS) OVER s AS close, last_value(r1 IGNORE NULLS) OVER s AS close_1, v0, v1 FROM r WINDOW s AS (PARTITION BY instrument ORDER BY cal_idx))
+SELECT instrument, datetime, round(close, 6) AS close, round(close_1, 6) AS close_1, round(v0, 6) AS volume, round(v1, 6) AS volume_1 FROM o WHERE place > 18""")
+def intraday_set(spark, sf):
+    """Each user's hourly means over the close of two days before, those of the day before over its close, and volumes over thirty days' mean."""
+    return rounded(intraday.normalised(hourly(spark, sf), DAY, ("close",)))
+
+
+@query("intraday_quotes", f"WITH {HOURS}, f AS (SELECT *, last_value(CASE WHEN volume > 1 OR slot = 8 THEN close END IGNORE NULLS) OVER s AS close0, last_value(close IGNORE NULLS) OVER s AS filled FROM t WINDOW s AS (PARTITION BY instrument ORDER BY cal_idx)) SELECT instrument, datetime, round(close0, 6) AS close0, round(coalesce(vwap, filled), 6) AS vwap0, coalesce(volume, 0) AS volume0 FROM (SELECT *, CASE WHEN slot % 2 = 0 THEN close END AS vwap FROM f) WHERE volume > 1 OR slot = 8")
+def intraday_quotes(spark, sf):
+    """Hours with more than one event, and each day's last: the last such hour's close, a price that stands in even slots only, and volumes."""
+    p, slot = hourly(spark, sf), F.col("cal_idx") % DAY.slots
+    p = Panel(p.bars.withColumn("vwap", F.when(slot % 2 == 0, F.col("close"))), p.context)
+    busy = intraday.quotes(p, DAY, amounts=("volume",), keep=(F.col("volume") > 1) | (slot == DAY.slots - 1))
+    return rounded(busy)
+
+
 @query("coarser_frequency", "WITH x AS (SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(date_trunc('month', ts) AS DATE) AS m, CAST(ts AS DATE) AS d, value FROM events), f AS (SELECT m, min(d) AS datetime FROM x GROUP BY 1) SELECT instrument, datetime, round(sum(value), 6) AS total, max(value) AS top FROM x JOIN f USING (m) GROUP BY 1, 2")
 def coarser_frequency(spark, sf):
     """Months are asked for, minutes are stored."""
