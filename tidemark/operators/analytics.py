@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -113,11 +115,21 @@ def rolling_ensemble(parts: list[DataFrame]) -> DataFrame:
     for k, p in enumerate(parts):
         p = p.select("instrument", "datetime", "score", F.lit(k).alias("run"))
         rows = p if rows is None else rows.unionByName(p)
-    return rows.groupBy("instrument", "datetime").agg(F.max_by("score", "run").alias("score"))
+    return latest_runs(rows)
+
+
+def latest_runs(scores: DataFrame, by: Sequence[str] = (), run: str = "run") -> DataFrame:
+    """(by, instrument, datetime, run, score) without run: of a key that several runs of a group have, the latest run's score, missing or not."""
+    return scores.groupBy(*by, "instrument", "datetime").agg(F.max_by("score", run).alias("score"))
 
 
-def average_ensemble(scores: DataFrame) -> DataFrame:
-    """(instrument, datetime, model, score) -> mean over the models of each model's z-score on the date."""
-    w = Window.partitionBy("model", "datetime")
+def average_ensemble(scores: DataFrame, by: Sequence[str] = (), model: str = "model") -> DataFrame:
+    """(by, instrument, datetime, model, score) -> in each group, the mean over the models of each model's z-score on the date."""
+    w = Window.partitionBy(*by, model, "datetime")
     z = F.try_divide(F.col("score") - F.avg("score").over(w), F.stddev_samp("score").over(w))
-    return scores.select("instrument", "datetime", z.alias("z")).groupBy("instrument", "datetime").agg(F.avg("z").alias("score"))
+    return scores.select(*by, "instrument", "datetime", z.alias("z")).groupBy(*by, "instrument", "datetime").agg(F.avg("z").alias("score"))
+
+
+def group_ensemble(scores: DataFrame, by: Sequence[str], model: str = "model", run: str | None = "run") -> DataFrame:
+    """(by, instrument, datetime, score): each model's runs are joined first, then a group's models averaged; all groups in one plan."""
+    return average_ensemble(latest_runs(scores, [*by, model], run) if run else scores, by, model)

@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.operators.processors import Handler
 from tidemark.plans.compiler import Panel, features, reach
 from tidemark.plans.expr import Node, parse
 
@@ -62,6 +64,24 @@ def nested(parts: list[Frame], how: str = "left") -> Frame:
     return reduce(both, parts)
 
 
+def from_handlers(handlers: Handler | dict[str, Handler], key: str = "raw", start=None, end=None, how: str = "full", prefix: bool = False) -> Frame:
+    """What handlers hold at a stage (raw, infer, learn): one handler with its groups, or one for each group, joined on the keys.
+
+    prefix: columns are named group_column; without it a column of two handlers raises ValueError.
+    """
+    if isinstance(handlers, Handler):
+        rows = handlers.fetch(key, start, end)
+        return Frame(rows, {g: [c for c in cs if c in rows.columns] for g, cs in handlers.stage(key)[1].items()})
+    frames = {}
+    for g, h in handlers.items():
+        rows = h.fetch(key, start, end)
+        frames[g] = rows.select(*KEYS, *(F.col(f"`{c}`").alias(f"{g}_{c}" if prefix else c) for c in rows.columns if c not in KEYS))
+    every = [c for f in frames.values() for c in f.columns if c not in KEYS]
+    if clash := {c for c in every if every.count(c) > 1}:
+        raise ValueError(f"columns of two handlers: {sorted(clash)}")
+    return static(frames, how)
+
+
 def horizon(label: str | Node) -> int:
     """Bars that a label looks ahead."""
     found = reach(parse(label))

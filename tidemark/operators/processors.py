@@ -354,14 +354,42 @@ class Handler:
         self.learned = self._run(*(self.inferred if self.append else base), self.learn, fit, True)
         return self
 
+    def stage(self, key: str) -> tuple[DataFrame, Groups]:
+        """The frame and its groups: raw, infer or learn."""
+        if key == "raw":
+            return self.raw, self.groups
+        return {"infer": lambda: self.inferred, "learn": lambda: self.learned}[key]()
+
     def fetch(self, key: str = "infer", start=None, end=None, group: str | None = None) -> DataFrame:
-        df, groups = {"raw": (self.raw, self.groups), "infer": self.inferred, "learn": self.learned}[key]
+        df, groups = self.stage(key)
         if start is not None:
             df = df.filter(F.col("datetime") >= F.lit(start))
         if end is not None:
             df = df.filter(F.col("datetime") <= F.lit(end))
         return df.select("instrument", "datetime", *groups[group]) if group else df
 
+    def upto(self, date, periods: int, key: str = "infer", group: str | None = None) -> DataFrame:
+        """The rows of the last periods dates up to date, all before it if they are fewer. KeyError if the frame doesn't have the date."""
+        df = self.fetch(key, end=date)
+        found = df.select("datetime").distinct().orderBy(F.desc("datetime")).limit(periods).agg(F.min("datetime").alias("a"), F.max(F.col("datetime") == F.lit(date)).alias("has")).first()
+        if not found["has"]:
+            raise KeyError(f"no rows on {date}")
+        return self.fetch(key, found["a"], date, group)
+
+
+def ranges(df: DataFrame, periods: int, least: int | None = None) -> DataFrame:
+    """(upto, columns of df): for each date but the first least (periods by default), the rows of the last periods dates up to it.
+
+    All ranges are one plan: a row goes to the at most periods dates that look back to it. What a window expresses needs no ranges; these are for whole frames of a range, such as fits that roll.
+    """
+    least = periods if least is None else least
+    dates = df.select("datetime").distinct().select("datetime", (F.row_number().over(Window.orderBy("datetime")) - 1).alias("_k"))  # over the calendar
+    n = dates.count()
+    small = lambda d: F.broadcast(d) if n <= SMALL else d
+    first, last = F.greatest(F.col("_k"), F.lit(least)), F.least(F.col("_k") + periods - 1, F.lit(n - 1))
+    rows = df.join(small(dates), "datetime").filter(first <= last).withColumn("_at", F.explode(F.sequence(first, last)))
+    return rows.join(small(dates.toDF("upto", "_at")), "_at").select("upto", *df.columns)
+
 
 FILLS = ("none", "ffill", "ffill+bfill")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics, execution, feature_sets, gram, holdings, intraday, portfolio, processors, quantiles, resample
+from tidemark.operators import analytics, execution, feature_sets, gram, holdings, intraday, loaders, portfolio, processors, quantiles, resample
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
 from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
@@ -405,3 +405,32 @@ def resample_own(spark, sf):
     """Weekly volume-weighted prices, and a registered aggregate over two fields."""
     out = resample.resample(users(spark, sf), {"price": ("$close", "wmean", "$volume"), "place": ("$close", "range_share", "$low")}, "7d")
     return rounded(out.withColumn("datetime", F.to_date("datetime")))
+
+
+# --- ranges that roll, loaders over handlers, ensembles by groups ---------------------------------------------------
+
+
+@query("rolling_ranges", f"WITH {USER}, d AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS k FROM (SELECT DISTINCT datetime FROM p)), c AS (SELECT u.datetime AS upto, p.* FROM d u JOIN d b ON b.k BETWEEN u.k - 4 AND u.k JOIN p ON p.datetime = b.datetime WHERE u.k >= 3) SELECT upto, count(*) AS n, count(DISTINCT datetime) AS dates, round(median(close), 6) AS middle, round(regr_slope(close, volume), 6) AS slope FROM c GROUP BY 1")
+def rolling_ranges(spark, sf):
+    """A fit and a median over all users of each five days: whole ranges, which no window by user gives."""
+    rows = processors.ranges(users(spark, sf).bars.select("instrument", "datetime", "close", "volume"), 5, least=3)
+    return rounded(rows.groupBy("upto").agg(F.count("*").alias("n"), F.countDistinct("datetime").alias("dates"), F.median("close").alias("middle"), F.regr_slope("close", "volume").alias("slope")))
+
+
+@query("handler_loader", f"WITH {USER}, a AS (SELECT instrument, datetime, (close - avg(close) OVER (PARTITION BY datetime)) / nullif(stddev_samp(close) OVER (PARTITION BY datetime), 0) AS close FROM p WHERE close IS NOT NULL), b AS (SELECT instrument, datetime, coalesce(volume, 0) AS volume FROM p WHERE volume > 2 OR volume IS NULL) SELECT instrument, datetime, round(a.close, 6) AS price_close, round(b.volume, 6) AS size_volume FROM a FULL JOIN b USING (instrument, datetime)")
+def handler_loader(spark, sf):
+    """Two handlers' frames side by side: prices as z-scores of the date, volumes filled; each has rows that the other lacks."""
+    bars = users(spark, sf).bars
+    price = processors.Handler(bars.select("instrument", "datetime", "close").filter("close is not null"), {"feature": ["close"]}, infer=[processors.DateZScore("feature")]).setup()
+    size = processors.Handler(bars.select("instrument", "datetime", F.col("volume").cast("double").alias("volume")).filter("volume > 2 or volume is null"), {"feature": ["volume"]}, infer=[processors.Fill("feature")]).setup()
+    return rounded(loaders.from_handlers({"price": price, "size": size}, "infer", prefix=True).rows)
+
+
+@query("group_ensemble", f"WITH {SCORES}, u AS (SELECT 'x' AS market, 'a' AS model, 1 AS run, instrument, datetime, score FROM q UNION ALL SELECT 'x', 'a', 2, instrument, datetime, label FROM q WHERE datetime >= DATE '2024-01-15' UNION ALL SELECT 'x', 'b', 1, instrument, datetime, label - score FROM q UNION ALL SELECT 'y', 'a', 1, instrument, datetime, label FROM q), l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY market, model, instrument, datetime ORDER BY run DESC) = 1), z AS (SELECT market, instrument, datetime, (score - avg(score) OVER w) / nullif(stddev_samp(score) OVER w, 0) AS z FROM l WINDOW w AS (PARTITION BY market, model, datetime)) SELECT market, instrument, datetime, round(avg(z), 6) AS score FROM z GROUP BY 1, 2, 3")
+def group_ensemble(spark, sf):
+    """Two markets: the first has two runs of one model and one of another, the second a single model."""
+    rows = scored(spark, sf)
+    part = lambda market, model, run, score, on=rows: on.select(F.lit(market).alias("market"), F.lit(model).alias("model"), F.lit(run).alias("run"), "instrument", "datetime", score.alias("score"))
+    late = rows.filter(F.col("datetime") >= F.lit("2024-01-15").cast("date"))
+    every = part("x", "a", 1, F.col("score")).unionByName(part("x", "a", 2, F.col("label"), late)).unionByName(part("x", "b", 1, F.col("label") - F.col("score"))).unionByName(part("y", "a", 1, F.col("label")))
+    return rounded(analytics.group_ensemble(every, ["market"]))
