@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import queries, url_filter, warc
+from tidemark.llm import common, queries, url_filter, warc
 
 RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"), url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
 
@@ -119,8 +119,8 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).withColumn("latest", F.lit("clash"))
 
 
-@pytest.mark.parametrize("least", [0, 400])
-def test_warc_round_trip(pages, least):
+@pytest.mark.parametrize(("least", "hot"), [(0, common.HOT_ROWS), (400, common.HOT_ROWS), (0, 2)])
+def test_warc_round_trip(pages, least, hot):
     rows, frame = pages
     payloads = [(i, (h or "").encode()) for i, _, h in rows]
     key = lambda i: -(2**63) if i is None else i
@@ -132,7 +132,7 @@ def test_warc_round_trip(pages, least):
     for i, p in payloads:
         again = p in last and last[p] != key(i)
         expect[i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", last[p] if again else None] += 1
-    got = warc.round_trip(frame, least).collect()
+    got = warc.round_trip(frame, least, hot=hot).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expect
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lm_scoring, media, mixing, quality, simhash, suffix_dedup, token_counts
+from tidemark.llm import common, decontaminate, lm_scoring, media, mixing, quality, simhash, suffix_dedup, token_counts
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -301,6 +301,33 @@ def test_simhash_without_rows(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+# --- joins in shares ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("hot", [1, 7, 100, common.HOT_ROWS])
+def test_joined_in_shares(spark, hot):
+    rows = [(k, "hot" if k % 3 else f"k{k % 7}") for k in range(300)] + [(0, "hot"), (0, "hot"), (900, "alone")]
+    freq = Counter(h for _, h in rows)
+    table = [(h, h + x, freq[h]) for h in freq if h != "alone" for x in "ab"] + [("absent", "c", 0)]
+    left, right = spark.createDataFrame(rows, "id long, h string"), spark.createDataFrame(table, "h string, item string, freq long")
+    got = common.joined_in_shares(left, right, ["h"], "freq", ["id"], hot)
+    assert got.columns == ["h", "id", "item"] and rows_of(got, "id", "h", "item") == Counter((i, h, h + x) for i, h in rows if h != "alone" for x in "ab")
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    rows = spark.range(20_000).select("id", F.concat(F.lit("hot"), (F.col("id") % 1).cast("string")).alias("h"))
+    table = spark.createDataFrame([("hot0", 20_000)], "h string, freq long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        most = lambda hot: common.joined_in_shares(rows, table, ["h"], "freq", ["id"], hot).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert most(common.HOT_ROWS) == 20_000 and most(500) < 9_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -326,12 +353,12 @@ def contaminated(rows, items):
     return out
 
 
-@pytest.mark.parametrize("broadcast_keys", [2_000_000, 0])
-def test_contamination_equals_brute_force(spark, docs, rows, broadcast_keys):
+@pytest.mark.parametrize(("broadcast_keys", "hot"), [(2_000_000, common.HOT_ROWS), (0, common.HOT_ROWS), (2_000_000, 1), (0, 3)])
+def test_contamination_equals_brute_force(spark, docs, rows, broadcast_keys, hot):
     texts = [t for _, t in rows if t and len(t.split()) > 40]
     items = [(1, texts[0]), (2, " ".join(texts[1].split()[3:30])), (10, " ".join(texts[2].split()[:13])), (3, "one"), (4, texts[3].split()[0] + "!" + texts[3].split()[1]), (5, None), (6, ""), (7, "never seen words of any text at all in here for sure today"), (8, texts[0])]
     frame = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit("clash")).withColumn("s", F.lit(1))
-    got = decontaminate.decontaminate(docs, frame, broadcast_keys=broadcast_keys)
+    got = decontaminate.decontaminate(docs, frame, broadcast_keys=broadcast_keys, hot=hot)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == contaminated(rows, items)
 
 

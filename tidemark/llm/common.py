@@ -69,6 +69,28 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         TABLES.remove(path)
 
 
+#: Rows of one key that a join leaves together; a key with more is dealt over shares of about so many.
+HOT_ROWS = 1_000_000
+#: Hot keys that are broadcast: beyond HOT_ROWS times as many rows Spark chooses the join.
+HOT_KEYS = 1_000_000
+
+
+def joined_in_shares(rows: DataFrame, table: DataFrame, on: list[str], freq: str, spread: list[str], hot: int = HOT_ROWS) -> DataFrame:
+    """rows joined (inner) with table on keys without nulls, where table's column freq says how many of the rows have the key; freq goes.
+
+    A key that more than hot rows have is dealt into shares of them: a row takes the share that a hash of its columns spread names, the table's rows of the key go to all shares. table is read twice, so it should be
+    a written one. Hot keys are fewer than rows / hot.
+    """
+    shares = F.ceil(F.col(freq) / hot).cast("int")
+    keys = table.filter(F.col(freq) > hot).groupBy(*on).agg(F.max(shares).alias("_shares"))
+    n = keys.count()
+    if not n:
+        return rows.join(table.drop(freq), on)
+    dealt = rows.join(F.broadcast(keys) if n <= HOT_KEYS else keys, on, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shares")), F.lit(0)).cast("int"))
+    copied = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+    return dealt.drop("_shares").join(copied.drop(freq), [*on, "_share"]).drop("_share")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -72,9 +72,12 @@ def places(docs: DataFrame, keys: DataFrame, lengths: list[int], window: int, id
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20,
-    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_keys: int = 2_000_000, with_body: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_keys: int = 2_000_000, with_body: bool = False, hot: int = C.HOT_ROWS,
 ) -> DataFrame:
-    """One row for each document: id_col, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); with_body: and body (xxhash64 of the text)."""
+    """One row for each document: id_col, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); with_body: and body (xxhash64 of the text).
+
+    A rarest shingle that stands in more than hot places is joined in shares, so no task gathers all places of a frequent one.
+    """
     wins = C.written(windows(items, window, shingle, item_id, item_text), "windows")
     # every shingle of every window with its place in it
     inner = wins.select("item", "win", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("s"))).alias("off"))
@@ -85,11 +88,11 @@ def decontaminate(
     whole, hits = seen.filter("p = -1"), seen.filter("p >= 0")
     rarity = hits.groupBy("s", "h").agg(F.count("*").alias("freq"))
     ranked = inner.join(rarity, ["s", "h"], "left").groupBy("item", "win", "n", "s").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "off", "h")).alias("rarest"))
-    prefix = ranked.filter("rarest.freq > 0").select("item", "win", "n", "s", "rarest.off", "rarest.h")
+    prefix = C.written(ranked.filter("rarest.freq > 0").select("item", "win", "n", "s", "rarest.off", "rarest.h", "rarest.freq"), "prefix")
     start = F.col("p") - F.col("off")
     inside = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     exact = F.slice("around", F.greatest(F.col("before") - F.col("off") + 1, F.lit(1)), F.col("n")) == F.col("win")
-    occurs = C.written(hits.join(prefix, ["s", "h"]).filter(inside & exact).select("id", "body", start.alias("start"), "n", "item"), "occurrences")
+    occurs = C.written(C.joined_in_shares(hits, prefix, ["s", "h"], "freq", ["id", "body", "p"], hot).filter(inside & exact).select("id", "body", start.alias("start"), "n", "item"), "occurrences")
     hit = occurs.select("id", "body", "start", "n").distinct().select("id", "body", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("id", "body").agg(F.count("*").alias("n_hit"))
     named = occurs.select("id", "body", "item").distinct().groupBy("id", "body").agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = hit.join(named, ["id", "body"])

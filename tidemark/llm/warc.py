@@ -97,13 +97,17 @@ def archive(records: list[bytes]) -> bytes:
     return b"".join(out + [z.compress(r) for r in records])
 
 
-def write(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(archive, content): a record for each row. Of equal payloads of at least min_bytes, that with the largest id is a response and the others revisit it."""
+def write(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", hot: int = C.HOT_ROWS) -> DataFrame:
+    """(archive, content): a record for each row. Of equal payloads of at least min_bytes, that with the largest id is a response and the others revisit it.
+
+    A payload that more than hot rows have (an empty page, an error page) finds its response in shares.
+    """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
-    latest = keyed.groupBy("digest", "n").agg(F.max("id").alias("latest"), F.min("id").alias("first")).filter("first < latest")
-    revisits = keyed.join(latest, ["digest", "n"]).filter("id < latest").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "latest").distinct()
+    found = keyed.groupBy("digest", "n").agg(F.max("id").alias("latest"), F.min("id").alias("first"), F.count("*").alias("freq")).filter("first < latest")
+    latest = C.written(found.drop("first"), "latest")
+    revisits = C.joined_in_shares(keyed, latest, ["digest", "n"], "freq", ["id"], hot).filter("id < latest").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "latest").distinct()
     told = rows.withColumn("digest", F.sha1("payload")).join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").select("id", "url", "payload", "latest")
     schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
@@ -231,9 +235,9 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     return archives.select(name, "content").mapInArrow(unpack, f"archive string, {types}")
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, hot: int = C.HOT_ROWS) -> DataFrame:
     """Writes the archives to the shared folder, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to. A damaged record stops the query."""
-    kept = C.written(write(pages, min_bytes), "archives")
+    kept = C.written(write(pages, min_bytes, hot=hot), "archives")
     found = read(kept, with_payload=False)
     schema = pa.schema([("id", pa.int64()), ("refers", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string())])
 
