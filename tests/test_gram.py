@@ -69,3 +69,18 @@ def test_plan_has_no_pivot_and_no_self_join(panel):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "instrument string, datetime string, value double")
     assert gram.sample_covariance(none).collect() == [] and gram.covariance(none, "fill").collect() == []
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_batches_that_end_inside_a_date(spark, panel, rows):
+    """A batch may hold nothing but more rows of the date before."""
+    frame, wide = panel
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = {(r.a, r.b): r.n for r in gram.sample_covariance(frame, 8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    known = wide.notna().astype(int)
+    n = known.T @ known
+    assert got == {(a, b): n.loc[a, b] for a in wide.columns for b in wide.columns if a <= b and n.loc[a, b]}

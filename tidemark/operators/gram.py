@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.working import cut
+
 #: Series in a column block, dates in a piece.
 BLOCK, PIECE = 256, 256
 #: Dates of a share, on average: shares grow in number with the calendar.
@@ -55,7 +57,9 @@ def _partial(block: int):
 
     def feed(c):
         n = len(c["bi"])
-        groups = np.flatnonzero(np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("bi", "bj", "share")], axis=0)])) if n else []
+        if not n:  # a batch that only goes on with the date before
+            return
+        groups = np.flatnonzero(np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("bi", "bj", "share")], axis=0)]))
         for a, b in zip(groups, [*groups[1:], n], strict=True):
             key = tuple(int(c[k][a]) for k in ("bi", "bj", "share"))
             if key != state["key"]:
@@ -107,35 +111,35 @@ def _whole(block: int, series: int):
 
 
 def pair_sums(values: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, n, xy, sx, sy, ma, mb) for a <= b of values (instrument, datetime, value): common dates, sums over them of products and of each value less its series' mean, and these means."""
+    """(a, b, n, xy, sx, sy, ma, mb, na, nb, da, db) for a <= b of values (instrument, datetime, value): common dates, sums over them of products and of each value less its series' mean; of each series
+    the mean, number and deviation of all values. The values are written once, as they are read three times and may differ in the last digit when worked out anew."""
     spark = values.sparkSession
-    known = values.filter(F.col("value").isNotNull()).select("instrument", "datetime", F.col("value").cast("double").alias("value"))
-    means = known.groupBy("instrument").agg(F.avg("value").alias("mean"))
-    codes = means.select("instrument", "mean", (F.row_number().over(Window.orderBy("instrument")) - 1).cast("long").alias("code"))  # over the list of names
-    found = means.agg(F.count(F.lit(1))).first()[0]
+    known = cut(values.filter(F.col("value").isNotNull()).select("instrument", "datetime", F.col("value").cast("double").alias("value")))
+    means = known.groupBy("instrument").agg(F.avg("value").alias("mean"), F.count("value").alias("count"), F.stddev_samp("value").alias("std"))
+    codes = cut(means.select("instrument", "mean", "count", "std", (F.row_number().over(Window.orderBy("instrument")) - 1).cast("long").alias("code")))  # over the list of names
+    found = codes.count()
     blocks, n = max(1, -(-found // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = max(1, min(n, known.agg(F.approx_count_distinct("datetime")).first()[0] // SHARE + n // (blocks * (blocks + 1) // 2)))
-    small = F.broadcast(codes) if found <= SMALL else codes
+    names = codes.select("instrument", "mean", "code")
+    small = F.broadcast(names) if found <= SMALL else names
     own = F.floor(F.col("code") / block).cast("int")
     rows = known.join(small, "instrument").select(own.alias("own"), (F.col("code") % block).cast("int").alias("place"), F.xxhash64("datetime").alias("date"), (F.col("value") - F.col("mean")).alias("value"))
     sent = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     sent = sent.select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.pmod("date", F.lit(shares)).cast("int").alias("share"), "date", F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))).alias("side"), "place", "value")
     parts = sent.repartition(n, "bi", "bj", "share").sortWithinPartitions("bi", "bj", "share", "date").mapInArrow(_partial(block), PARTS)
     sums = parts.repartition(n, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_whole(block, found), PAIRS)
-    for k, (c, name, mean) in enumerate((("x", "a", "ma"), ("y", "b", "mb"))):
-        side = codes.select(F.col("code").alias(c), F.col("instrument").alias(name), F.col("mean").alias(mean))
+    for c, name in (("x", "a"), ("y", "b")):
+        side = codes.select(F.col("code").alias(c), F.col("instrument").alias(name), F.col("mean").alias(f"m{name}"), F.col("count").alias(f"n{name}"), F.col("std").alias(f"d{name}"))
         sums = sums.join(F.broadcast(side) if found <= SMALL else side, c)
-    return sums.select("a", "b", "n", "xy", "sx", "sy", "ma", "mb")
+    return sums.select("a", "b", "n", "xy", "sx", "sy", "ma", "mb", "na", "nb", "da", "db")
 
 
 def sample_covariance(values: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, n, cov, corr) for a <= b over the n dates that both have, n - 1 below, NULL for one; corr divides by the deviations of each series over all of its dates. Pairs without a common date have no row."""
     p = pair_sums(values, block).filter("n > 0")
     cov = F.when(F.col("n") > 1, (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1))
-    p = p.select("a", "b", F.col("n").cast("long").alias("n"), cov.alias("cov"))
-    own = p.filter("a = b").select(F.col("a").alias("s"), F.sqrt("cov").alias("std"))
-    both = p.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-    return both.select("a", "b", "n", "cov", F.try_divide("cov", F.col("sa") * F.col("sb")).alias("corr"))
+    p = p.select("a", "b", F.col("n").cast("long").alias("n"), cov.alias("cov"), "da", "db")
+    return p.select("a", "b", "n", "cov", F.try_divide("cov", F.col("da") * F.col("db")).alias("corr"))
 
 
 def covariance(values: DataFrame, missing: str = "mask", centred: bool = False, block: int = BLOCK) -> DataFrame:
@@ -151,10 +155,9 @@ def covariance(values: DataFrame, missing: str = "mask", centred: bool = False,
         p = p.filter("n > 0")
     if missing == "fill":
         t = F.lit(values.select("datetime").distinct().count()).cast("double")
-        known = p.filter("a = b").select(F.col("a").alias("s"), (F.col("n") * F.col("ma") / t).alias("level"))  # means with zeros filled in
+        level = F.col("na") * F.col("ma") / t * (F.col("nb") * F.col("mb") / t)  # product of the means with zeros filled in
         raw = F.col("xy") + F.col("ma") * F.col("sy") + F.col("mb") * F.col("sx") + F.col("n") * F.col("ma") * F.col("mb")
-        out = p.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b")
-        return out.select("a", "b", (raw / t - (F.lit(0.0) if centred else F.col("la") * F.col("lb"))).alias("cov"))
+        return p.select("a", "b", (raw / t - (F.lit(0.0) if centred else level)).alias("cov"))
     total = F.col("xy")
     if centred:
         total = total + F.col("ma") * F.col("sy") + F.col("mb") * F.col("sx") + F.col("n") * F.col("ma") * F.col("mb")
