@@ -22,7 +22,7 @@ BINS, FEW, SMALL = 2048, 256, 200_000
 def order_statistics(rows: DataFrame, keys: Sequence[str], ranks: DataFrame, bins: int = BINS, few: int = FEW, max_rounds: int = 100) -> DataFrame:
     """(keys, rank, value): the value of each 0-based rank that ranks (keys, rank) asks of the group's values in order; rows: (keys, value), no missing ones. Null keys are groups too.
 
-    Rows are read once for the ends, once a round and once for the lists: write them first where they are costly.
+    Rows are read once for the ends, once a round and once for the lists, and must be the same each time: write them first (``quantiles`` does).
     """
     named = {k: f"_k{i}" for i, k in enumerate(keys)}
     plain = rows.select(*(F.col(k).alias(v) for k, v in named.items()), F.col("value").cast("double").alias("value"))
@@ -80,8 +80,14 @@ def _narrowed(plain: DataFrame, brackets: DataFrame, named: dict[str, str], bins
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], bins: int = BINS, few: int = FEW) -> DataFrame:
-    """(keys, p, value) for each group of rows (keys, value) and each probability, linear between ranks; missing values don't count, a group without values has no row."""
-    known = rows.filter(F.col("value").isNotNull()).select(*keys, "value")
+    """(keys, p, value) for each group of rows (keys, value) and each probability, linear between ranks; missing values don't count, a group without values has no row.
+
+    The rows are written once: they are read some ten times, and a sum that comes out another last digit when worked out anew falls out of the bracket that it made.
+    """
+    return _of_stored(cut(rows.filter(F.col("value").isNotNull()).select(*keys, "value")), keys, probabilities, bins, few)
+
+
+def _of_stored(known: DataFrame, keys: Sequence[str], probabilities: Sequence[float], bins: int = BINS, few: int = FEW) -> DataFrame:
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     at = F.col("p") * (F.col("n") - 1)
     asked = sizes.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in probabilities)))).select(*keys, "p", F.floor(at).alias("low"), F.ceil(at).alias("high"), (at - F.floor(at)).alias("part"))
@@ -100,14 +106,14 @@ def quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
 def median_and_deviation(rows: DataFrame, keys: Sequence[str], **more) -> DataFrame:
     """(keys, median, mad): the median and the median distance from it, of each group of rows (keys, value). The rows are written once, as they are read some ten times."""
-    rows = cut(rows.select(*keys, "value"))
-    middle = cut(quantiles(rows, keys, [0.5], **more).select(*(F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)), F.col("value").alias("median")))
+    rows = cut(rows.filter(F.col("value").isNotNull()).select(*keys, "value"))
+    middle = cut(_of_stored(rows, keys, [0.5], **more).select(*(F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)), F.col("value").alias("median")))
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_m{i}"))
     small = F.broadcast(middle) if middle.count() <= SMALL else middle
     away = rows.join(small, cond).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
-    mad = quantiles(cut(away), keys, [0.5], **more).select(*keys, F.col("value").alias("mad"))
+    mad = _of_stored(cut(away), keys, [0.5], **more).select(*keys, F.col("value").alias("mad"))
     return mad.join(middle, cond).select(*keys, "median", "mad")
 
 
@@ -116,7 +122,7 @@ def percentile_bins(values: DataFrame, benchmark: DataFrame, n: int, **more) ->
 
     A bin starts at its lower quantile; the lowest and the highest are open. Missing values and dates without a benchmark have no bin.
     """
-    edges = quantiles(cut(benchmark.select("datetime", "value")), ["datetime"], [k / n for k in range(1, n)], **more)
+    edges = quantiles(benchmark, ["datetime"], [k / n for k in range(1, n)], **more)
     edges = cut(edges.groupBy("datetime").agg(F.array_sort(F.collect_list("value")).alias("edges")))
     small = F.broadcast(edges) if edges.count() <= SMALL else edges
     reached = F.size(F.filter("edges", lambda e: e <= F.col("value")))
