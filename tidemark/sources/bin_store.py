@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -134,6 +135,11 @@ def merged(start: int, stored: np.ndarray, places: np.ndarray, values: np.ndarra
     return first, out
 
 
+def _changes(names: pa.Array) -> np.ndarray:
+    """Whether each name but the first is another than the one before."""
+    return pc.fill_null(pc.not_equal(names[1:], names[:-1]), True).to_numpy(zero_copy_only=False)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
@@ -165,14 +171,16 @@ class Writer(DataSourceArrowWriter):
 
         for batch in iterator:
             c = [batch.column(k) for k in range(4)]
-            names = list(zip(c[0].to_pylist(), c[1].to_pylist(), strict=True))
+            if not batch.num_rows:
+                continue
             at, x = c[2].to_numpy(zero_copy_only=False), c[3].to_numpy(zero_copy_only=False).astype("<f4")
-            edge = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
-            for a, b in zip(edge, [*edge[1:], len(names)], strict=True):
-                if names[a] != key:
+            edge = np.concatenate([[True], _changes(c[0]) | _changes(c[1])]).nonzero()[0].tolist()
+            for a, b in zip(edge, [*edge[1:], batch.num_rows], strict=True):
+                name = (c[0][a].as_py(), c[1][a].as_py())
+                if name != key:
                     if key is not None:
                         put()
-                    key, places, values = names[a], [], []
+                    key, places, values = name, [], []
                 places.append(at[a:b])
                 values.append(x[a:b])
         if key is not None:
