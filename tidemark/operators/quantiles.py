@@ -118,7 +118,7 @@ def median_and_deviation(rows: DataFrame, keys: Sequence[str], **more) -> DataFr
 
 
 def percentile_bins(values: DataFrame, benchmark: DataFrame, n: int, **more) -> DataFrame:
-    """(instrument, datetime, value, bin) of values (instrument, datetime, value): the bin of each date's benchmark (datetime, value) quantiles that the value falls into, 1 holding the largest.
+    """values (instrument, datetime, value, any more) with bin: the bin of each date's benchmark (datetime, value) quantiles that the value falls into, 1 holding the largest.
 
     A bin starts at its lower quantile; the lowest and the highest are open. Missing values and dates without a benchmark have no bin.
     """
@@ -126,4 +126,4 @@ def percentile_bins(values: DataFrame, benchmark: DataFrame, n: int, **more) ->
     edges = cut(edges.groupBy("datetime").agg(F.array_sort(F.collect_list("value")).alias("edges")))
     small = F.broadcast(edges) if edges.count() <= SMALL else edges
     reached = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    return values.join(small, "datetime", "left").select("instrument", "datetime", "value", F.when(F.col("value").isNotNull() & F.col("edges").isNotNull(), (n - reached).cast("int")).alias("bin"))
+    return values.join(small, "datetime", "left").select(*(F.col(f"`{c}`") for c in values.columns), F.when(F.col("value").isNotNull() & F.col("edges").isNotNull(), (n - reached).cast("int")).alias("bin"))

@@ -434,20 +434,20 @@ FACTS = "fa AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(l_shipdate
 @query("pit_latest", f"WITH {FACTS}, ba AS (SELECT DISTINCT instrument, make_date(year(pub_date), month(pub_date), 1) AS datetime FROM fa), v AS (SELECT b.instrument, b.datetime, f.period, arg_max(f.value, f.pub_date) AS value FROM ba b LEFT JOIN fa f ON f.instrument = b.instrument AND f.pub_date <= b.datetime GROUP BY 1, 2, 3) SELECT instrument, datetime, round(arg_max(value, period), 6) AS value FROM v GROUP BY 1, 2")
 def pit_latest(spark, sf):
     facts, bars = dated_facts(spark, sf)
-    return rounded(features(Panel(panels.dense(bars.withColumn("one", F.lit(1.0))).filter("one is not null"), pit=facts), {"value": "P($$price_a)"}))
+    return rounded(features(Panel(panels.placed(bars, panels.calendar_of(bars.select("datetime"))), pit=facts), {"value": "P($$price_a)"}))
 
 
 def dated_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Facts about suppliers by year, dated by shipping; and a bar on the first of each month with facts."""
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
     facts = line.groupBy(F.col("l_suppkey").cast("string").alias("instrument"), F.to_date("l_shipdate").alias("pub_date"), (F.year("l_shipdate") - F.col("l_linenumber") % 2).alias("period")).agg(F.max("l_extendedprice").alias("value")).withColumn("field", F.lit("price_a"))
-    return facts, facts.select("instrument", F.trunc("pub_date", "month").alias("datetime")).distinct()
+    return facts, line.select(F.col("l_suppkey").cast("string").alias("instrument"), F.trunc("l_shipdate", "month").alias("datetime")).distinct()
 
 
 @query("pit_fixed_period", f"WITH {FACTS}, ba AS (SELECT DISTINCT instrument, make_date(year(pub_date), month(pub_date), 1) AS datetime FROM fa) SELECT b.instrument, b.datetime, round(arg_max(f.value, f.pub_date), 6) AS value FROM ba b LEFT JOIN fa f ON f.instrument = b.instrument AND f.pub_date <= b.datetime AND f.period = 1995 GROUP BY 1, 2")
 def pit_fixed_period(spark, sf):
     facts, bars = dated_facts(spark, sf)
-    return rounded(features(Panel(panels.dense(bars.withColumn("one", F.lit(1.0))).filter("one is not null"), pit=facts), {"value": "PRef($$price_a, 1995)"}))
+    return rounded(features(Panel(panels.placed(bars, panels.calendar_of(bars.select("datetime"))), pit=facts), {"value": "PRef($$price_a, 1995)"}))
 
 
 @query("bars_streaming", f"WITH {TYPE} SELECT instrument, datetime, round(open, 6) AS open, round(close, 6) AS close, high, low, volume, round(vwap, 6) AS vwap FROM raw WHERE datetime < (SELECT max(CAST(ts AS TIMESTAMP) - INTERVAL 1 HOUR) FROM events)::DATE")
@@ -578,11 +578,19 @@ FACTORS = {
 }
 
 
-def suppliers(spark: SparkSession, sf: str) -> Panel:
+def supplied(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, calendar) of the suppliers: only the days with sales, with cal_idx. Rows are dealt by instrument once, for the bars and for what windows over them need."""
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    calendar = working.cut(panels.calendar_of(line.select(F.to_date("l_shipdate").alias("datetime"))))
+    rows = line.select(F.col("l_suppkey").cast("string").alias("instrument"), F.to_date("l_shipdate").alias("datetime"), "l_extendedprice", "l_quantity").repartition("instrument")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    bars = line.groupBy(F.col("l_suppkey").cast("string").alias("instrument"), F.to_date("l_shipdate").alias("datetime")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
-    return panels.panel(bars)
+    bars = rows.groupBy("instrument", "datetime").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
+    return panels.placed(panels.nan_to_null(bars), calendar), calendar
+
+
+def suppliers(spark: SparkSession, sf: str) -> Panel:
+    bars, calendar = supplied(spark, sf)
+    return Panel(panels.spread(bars, calendar))
 
 
 @query("supply_factors", f"WITH {SUPPLY} SELECT instrument, datetime, {', '.join(f'round({s} + {OFF_TIES}, 4) AS {n}' for n, (_, s) in FACTORS.items())} FROM p WINDOW s AS (PARTITION BY instrument ORDER BY datetime), {', '.join(f'w{n} AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)' for n in (5, 20, 60))}")

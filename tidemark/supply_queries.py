@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import analytics, execution, feature_sets, gram, holdings, intraday, loaders, portfolio, processors, quantiles, resample
 from tidemark.plans import chunked
 from tidemark.plans.compiler import Panel, features
-from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, suppliers, users
+from tidemark.queries import OFF_TIES, SCORES, SUPPLY, USER, query, rounded, scored, supplied, suppliers, users
 from tidemark.sources import bin_store, feature_store, panels, sessions, working
 from tidemark.streaming import features as stateful
 
@@ -56,7 +56,7 @@ def all_ic(spark, sf):
 
 @query("supply_quantiles", f"WITH {SUPPLY}, q AS (SELECT instrument, quantile_cont(close, [0.05, 0.5, 0.95]) AS q FROM p WHERE close IS NOT NULL GROUP BY 1) SELECT instrument, p, round(q[k] + {OFF_TIES}, 4) AS value FROM q, (VALUES (1, 0.05::DOUBLE), (2, 0.5::DOUBLE), (3, 0.95::DOUBLE)) AS t(k, p)")
 def supply_quantiles(spark, sf):
-    bars = suppliers(spark, sf).bars.select("instrument", F.col("close").alias("value"))
+    bars = supplied(spark, sf)[0].select("instrument", F.col("close").alias("value"))
     return quantiles.quantiles(bars, ["instrument"], [0.05, 0.5, 0.95]).withColumn("value", F.round(F.col("value") + OFF_TIES, 4))
 
 
@@ -64,9 +64,9 @@ _BINS = f"{SUPPLY}, b AS (SELECT datetime, quantile_cont(close, [0.2, 0.4, 0.6,
 
 
 def binned(spark, sf) -> DataFrame:
-    bars = suppliers(spark, sf).bars.filter("close is not null").select("instrument", "datetime", F.col("close").alias("value"), "volume")
-    out = quantiles.percentile_bins(bars.select("instrument", "datetime", "value"), bars.filter("instrument like '%1%'").select("datetime", "value"), 5)
-    return out.join(bars.select("instrument", "datetime", "volume"), ["instrument", "datetime"])
+    """Written once: an edge that is itself a close must meet the same close."""
+    bars = working.cut(supplied(spark, sf)[0].filter("close is not null").select("instrument", "datetime", F.col("close").alias("value"), "volume"))
+    return quantiles.percentile_bins(bars, bars.filter("instrument like '%1%'").select("datetime", "value"), 5)
 
 
 @query("percentile_bins", f"WITH {_BINS} SELECT instrument, datetime, bin FROM g")
@@ -326,15 +326,15 @@ sk AS (SELECT *, round(1 - log10(r) / 2) AS k FROM ra)"""
 VENDOR_STEPS = "e AS (SELECT instrument, i, 0::DOUBLE AS e FROM sk WHERE i = 1 UNION ALL SELECT sk.instrument, sk.i, CASE WHEN sk.close IS NULL THEN e.e WHEN k >= 0 AND r * pow(100, k) - 1 BETWEEN 89 AND 111 THEN greatest(0, e.e + 1 - k) ELSE 0 END FROM e JOIN sk ON sk.instrument = e.instrument AND sk.i = e.i + 1)"
 
 
-def vendor(spark, sf) -> DataFrame:
-    bars = suppliers(spark, sf).bars
+def vendor(bars: DataFrame) -> DataFrame:
     times = F.when((F.col("cal_idx") % 41).between(7, 10), 100).otherwise(1)
     return bars.select("instrument", "datetime", (F.col("close") * times).alias("close"), (F.col("high") * times).alias("high"), F.when(F.col("cal_idx") % 13 == 5, 0.0).otherwise(F.col("volume")).alias("volume"))
 
 
 @query("vendor_normalised", f"WITH RECURSIVE {VENDOR.strip()}, {VENDOR_STEPS}, f AS (SELECT sk.instrument, datetime, close / pow(100, e) AS close, high / pow(100, e) AS high, volume FROM sk JOIN e USING (instrument, i)), kn AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY datetime) AS known FROM f) SELECT instrument, datetime, round(close + {OFF_TIES}, 4) AS close, round(high + {OFF_TIES}, 4) AS high, volume, round(known / lag(known) OVER (PARTITION BY instrument ORDER BY datetime) - 1 + {OFF_TIES}, 6) AS change FROM kn")
 def vendor_normalised(spark, sf):
-    out = panels.normalised(vendor(spark, sf))
+    bars, calendar = supplied(spark, sf)
+    out = panels.normalised(vendor(bars), calendar=calendar)
     return out.select("instrument", "datetime", F.round(F.col("close") + OFF_TIES, 4).alias("close"), F.round(F.col("high") + OFF_TIES, 4).alias("high"), "volume", F.round(F.col("change") + OFF_TIES, 6).alias("change"))
 
 
@@ -364,8 +364,8 @@ def updated_store(spark, sf):
 
 @query("bin_round_trip", f"WITH {SUPPLY}, f AS (SELECT instrument, 'close' AS field, cal_idx, CAST(CAST(close AS FLOAT) AS DOUBLE) AS value FROM p UNION ALL SELECT instrument, 'volume', cal_idx, volume FROM p) SELECT instrument, field, cal_idx, round(value + {OFF_TIES}, 2) AS value FROM f WHERE cal_idx BETWEEN 100 AND 900 AND (field = 'volume' OR instrument LIKE '%1')")
 def bin_round_trip(spark, sf):
-    """Written in two steps, the second behind the first; read by field and range."""
-    p, path = suppliers(spark, sf).bars, working.fresh_path(spark, "bins")
+    """Written in two steps, the second behind the first; read by field and range. Only days with sales are written: the files themselves fill the gaps between them."""
+    (p, _), path = supplied(spark, sf), working.fresh_path(spark, "bins")
     rows = p.select("instrument", "cal_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in ("close", "volume")))).alias("x")).select("instrument", "x.field", "cal_idx", "x.value")
     bin_store.save(rows.filter("cal_idx < 500"), path)
     bin_store.save(rows.filter("cal_idx >= 500"), path)
