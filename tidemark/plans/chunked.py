@@ -25,6 +25,8 @@ from tidemark.plans.expr import Call, Literal, Node
 
 #: Bars of a chunk: at least this, and HALO times the reach, so that few rows are copied.
 CHUNK, HALO = 2048, 8
+#: Cells (rows times columns, the made ones too) that a task gathers before it works out a layer; whole chunks stay together.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -83,13 +85,20 @@ def _layer(instrument: str, index: str, made: list[str], calls: list[tuple]):
             table = table.append_column(name, pa.array(values, from_pandas=True))
         yield from table.combine_chunks().to_batches(max_chunksize=1 << 16)
 
+    def pieces(batches):
+        for batch in batches:
+            step = least(batch)
+            for a in range(0, batch.num_rows, step):
+                yield batch.slice(a, step)
+
+    def least(batch):
+        return max(1, CELLS // (batch.num_columns + len(made)))
+
     def run(batches):
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             held.append(batch)
-            if sum(b.num_rows for b in held) < 1 << 15:
+            if sum(b.num_rows for b in held) < least(batch):
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             starts = _starts(table, instrument)
