@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.working import cut
+
 HOLD, BUY, SELL = 0, 1, -1
+#: Rows of a task that ranks (more where one date has more), rows of a table that is broadcast.
+TASK_ROWS, SMALL = 1_000_000, 200_000
 
 
 def valued(amounts: DataFrame, prices: DataFrame) -> DataFrame:
@@ -60,9 +64,26 @@ def attribution(states: DataFrame, labels: DataFrame, bench: DataFrame) -> DataF
 
 def label_ranks(states: DataFrame, labels: DataFrame) -> DataFrame:
     """states with label, rank_ratio (rank of the label in the holder's date from the highest on, ties averaged, in percent of its rows), rank_label_mean (its mean over the rows with the same status) and excess_return (label less
-    the date's mean). Rows without a label have NULLs but count as rows of the date."""
-    rows = states.join(labels, ["instrument", "datetime"], "left")
-    date, status = Window.partitionBy("holder", "datetime"), Window.partitionBy("holder", "datetime", "status")
-    place = F.rank().over(date.orderBy(F.col("label").desc_nulls_last())) + (F.count("*").over(Window.partitionBy("holder", "datetime", "label")) - 1) / 2
-    rows = rows.withColumn("rank_ratio", F.when(F.col("label").isNotNull(), place / F.count("*").over(date) * 100))
-    return rows.select("*", F.avg("rank_ratio").over(status).alias("rank_label_mean"), (F.col("label") - F.avg("label").over(date)).alias("excess_return"))
+        the date's mean). Rows without a label have NULLs but count as rows of the date.
+
+    One sort ranks the rows, in tasks of some TASK_ROWS; counts and means are small tables that are joined on, not windows that hold a date's rows again."""
+    rows = cut(states.join(labels, ["instrument", "datetime"], "left"))
+    date = ["holder", "datetime"]
+    found = rows.count()
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // TASK_ROWS))
+    best = Window.partitionBy(*date).orderBy(F.col("label").desc_nulls_last())
+    place = (F.rank().over(best) + F.count(F.lit(1)).over(best.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2  # between the first and the last of the ties
+    sizes = cut(rows.groupBy(*date).agg(F.count(F.lit(1)).alias("_size"), F.avg("label").alias("_mean")))
+    ranked = cut(_joined(rows.repartition(n, *date).withColumn("_place", place), sizes, date).withColumn("rank_ratio", F.when(F.col("label").isNotNull(), F.col("_place") / F.col("_size") * 100)))
+    means = cut(ranked.groupBy(*date, "status").agg(F.avg("rank_ratio").alias("rank_label_mean")))
+    out = _joined(ranked, means, [*date, "status"])
+    return out.select(*rows.columns, "rank_ratio", "rank_label_mean", (F.col("label") - F.col("_mean")).alias("excess_return"))
+
+
+def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a stored table's row of the same keys, NULL keys too."""
+    named = small.select(*(F.col(k).alias(f"_j_{k}") for k in keys), *(c for c in small.columns if c not in keys))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+    return rows.join(F.broadcast(named) if small.count() <= SMALL else named, cond).drop(*(f"_j_{k}" for k in keys))
