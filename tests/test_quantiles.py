@@ -129,3 +129,41 @@ def test_values_that_come_out_otherwise_when_read_again(spark):
     frame = rows.select("g", shaken.asNondeterministic()("v").alias("value"))
     got = {(r.g, r.p): r.value for r in quantiles.quantiles(frame, ["g"], [0, 0.3, 0.5, 1], bins=8, few=2).collect()}
     assert got == {(g, p): pytest.approx(np.quantile(np.arange(g + 1, 3001, 3), p), rel=1e-8) for g in range(3) for p in (0, 0.3, 0.5, 1)}
+
+
+def test_section_makes_its_rows_once(spark):
+    """Two turns, medians and distances read what was written, not what made it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(400).select(F.col("id").cast("string").alias("instrument"), F.lit("2024-01-01").alias("datetime"), (F.col("id") / 100).alias("v"))
+    frame = rows.select("instrument", "datetime", counted.asNondeterministic()("v").alias("KLOW2"))
+    got = processors.Section().apply(frame, {"f": ["KLOW2"]}).collect()
+    assert len(got) == 400 and made.value == 400
+
+
+def test_later_rounds_read_few_rows(spark, monkeypatch):
+    """After the first look only the rows of the bucket that holds a rank are read."""
+    read, keep = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda plain, *a: (read.append(plain.count()), keep(plain, *a))[1])
+    frame = spark.range(100_000).select((F.col("id") % 2).alias("g"), F.pow(F.rand(5), F.lit(2.0)).alias("value")).persist()
+    got = {r.g: (r.median, r.mad) for r in quantiles.median_and_deviation(frame, ["g"]).collect()}
+    for g in (0, 1):
+        x = np.array([r.value for r in frame.filter(F.col("g") == g).collect()])
+        assert got[g] == pytest.approx((np.median(x), np.median(np.abs(x - np.median(x)))))
+    assert read and max(read) < 10_000
+
+
+def test_every_rank_of_far_and_tiny_values(spark):
+    """Buckets are in the order of the values: denormal ones, zeros of both signs, infinities, neighbours in the last digit."""
+    near = [float(x) for x in np.nextafter(np.exp(np.arange(-3, 4) / quantiles.STEPS), [[-9.0], [0.0], [9.0]]).ravel()]
+    sizes = [5e-324, 1e-310, 2.2e-308, 1e-9, 1.0, 1.5, 1.7e308, float("inf"), *near]
+    values = [*sizes, *(-x for x in sizes), 0.0, -0.0] * 2
+    frame = spark.createDataFrame([(1, v) for v in values], "g int, value double").repartition(3)
+    ranks = spark.createDataFrame([(1, k) for k in range(len(values))], "g int, rank long")
+    got = {r["rank"]: r.value for r in quantiles.order_statistics(frame, ["g"], ranks, bins=4, few=1).collect()}
+    assert [got[k] for k in range(len(values))] == sorted(values)

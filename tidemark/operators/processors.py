@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import SMALL, median_and_deviation
-from tidemark.sources.working import cut
+from tidemark.sources.working import cut, written
 
 EPS = 1e-12
 #: Fixed value: makes a median absolute deviation comparable with a standard deviation.
@@ -123,9 +123,9 @@ class FillWithDateMean(Processor):
 
 
 def stacked(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """(keys, column, value) of the known values of the named columns."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in names))
-    return df.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.column", "x.value").filter(F.col("value").isNotNull())
+    """(keys, column, value) of the known values of the named columns; column: the name's place in names."""
+    cells = F.array(*(F.col(f"`{c}`").cast("double") for c in names))
+    return df.select(*keys, F.posexplode(cells).alias("column", "value")).filter(F.col("value").isNotNull())
 
 
 @dataclass
@@ -175,7 +175,7 @@ class RobustZScore(Fitted):
 
     def fit(self, df, groups):
         names = self.names(groups)
-        found = {r["column"]: (r["median"], r["mad"]) for r in median_and_deviation(stacked(self.slice(df), [], names), ["column"]).collect()}  # a row for each column
+        found = {names[r["column"]]: (r["median"], r["mad"]) for r in median_and_deviation(stacked(self.slice(df), [], names), ["column"]).collect()}  # a row for each column
         self.numbers = {c: found.get(c, (None, None)) for c in names}
         return self
 
@@ -232,7 +232,8 @@ class Section(Processor):
     """Normalises the technical feature set across each date: columns are shaped by SECTIONS, then measured by median and median absolute deviation; labels by mean and sample deviation.
 
     With ``shrink`` values beyond 3 are drawn in to 3 .. 3.5 by their share of the date's largest, likewise below -3; with ``clip`` they are cut; with ``fill`` missing ones become 0. Where the shape isn't defined (roots of
-    negative numbers, logarithms of 0 and less) a value is missing. Statistics of all columns come from one stack of (date, column, value) rows, by partial counts, and go back as one row a date.
+    negative numbers, logarithms of 0 and less) a value is missing. Statistics of all columns come from one stack of (date, column, value) rows, by partial counts, and go back as one row a date. The shaped
+    rows are written once a turn: statistics, values and the next turn start from there, so what made the rows runs once.
     """
 
     shrink: bool = True
@@ -249,17 +250,15 @@ class Section(Processor):
         return self._labels(df, [c for c in names if c.startswith("LABEL")])
 
     def _normalised(self, df: DataFrame, shapes: dict[str, str]) -> DataFrame:
-        shaped = df.select(*(SHAPES[shapes[c]](F.col(f"`{c}`").cast("double")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
-        cells = cut(stacked(shaped, ["datetime"], list(shapes)))
-        ends = cells.groupBy("datetime", "column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        found = ends.join(median_and_deviation(cells, ["datetime", "column"]), ["datetime", "column"])
-        entry = F.struct("column", F.struct("median", (F.col("mad") * MAD_SCALE).alias("scale"), "low", "high").alias("s"))
-        stats = cut(found.groupBy(F.col("datetime").alias("_d")).agg(F.map_from_entries(F.collect_list(entry)).alias("_s")))  # as many as there are columns
+        shaped = written(df.select(*(SHAPES[shapes[c]](F.col(f"`{c}`").cast("double")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns)))
+        place = {c: i for i, c in enumerate(shapes)}
+        found = median_and_deviation(stacked(shaped, ["datetime"], list(shapes)), ["datetime", "column"], stored=True)
+        entry = F.struct("median", (F.col("mad") * MAD_SCALE).alias("scale"), "low", "high")
+        stats = cut(found.groupBy(F.col("datetime").alias("_d")).agg(*(F.max(F.when(F.col("column") == i, entry)).alias(f"_s{i}") for i in place.values())))
         rows = shaped.join(F.broadcast(stats) if stats.count() <= SMALL // max(1, len(shapes)) else stats, F.col("datetime") == F.col("_d"), "left")
-        return rows.select(*(self._measured(c).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
+        return rows.select(*(self._measured(c, F.col(f"_s{place[c]}")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
 
-    def _measured(self, name: str) -> Column:
-        s = F.col("_s")[name]
+    def _measured(self, name: str, s: Column) -> Column:
         measured = lambda x: F.try_divide(x - s["median"], s["scale"])
         z = measured(F.col(f"`{name}`"))
         if self.clip:
