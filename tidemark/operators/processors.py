@@ -252,20 +252,20 @@ class Section(Processor):
     def _normalised(self, df: DataFrame, shapes: dict[str, str]) -> DataFrame:
         shaped = written(df.select(*(SHAPES[shapes[c]](F.col(f"`{c}`").cast("double")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns)))
         place = {c: i for i, c in enumerate(shapes)}
-        found = median_and_deviation(stacked(shaped, ["datetime"], list(shapes)), ["datetime", "column"], stored=True)
-        entry = F.struct("median", (F.col("mad") * MAD_SCALE).alias("scale"), "low", "high")
+        found = median_and_deviation(stacked(shaped, ["datetime"], list(shapes)), ["datetime", "column"], stored=True).withColumn("scale", F.col("mad") * MAD_SCALE)
+        entry = F.struct("median", "scale", *(F.try_divide(F.col(x) - F.col("median"), F.col("scale")).alias(x) for x in ("low", "high")))
         stats = cut(found.groupBy(F.col("datetime").alias("_d")).agg(*(F.max(F.when(F.col("column") == i, entry)).alias(f"_s{i}") for i in place.values())))
         rows = shaped.join(F.broadcast(stats) if stats.count() <= SMALL // max(1, len(shapes)) else stats, F.col("datetime") == F.col("_d"), "left")
-        return rows.select(*(self._measured(c, F.col(f"_s{place[c]}")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
+        # two selects: Spark keeps them apart, so a measured value that the second names several times is worked out once
+        measured = rows.select(*(F.try_divide(F.col(f"`{c}`") - F.col(f"_s{place[c]}")["median"], F.col(f"_s{place[c]}")["scale"]).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns), *(f"_s{i}" for i in place.values()))
+        return measured.select(*(self._bounded(F.col(f"`{c}`"), F.col(f"_s{place[c]}")).alias(c) if c in shapes else F.col(f"`{c}`") for c in df.columns))
 
-    def _measured(self, name: str, s: Column) -> Column:
-        measured = lambda x: F.try_divide(x - s["median"], s["scale"])
-        z = measured(F.col(f"`{name}`"))
+    def _bounded(self, z: Column, ends: Column) -> Column:
         if self.clip:
             z = F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)))
         if self.shrink:
-            top, bottom = measured(s["high"]), measured(s["low"])
-            z = F.when(z > 3, 3 + F.try_divide(z - 3, top - 3) * 0.5).when(z < -3, -3 - F.try_divide(z + 3, bottom + 3) * 0.5).otherwise(z)
+            beyond, most = F.abs(z) - 3, F.abs(F.when(z > 0, ends["high"]).otherwise(ends["low"])) - 3  # one branch for both sides: a method that is too long isn't compiled
+            z = F.when(beyond > 0, F.signum(z) * (3 + F.try_divide(beyond, most) * 0.5)).otherwise(z)
         return F.coalesce(z, F.lit(0.0)) if self.fill else z
 
     def _labels(self, df: DataFrame, names: list[str]) -> DataFrame:
