@@ -84,3 +84,41 @@ def test_batches_that_end_inside_a_date(spark, panel, rows):
     known = wide.notna().astype(int)
     n = known.T @ known
     assert got == {(a, b): n.loc[a, b] for a in wide.columns for b in wide.columns if a <= b and n.loc[a, b]}
+
+
+def expected(wide):
+    known = wide.notna().astype(int)
+    n = known.T @ known
+    return {(a, b): n.loc[a, b] for a in wide.columns for b in wide.columns if a <= b}
+
+
+def test_finished_pairs_are_not_exchanged(panel, monkeypatch):
+    """Bands are wider than a block here, and their values are packed before they are sent: one exchange by pairs of bands, of few rows, after which pairs are finished."""
+    frame, wide = panel
+    stored = []
+    keep = gram.cut
+    monkeypatch.setattr(gram, "cut", lambda df: stored.append(keep(df)) or stored[-1])
+    sums = gram.pair_sums(frame, 2)
+    plan = sums._jdf.queryExecution().toString().split("Physical Plan")[-1]
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+    packed = stored[-1]
+    assert packed.select("own").distinct().count() == 4 and packed.count() <= 4 * 5 < wide.notna().to_numpy().sum() / 10
+    got = {(r.a, r.b): r.n for r in sums.collect()}
+    assert got == expected(wide)
+
+
+@pytest.mark.parametrize("gather", [1, 1 << 20])
+@pytest.mark.parametrize("share", [1, 4, 16384])
+def test_uneven_series_and_no_common_share(spark, monkeypatch, share, gather):
+    """One series has nearly all values, so bands stay empty; a and b never have a date together, and still have a row."""
+    monkeypatch.setattr(gram, "SHARE", share)
+    monkeypatch.setattr(gram, "PIECE", 5)
+    monkeypatch.setattr(gram, "GATHER", gather)
+    rows = [("a", 2 * d, 1.0 + d) for d in range(30)] + [("b", 2 * d + 1, 2.0 * d) for d in range(4)] + [("c", 1, 3.0), ("c", 2, 5.0), ("d", 3, 1.0)]
+    frame = spark.createDataFrame(rows, "instrument string, datetime int, value double").repartition(3)
+    wide = pd.DataFrame(rows, columns=["i", "d", "v"]).pivot(index="d", columns="i", values="v")
+    got = {(r.a, r.b): r.n for r in gram.pair_sums(frame, 1).collect()}
+    assert got == expected(wide) and got["a", "b"] == 0
+    fill = wide.fillna(0)
+    expect = {(a, b): float((fill[a] * fill[b]).mean() - fill[a].mean() * fill[b].mean()) for a, b in got}
+    close({(r.a, r.b): r.cov for r in gram.covariance(frame, "fill", block=1).collect()}, expect, len(expect))
