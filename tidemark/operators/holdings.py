@@ -5,13 +5,13 @@ Positions are rows (holder, instrument, datetime, amount, price): what a holder
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.working import cut
+from tidemark.sources.working import cut, written
 
 HOLD, BUY, SELL = 0, 1, -1
-#: Rows of a task that ranks (more where one date has more), rows of a table that is broadcast.
+#: Rows of a task that ranks or finds spells (more where one date or spell has more), rows of a table that is broadcast.
 TASK_ROWS, SMALL = 1_000_000, 200_000
 
 
@@ -32,18 +32,35 @@ def statuses(positions: DataFrame, cash: DataFrame | None = None) -> DataFrame:
     neighbouring numbers. A position that ends on the holder's last date isn't sold.
     """
     value = F.col("amount") * F.col("price")
+    positions = written(positions.select("holder", "instrument", "datetime", "amount", "price"))
     totals = positions.groupBy("holder", "datetime").agg(F.sum(value).alias("_total"))
     if cash is not None:
         totals = totals.join(cash, ["holder", "datetime"], "left").withColumn("_total", F.col("_total") + F.coalesce("cash", F.lit(0.0))).drop("cash")
+    return _spells(positions, totals, {"amount": F.col("amount"), "price": F.col("price"), "weight": F.try_divide(value, F.col("_total"))})
+
+
+def spells(positions: DataFrame) -> DataFrame:
+    """(holder, instrument, datetime, status) of ``statuses``, for stored positions (holder, instrument, datetime): at most two rows for each."""
+    return _spells(positions, positions.select("holder", "datetime").distinct(), {})
+
+
+def _spells(positions: DataFrame, dates: DataFrame, values: dict) -> DataFrame:
+    """Stored positions are read twice, as their dates are counted before: few dates need no exchange of the positions by date."""
     own = Window.partitionBy("holder").orderBy("datetime")  # a row for each date, not for each position
-    dates = totals.select("holder", "datetime", "_total", F.row_number().over(own).alias("_k"), F.lead("datetime").over(own).alias("_next"))
-    rows = positions.join(dates, ["holder", "datetime"]).withColumn("weight", F.try_divide(value, F.col("_total")))
+    dates = cut(dates.select("*", F.row_number().over(own).alias("_k"), F.lead("datetime").over(own).alias("_next")))
+    rows = positions.repartition(tasks(positions.sparkSession, positions.count()), "holder", "instrument")
+    rows = rows.join(F.broadcast(dates) if dates.count() <= SMALL else dates, ["holder", "datetime"])
     spell = Window.partitionBy("holder", "instrument").orderBy("_k")
     before, after = F.lag("_k").over(spell), F.lead("_k").over(spell)
-    rows = rows.select("*", F.when(before == F.col("_k") - 1, HOLD).otherwise(BUY).alias("_status"), (F.coalesce(after > F.col("_k") + 1, F.lit(True)) & F.col("_next").isNotNull()).alias("_ends"))
+    status, ends = F.when(before == F.col("_k") - 1, HOLD).otherwise(BUY).alias("_status"), (F.coalesce(after > F.col("_k") + 1, F.lit(True)) & F.col("_next").isNotNull()).alias("_ends")
+    rows = rows.select("holder", "instrument", "datetime", "_next", *(v.alias(k) for k, v in values.items()), status, ends)
     events = F.array(F.struct(F.col("datetime"), F.col("_status").alias("status")), F.struct(F.col("_next").alias("datetime"), F.lit(SELL).alias("status")))
-    each = rows.select("holder", "instrument", "amount", "price", "weight", F.explode(F.filter(events, lambda e: (e["status"] != SELL) | F.col("_ends"))).alias("e"))
-    return each.select("holder", "instrument", "e.datetime", "amount", "price", "weight", "e.status")
+    each = rows.select("holder", "instrument", *values, F.explode(F.filter(events, lambda e: (e["status"] != SELL) | F.col("_ends"))).alias("e"))
+    return each.select("holder", "instrument", "e.datetime", *values, "e.status")
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
 def attribution(states: DataFrame, labels: DataFrame, bench: DataFrame) -> DataFrame:
@@ -62,21 +79,26 @@ def attribution(states: DataFrame, labels: DataFrame, bench: DataFrame) -> DataF
     return days.select("*", *(F.sum(f"{n}_mean").over(upto).alias(f"cum_{n}") for n in ("hold", "buy", "sell", "buy_minus_sell")))
 
 
-def label_ranks(states: DataFrame, labels: DataFrame) -> DataFrame:
+def label_ranks(states: DataFrame, labels: DataFrame, at_most: int | None = None) -> DataFrame:
     """states with label, rank_ratio (rank of the label in the holder's date from the highest on, ties averaged, in percent of its rows), rank_label_mean (its mean over the rows with the same status) and excess_return (label less
         the date's mean). Rows without a label have NULLs but count as rows of the date.
 
-    One sort ranks the rows, in tasks of some TASK_ROWS; counts and means are small tables that are joined on, not windows that hold a date's rows again."""
-    rows = cut(states.join(labels, ["instrument", "datetime"], "left"))
-    date = ["holder", "datetime"]
-    found = rows.count()
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // TASK_ROWS))
+    One sort ranks the rows, in tasks of some TASK_ROWS; counts and means are small tables that are joined on, not windows that hold a date's rows again. at_most: a bound of the states' rows, where one is known: then
+    they are written once, with their ranks; else they are written and counted before."""
+    spark, date = states.sparkSession, ["holder", "datetime"]
+    if at_most is None:
+        rows = written(states.join(labels, ["instrument", "datetime"], "left"))
+        n = tasks(spark, rows.count())
+    else:
+        n = tasks(spark, at_most)
+        rows = states.repartition(n, "instrument", "datetime").join(labels, ["instrument", "datetime"], "left")
     best = Window.partitionBy(*date).orderBy(F.col("label").desc_nulls_last())
-    place = (F.rank().over(best) + F.count(F.lit(1)).over(best.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2  # between the first and the last of the ties
-    sizes = cut(rows.groupBy(*date).agg(F.count(F.lit(1)).alias("_size"), F.avg("label").alias("_mean")))
-    ranked = cut(_joined(rows.repartition(n, *date).withColumn("_place", place), sizes, date).withColumn("rank_ratio", F.when(F.col("label").isNotNull(), F.col("_place") / F.col("_size") * 100)))
-    means = cut(ranked.groupBy(*date, "status").agg(F.avg("rank_ratio").alias("rank_label_mean")))
-    out = _joined(ranked, means, [*date, "status"])
+    ends = F.rank().over(best) + F.count(F.lit(1)).over(best.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # the first and the last of the ties
+    ranked = written(rows.repartition(n, *date).withColumn("_ends", ends))
+    sizes = cut(ranked.groupBy(*date).agg(F.count(F.lit(1)).alias("_size"), F.avg("label").alias("_mean")))
+    out = _joined(ranked, sizes, date).withColumn("rank_ratio", F.when(F.col("label").isNotNull(), F.col("_ends") / 2 / F.col("_size") * 100))
+    means = cut(out.groupBy(*date, "status").agg(F.avg("rank_ratio").alias("rank_label_mean")))
+    out = _joined(out, means, [*date, "status"])
     return out.select(*rows.columns, "rank_ratio", "rank_label_mean", (F.col("label") - F.col("_mean")).alias("excess_return"))
 
 

@@ -209,7 +209,8 @@ def holding_attribution(spark, sf):
 @query("holding_label_ranks", f"WITH {HELD}, j AS (SELECT st.*, label FROM st LEFT JOIN la USING (instrument, datetime)), r AS (SELECT *, CASE WHEN label IS NOT NULL THEN (rank() OVER (PARTITION BY holder, datetime ORDER BY label DESC NULLS LAST) + (count(*) OVER (PARTITION BY holder, datetime, label) - 1) / 2) / count(*) OVER (PARTITION BY holder, datetime) * 100 END AS rank_ratio, label - avg(label) OVER (PARTITION BY holder, datetime) AS excess_return FROM j) SELECT holder, instrument, datetime, status, round(rank_ratio + {OFF_TIES}, 4) AS rank_ratio, round(avg(rank_ratio) OVER (PARTITION BY holder, datetime, status) + {OFF_TIES}, 4) AS rank_label_mean, round(excess_return + {OFF_TIES}, 4) AS excess_return FROM r")
 def holding_label_ranks(spark, sf):
     positions, prices = held(spark, sf)
-    out = holdings.label_ranks(holdings.statuses(positions), labels(prices)[0])
+    positions = working.written(positions.select("holder", "instrument", "datetime"))
+    out = holdings.label_ranks(holdings.spells(positions), labels(prices)[0], 2 * positions.count())
     return out.select("holder", "instrument", "datetime", "status", *(F.round(F.col(c) + OFF_TIES, 4).alias(c) for c in ("rank_ratio", "rank_label_mean", "excess_return")))
 
 
